@@ -19,7 +19,7 @@ def build_session(app: str = "panelwatch", master: str | None = None, shuffle_pa
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
-        b = b.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", os.environ.get("DRIVER_MEM", "12g"))
+        b = b.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", os.environ.get("DRIVER_MEM", "12g"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()
