@@ -74,12 +74,11 @@ def add_all(cols: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, cols)
 
 
-def row_mean(cols: Sequence[str | Column]) -> Column:
+def row_mean(cols: Sequence[str]) -> Column:
     """Mean of several columns of one row, nulls left out; null if all are null."""
-    cs = [as_col(c) for c in cols]
-    total = add_all([F.coalesce(c, F.lit(0.0)) for c in cs])
-    count = add_all([c.isNotNull().cast("int") for c in cs])
-    return F.try_divide(total, count)
+    total = " + ".join(f"coalesce({c}, 0D)" for c in cols)
+    count = " + ".join(f"int({c} IS NOT NULL)" for c in cols)
+    return F.expr(f"try_divide({total}, {count})")
 
 
 def clip01(c) -> Column:

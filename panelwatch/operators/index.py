@@ -22,15 +22,15 @@ def theme_subindices(df: DataFrame, themes: Mapping[str, Sequence[str]], keys: S
     ``df`` is long ``(keys, time, keyword, value)``. A theme without any keyword stays null.
     ``n_keywords_used`` counts the keywords found per series.
     """
-    def theme_value(words):
-        return F.avg(F.when(F.col("keyword").isin(*words), F.col("value")))
-
-    wide = df.groupBy(*keys, time).agg(*[theme_value(ws).alias(t) for t, ws in themes.items()])
-    wide = densify(wide, list(themes), keys, time)
-    out = wide.select(*keys, time, *[minmax(t, keys).alias(t) for t in themes])
-    known = [w for ws in themes.values() for w in ws]
-    used = df.where(F.col("keyword").isin(*known)).groupBy(*keys).agg(F.count_distinct("keyword").alias("n_keywords_used"))
-    return out.withColumn("trends_composite", row_mean(list(themes))).join(used, list(keys), "left")
+    cols = {t: F.avg(F.when(F.col("keyword").isin(*ws), F.col("value"))).alias(t) for t, ws in themes.items()}
+    known = F.col("keyword").isin(*[w for ws in themes.values() for w in ws])
+    # the set of a month is bounded by the keyword list, the sets of a series by its calendar
+    found = F.collect_set(F.when(known, F.col("keyword"))).alias("_found")
+    wide = densify(df.groupBy(*keys, time).agg(*cols.values(), found), [*themes, "_found"], keys, time)
+    whole = f"(PARTITION BY {', '.join(keys)})"
+    used = F.expr(f"bigint(size(array_distinct(flatten(collect_list(_found) OVER {whole}))))").alias("n_keywords_used")
+    out = wide.select(*keys, time, *[minmax(t, keys).alias(t) for t in themes], used)
+    return out.withColumn("trends_composite", row_mean(list(themes)))
 
 
 def feature_names(columns: Sequence[str]) -> list[str]:
@@ -52,8 +52,9 @@ def available_features(df: DataFrame, candidates: Sequence[str]) -> DataFrame:
 
 def equal_index(df: DataFrame, features: Sequence[str], out: str, keys: Sequence[str] = KEYS, time: str = TIME) -> DataFrame:
     """Mean of the gap-filled features, scaled 0-1."""
-    raw = row_mean([fill_gaps(f, keys, time) for f in features])
-    return df.withColumn("_raw", raw).withColumn(out, minmax("_raw", keys)).drop("_raw")
+    filled = df.withColumns({f"_g_{f}": fill_gaps(f, keys, time) for f in features})
+    raw = filled.select(*df.columns, row_mean([f"_g_{f}" for f in features]).alias("_raw"))
+    return raw.select(*df.columns, minmax("_raw", keys).alias(out))
 
 
 def hybrid_features(df: DataFrame, behavioural: str, macro: Sequence[str], keys: Sequence[str] = KEYS, time: str = TIME) -> DataFrame:

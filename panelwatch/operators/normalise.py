@@ -8,46 +8,44 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from panelwatch.functions.columns import as_col, clip01
 from panelwatch.operators.panel import KEYS, TIME
 
 
-def _whole(keys: Sequence[str]):
-    return Window.partitionBy(*keys)
+def _whole(keys: Sequence[str]) -> str:
+    return f"(PARTITION BY {', '.join(keys)})"
 
 
-def minmax(value, keys: Sequence[str] = KEYS) -> Column:
+def minmax(value: str, keys: Sequence[str] = KEYS) -> Column:
     """(x - min) / (max - min); a constant series is 0.0 throughout, null rows included."""
-    v, w = as_col(value), _whole(keys)
-    lo, hi = F.min(v).over(w), F.max(v).over(w)
-    return F.when(lo == hi, F.lit(0.0)).otherwise((v - lo) / (hi - lo))
+    lo, hi = f"min({value}) OVER {_whole(keys)}", f"max({value}) OVER {_whole(keys)}"
+    return F.expr(f"CASE WHEN {lo} = {hi} THEN 0D ELSE ({value} - {lo}) / ({hi} - {lo}) END")
 
 
-def minmax_train(value, in_train: Column, keys: Sequence[str] = KEYS, clip: bool = True) -> Column:
+def minmax_train(value: str, in_train: str, keys: Sequence[str] = KEYS, clip: bool = True) -> Column:
     """Min-max fitted on training rows; no or constant training values give 0.0."""
-    v, w = as_col(value), _whole(keys)
-    fitted = F.when(in_train, v)
-    lo, hi = F.min(fitted).over(w), F.max(fitted).over(w)
-    scaled = (v - lo) / (hi - lo)
-    return F.when(lo.isNull() | (lo == hi), F.lit(0.0)).otherwise(clip01(scaled) if clip else scaled)
+    fitted = f"CASE WHEN {in_train} THEN {value} END"
+    lo, hi = f"min({fitted}) OVER {_whole(keys)}", f"max({fitted}) OVER {_whole(keys)}"
+    scaled = f"({value} - {lo}) / ({hi} - {lo})"
+    scaled = f"greatest(0D, least(1D, {scaled}))" if clip else scaled
+    return F.expr(f"CASE WHEN {lo} IS NULL OR {lo} = {hi} THEN 0D ELSE {scaled} END")
 
 
-def zscore_train(value, in_train: Column, keys: Sequence[str] = KEYS) -> Column:
+def zscore_train(value: str, in_train: str, keys: Sequence[str] = KEYS) -> Column:
     """Standardise with mean and population deviation of the training rows (0 deviation counts as 1)."""
-    v, w = as_col(value), _whole(keys)
-    fitted = F.when(in_train, v)
-    mean, dev = F.avg(fitted).over(w), F.stddev_pop(fitted).over(w)
-    return (v - mean) / F.when(dev == 0, F.lit(1.0)).otherwise(dev)
+    fitted = f"CASE WHEN {in_train} THEN {value} END"
+    mean, dev = f"avg({fitted}) OVER {_whole(keys)}", f"stddev_pop({fitted}) OVER {_whole(keys)}"
+    return F.expr(f"({value} - {mean}) / CASE WHEN {dev} = 0 THEN 1D ELSE {dev} END")
 
 
-def robust_train(df: DataFrame, value: str, in_train: Column, out: str, keys: Sequence[str] = KEYS) -> DataFrame:
+def robust_train(df: DataFrame, value: str, in_train: str, out: str, keys: Sequence[str] = KEYS) -> DataFrame:
     """(x - median) / interquartile range, both of the training rows; a zero range gives null."""
-    q = df.where(in_train).groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    q = df.where(in_train).groupBy(*keys).agg(F.expr(f"percentile({value}, array(0.25D, 0.5D, 0.75D))").alias("_q"))
     joined = df.join(q, list(keys), "left")
-    return joined.withColumn(out, F.try_divide(F.col(value) - F.col("_q")[1], F.col("_q")[2] - F.col("_q")[0])).drop("_q")
+    return joined.withColumn(out, F.expr(f"try_divide({value} - _q[1], _q[2] - _q[0])")).drop("_q")
 
 
-def train_rows(train_end: str, time: str = TIME) -> Column:
-    return F.col(time) <= F.lit(train_end).cast("date")
+def train_rows(train_end: str, time: str = TIME) -> str:
+    """Condition of the training rows, as SQL text."""
+    return f"{time} <= DATE '{train_end}'"

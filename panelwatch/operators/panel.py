@@ -21,6 +21,16 @@ def over(keys: Sequence[str] = KEYS, time: str = TIME):
     return Window.partitionBy(*keys).orderBy(time)
 
 
+def series(keys: Sequence[str] = KEYS, time: str = TIME, frame: str = "") -> str:
+    """Text of the window of a series in period order, for SQL expressions."""
+    return f"(PARTITION BY {', '.join(keys)} ORDER BY {time} {frame})"
+
+
+BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+UPTO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+ONWARD = "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
+
+
 def before(keys: Sequence[str] = KEYS, time: str = TIME):
     """All rows of the series strictly before the current one."""
     return over(keys, time).rowsBetween(Window.unboundedPreceding, -1)
@@ -30,22 +40,16 @@ def upto(keys: Sequence[str] = KEYS, time: str = TIME):
     return over(keys, time).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def onward(keys: Sequence[str] = KEYS, time: str = TIME):
-    return over(keys, time).rowsBetween(0, Window.unboundedFollowing)
-
-
 def densify(df: DataFrame, values: Sequence[str], keys: Sequence[str] = KEYS, time: str = TIME, step: str = "1 month") -> DataFrame:
     """Insert the missing periods between the first and last one of each series.
 
     Each row is expanded up to the next observed period with ``lead``; no spine table
     and no join, and the hash partitioning by series serves all later windows.
     """
-    nxt = F.lead(time).over(over(keys, time))
-    gap_end = F.coalesce((nxt - F.expr(f"interval {step}")).cast("date"), F.col(time))
-    filled = df.withColumn("_slots", F.sequence(F.col(time), gap_end, F.expr(f"interval {step}")))
-    out = filled.select(*keys, F.col(time).alias("_seen"), *values, F.explode("_slots").alias("_slot"))
-    seen = F.col("_slot") == F.col("_seen")
-    return out.select(*keys, F.col("_slot").alias(time), *[F.when(seen, F.col(v)).alias(v) for v in values])
+    nxt = df.selectExpr(*keys, time, *values, f"lead({time}, 1) OVER {series(keys, time)} AS _next")
+    slots = f"explode(sequence({time}, coalesce(date(_next - interval {step}), {time}), interval {step})) AS _slot"
+    out = nxt.selectExpr(*keys, f"{time} AS _seen", *values, slots)
+    return out.selectExpr(*keys, f"_slot AS {time}", *[f"CASE WHEN _slot = _seen THEN {v} END AS {v}" for v in values])
 
 
 def align_calendar(df: DataFrame, values: Sequence[str], start: str, end: str, keys: Sequence[str] = KEYS, time: str = TIME) -> DataFrame:
@@ -55,41 +59,40 @@ def align_calendar(df: DataFrame, values: Sequence[str], start: str, end: str, k
     return spine.join(df.select(*keys, time, *values), [*keys, time], "left")
 
 
-def pct_change(value, k: int, keys: Sequence[str] = KEYS, time: str = TIME) -> Column:
+def pct_change(value: str, k: int, keys: Sequence[str] = KEYS, time: str = TIME) -> Column:
     """Percent change against k periods before; null in, null out, zero base gives null."""
-    v = as_col(value)
-    return (F.try_divide(v, F.lag(v, k).over(over(keys, time))) - F.lit(1.0)) * F.lit(100.0)
+    return F.expr(f"(try_divide({value}, lag({value}, {k}) OVER {series(keys, time)}) - 1D) * 100D")
 
 
 def add_lags(df: DataFrame, lags: Mapping[str, Sequence[int]], keys: Sequence[str] = KEYS, time: str = TIME) -> DataFrame:
     """``{feature}_lag{k}`` for every listed feature that exists; one window for all."""
-    w = over(keys, time)
-    cols = {
-        f"{f}_lag{k}": F.lag(f, k).over(w)
+    w, have = series(keys, time), set(df.columns)
+    return df.withColumns({
+        f"{f}_lag{k}": F.expr(f"lag({f}, {k}) OVER {w}")
         for f, ks in lags.items()
-        if f in df.columns
+        if f in have
         for k in ks
-        if k > 0 and f"{f}_lag{k}" not in df.columns
-    }
-    return df.withColumns(cols)
+        if k > 0 and f"{f}_lag{k}" not in have
+    })
 
 
-def forward_fill(value, keys: Sequence[str] = KEYS, time: str = TIME) -> Column:
-    return F.last(as_col(value), ignorenulls=True).over(upto(keys, time))
+def forward_fill(value: str, keys: Sequence[str] = KEYS, time: str = TIME) -> Column:
+    return F.expr(f"last({value}, true) OVER {series(keys, time, UPTO)}")
 
 
-def backward_fill(value, keys: Sequence[str] = KEYS, time: str = TIME) -> Column:
-    return F.first(as_col(value), ignorenulls=True).over(onward(keys, time))
+def backward_fill(value: str, keys: Sequence[str] = KEYS, time: str = TIME) -> Column:
+    return F.expr(f"first({value}, true) OVER {series(keys, time, ONWARD)}")
 
 
-def fill_gaps(value, keys: Sequence[str] = KEYS, time: str = TIME) -> Column:
+def fill_gaps(value: str, keys: Sequence[str] = KEYS, time: str = TIME) -> Column:
     """Forward fill, then back fill what is left at the start."""
-    return F.coalesce(forward_fill(value, keys, time), backward_fill(value, keys, time))
+    return F.expr(
+        f"coalesce(last({value}, true) OVER {series(keys, time, UPTO)}, first({value}, true) OVER {series(keys, time, ONWARD)})")
 
 
 def interpolate_time(df: DataFrame, value: str, out: str, keys: Sequence[str] = KEYS, time: str = TIME) -> DataFrame:
     """Linear in days between observed points, flat after the last, null before the first."""
-    at = F.when(F.col(value).isNotNull(), F.col(time))
+    at = f"CASE WHEN {value} IS NOT NULL THEN {time} END"
     df = df.withColumns({
         "_v0": forward_fill(value, keys, time), "_t0": forward_fill(at, keys, time),
         "_v1": backward_fill(value, keys, time), "_t1": backward_fill(at, keys, time),
@@ -103,7 +106,7 @@ def interpolate_time(df: DataFrame, value: str, out: str, keys: Sequence[str] =
 def interpolate_limited(df: DataFrame, value: str, out: str, limit: int = 3, keys: Sequence[str] = KEYS, time: str = TIME) -> DataFrame:
     """Linear by position over at most ``limit`` successive gaps, the rest back filled."""
     df = df.withColumn("_i", F.row_number().over(over(keys, time)))
-    at = F.when(F.col(value).isNotNull(), F.col("_i"))
+    at = f"CASE WHEN {value} IS NOT NULL THEN _i END"
     df = df.withColumns({
         "_v0": forward_fill(value, keys, time), "_i0": forward_fill(at, keys, time),
         "_v1": backward_fill(value, keys, time), "_i1": backward_fill(at, keys, time),

@@ -29,7 +29,7 @@ def press_monthly(df: DataFrame, keys: Sequence[str] = (), theme_counts: Mapping
 
 def press_index(monthly: DataFrame, keys: Sequence[str], columns: Sequence[str] = ("press_volume", *THEME_COUNTS)) -> DataFrame:
     """Min-max ``{c}_norm`` per column and the mean of the theme ones as ``press_index``."""
-    normed = monthly.withColumns({f"{c}_norm": minmax(F.col(c).cast("double"), keys) for c in columns})
+    normed = monthly.withColumns({f"{c}_norm": minmax(f"double({c})", keys) for c in columns})
     return normed.withColumn("press_index", row_mean([f"{c}_norm" for c in columns if c.startswith("themes_")]))
 
 

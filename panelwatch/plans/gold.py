@@ -53,13 +53,14 @@ def national_signals(spark: SparkSession, sf: str) -> DataFrame:
     trends = X.equal_index(national_trends(spark, sf).drop("n_keywords_used"), inputs.TREND_COLUMNS, "behavioural_index")
     macro = national_macro(spark, sf)
     yoy = list(inputs.MACRO_YOY.values())
-    joined = trends.join(macro.drop("series_id"), "month", "full_outer").withColumn("series_id", F.lit("all"))
-    hybrid_rows = F.col("behavioural_index").isNotNull()
-    feats = X.hybrid_features(joined.where(hybrid_rows), "behavioural_index", yoy)
-    hybrid = X.equal_index(feats, ["h_behavioural_index", *[f"h_{c}" for c in yoy]], "hybrid_index")
+    joined = trends.join(macro.drop("series_id"), "month", "full_outer").select(
+        F.lit("all").alias("series_id"), F.col("behavioural_index").isNotNull().alias("_in"), *[c for c in [*trends.columns, *macro.columns[2:]] if c != "series_id"])
+    # months without a behavioural index form their own partition and get no hybrid index
+    part = ["series_id", "_in"]
+    feats = X.hybrid_features(joined, "behavioural_index", yoy, part)
+    hybrid = X.equal_index(feats, ["h_behavioural_index", *[f"h_{c}" for c in yoy]], "hybrid_index", part)
     keep = ["month", *inputs.TREND_COLUMNS, "trends_composite", *inputs.MACRO_YOY, *yoy, "behavioural_index"]
-    late = joined.where(~hybrid_rows).select(*keep, F.lit(None).cast("double").alias("hybrid_index"))
-    return hybrid.select(*keep, "hybrid_index").unionByName(late)
+    return hybrid.select(*keep, F.when(F.col("_in"), F.col("hybrid_index")).alias("hybrid_index"))
 
 
 def assemble(cpi: DataFrame, signals: DataFrame, windows: Sequence[EvalWindow] = PANEL_WINDOWS) -> DataFrame:
