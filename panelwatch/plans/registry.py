@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {}  # bodies; ``compose`` adds the named blocks
 _CTE: dict[str, str] = {}
 
 
@@ -44,7 +44,7 @@ def query(name: str, sql: str | None = None):
     def register(fn: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = compose(sql)
+            ORACLE[name] = sql
         return fn
 
     return register
