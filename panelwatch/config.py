@@ -135,3 +135,39 @@ FOOD_PRICE_COLUMNS = {
     "Meat": "fao_meat_index",
     "Sugar": "fao_sugar_index",
 }
+
+# The label texts of the reports.
+ERROR_NOTES = {"mape": "Erreur faible", "mase": "Meilleur que la naive", "theils_u": "Mieux que la prediction naive", "none": "Performance a nuancer"}
+WARNING_VERDICTS = [
+    ("recall = 1 AND precision >= 0.60", "Detection parfaite"),
+    ("recall = 1 AND precision >= 0.40", "Sur-alerte moderee - Recall parfait"),
+    ("recall = 1 AND precision < 0.40", "Sur-alerte (favorable early warning)"),
+    ("f1 >= 0.70", "Equilibre F1 excellent (>0.70)"),
+    ("f1 >= 0.50", "Equilibre F1 acceptable (>0.50)"),
+    ("recall >= 0.80 AND precision < 0.40", "Sur-alerte moderee - bon Recall"),
+    ("precision >= 0.80 AND recall < 0.40", "Trop conservateur - manque des crises"),
+    ("bal_acc >= 0.70", "Bonne accuracy equilibree"),
+    ("recall < 0.50", "Insuffisant - trop de crises manquees"),
+]
+WARNING_DEFAULT = "Partiel - compromis a ameliorer"
+ROC_BIAS = [
+    ("delta > 0.15", "ROC tres optimiste (desequilibre fort)"),
+    ("delta > 0.05", "ROC moderement optimiste"),
+    ("delta < -0.05", "AP > AUC (classe dominante positive)"),
+]
+ROC_BIAS_DEFAULT = "AUC ~= AP (classes equilibrees)"
+AP_VERDICTS = [("ap > 0.70", "Excellent malgre desequilibre"), ("ap > 0.50", "Acceptable"), ("ap > 0.30", "Faible")]
+AP_DEFAULT = "Insuffisant"
+DM_TEXT = {
+    "few": "Echantillon insuffisant",
+    "one_yes": "Amelioration statistiquement significative",
+    "one_no": "Amelioration directionnelle non significative - a nuancer dans la presentation",
+    "two_yes": "Difference significative entre modeles",
+    "two_no": "Difference non significative",
+}
+
+
+def case_text(rules, default: str) -> str:
+    """CASE expression of ordered (condition, text) rules; plain SQL for any engine."""
+    whens = " ".join(f"WHEN {c} THEN '{t}'" for c, t in rules)
+    return f"CASE {whens} ELSE '{default}' END"

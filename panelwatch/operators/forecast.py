@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from panelwatch.config import MIN_TRAIN, MIN_TRAIN_FULL, EvalWindow
+from panelwatch.config import ERROR_NOTES, MIN_TRAIN, MIN_TRAIN_FULL, EvalWindow
 from panelwatch.operators.panel import BEFORE, KEYS, TIME, fill_gaps, series
 
 SEASON = 12
@@ -171,11 +171,12 @@ def forecast_metrics(preds: DataFrame, by: Sequence[str], order: str = TIME, nai
     return agg.withColumn("theils_u", F.expr(f"CASE WHEN model = '{naive}' THEN 1D ELSE try_divide(rmse, {base}) END"))
 
 
-def error_verdict(mape: str = "mape", mase: str = "mase", theils_u: str = "theils_u"):
-    """Joined notes on the three error rules."""
-    joined = (f"concat_ws(' | ', CASE WHEN {mape} < 5 THEN 'low error' END, CASE WHEN {mase} < 1 THEN 'better than naive steps' END, "
-              f"CASE WHEN {theils_u} < 1 THEN 'better than the naive forecast' END)")
-    return F.expr(f"CASE WHEN {joined} = '' THEN 'to be qualified' ELSE {joined} END")
+def error_verdict_sql() -> str:
+    """Joined notes on the three error rules, over the columns mape, mase, theils_u."""
+    notes = ERROR_NOTES
+    joined = (f"concat_ws(' | ', CASE WHEN mape < 5 THEN '{notes['mape']}' END, CASE WHEN mase < 1 THEN '{notes['mase']}' END, "
+              f"CASE WHEN theils_u < 1 THEN '{notes['theils_u']}' END)")
+    return f"CASE WHEN {joined} = '' THEN '{notes['none']}' ELSE {joined} END"
 
 
 # ---- moving-average terms: running normal equations, batch solve ----

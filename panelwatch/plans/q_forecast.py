@@ -189,13 +189,13 @@ def forecast_metrics(spark, sf):
     return m.select("series_id", "model", *[r3(c).alias(c) for c in METRICS], "n_test")
 
 
-VERDICT_SQL = """CASE WHEN concat_ws(' | ', CASE WHEN mape < 5 THEN 'low error' END, CASE WHEN mase < 1 THEN 'better than naive steps' END, CASE WHEN theils_u < 1 THEN 'better than the naive forecast' END) = ''
-    THEN 'to be qualified' ELSE concat_ws(' | ', CASE WHEN mape < 5 THEN 'low error' END, CASE WHEN mase < 1 THEN 'better than naive steps' END, CASE WHEN theils_u < 1 THEN 'better than the naive forecast' END) END"""
+VERDICT_SQL = """CASE WHEN concat_ws(' | ', CASE WHEN mape < 5 THEN 'Erreur faible' END, CASE WHEN mase < 1 THEN 'Meilleur que la naive' END, CASE WHEN theils_u < 1 THEN 'Mieux que la prediction naive' END) = ''
+    THEN 'Performance a nuancer' ELSE concat_ws(' | ', CASE WHEN mape < 5 THEN 'Erreur faible' END, CASE WHEN mase < 1 THEN 'Meilleur que la naive' END, CASE WHEN theils_u < 1 THEN 'Mieux que la prediction naive' END) END"""
 
 
 @query("error_verdict", f"SELECT series_id, block, model, {VERDICT_SQL} AS verdict FROM x_metrics")
 def error_verdict(spark, sf):
-    return FC.forecast_metrics(predictions(spark, sf), BLOCK).select(*BLOCK, "model", FC.error_verdict().alias("verdict"))
+    return FC.forecast_metrics(predictions(spark, sf), BLOCK).select(*BLOCK, "model", F.expr(FC.error_verdict_sql()).alias("verdict"))
 
 
 @query("backtest_summary", f"""
@@ -204,7 +204,7 @@ def error_verdict(spark, sf):
 def backtest_summary(spark, sf):
     """Mean of the block metrics (not pooled) per model, with the verdict."""
     m = FC.forecast_metrics(predictions(spark, sf), BLOCK).groupBy("series_id", "model").agg(*[F.avg(c).alias(c) for c in METRICS])
-    return m.select("series_id", "model", *[r3(c).alias(c) for c in METRICS], FC.error_verdict().alias("verdict"))
+    return m.select("series_id", "model", *[r3(c).alias(c) for c in METRICS], F.expr(FC.error_verdict_sql()).alias("verdict"))
 
 
 @query("best_model", """
