@@ -93,10 +93,10 @@ def pr_curve(spark, sf):
     return c.select("scope", "threshold", *[r4(m).alias(m) for m in ("precision", "recall", "f1")])
 
 
-@query("average_precision", "SELECT scope, n_pos, n_total, round(ap, 4) AS ap FROM x_areas")
+@query("average_precision", "SELECT scope, n_pos, n_total, round(ap, 9) AS ap FROM x_areas")
 def average_precision(spark, sf):
     a = CL.areas(CL.threshold_curve(scoped_scores(spark, sf), ["scope"]), ["scope"])
-    return a.select("scope", "n_pos", "n_total", r4("ap").alias("ap"))
+    return a.select("scope", "n_pos", "n_total", F.round("ap", 9).alias("ap"))
 
 
 def best_sql(source: str, by: str) -> str:
@@ -184,6 +184,8 @@ def lead_time(spark, sf):
     return lt.where("n_episodes > 0").withColumn("lead_time", r4("lead_time"))
 
 
+# areas are small rationals, often exact ties at four decimals; at nine there are none
+DIGITS = {"auc": 9, "ap": 9, "delta": 9}
 EW_VALUES = ["threshold", "stress_threshold", "recall", "precision", "f1", "specificity", "bal_acc", "auc", "ap"]
 
 
@@ -195,10 +197,10 @@ VERDICT = K.case_text(K.WARNING_VERDICTS, K.WARNING_DEFAULT)
 
 
 @query("early_warning", f"""
-  SELECT series_id, signal, scope, {', '.join(f'round({c}, 4) AS {c}' for c in EW_VALUES)}, tp, fp, tn, fn, n_pos, n_total, round(lead_time, 2) AS lead_time, {VERDICT} AS verdict FROM x_ew""")
+  SELECT series_id, signal, scope, {', '.join(f'round({c}, {DIGITS.get(c, 4)}) AS {c}' for c in EW_VALUES)}, tp, fp, tn, fn, n_pos, n_total, round(lead_time, 2) AS lead_time, {VERDICT} AS verdict FROM x_ew""")
 def early_warning(spark: SparkSession, sf: str) -> DataFrame:
     e = CL.early_warning(stress(spark, sf))
-    return e.select("series_id", "signal", "scope", *[r4(c).alias(c) for c in EW_VALUES], "tp", "fp", "tn", "fn", "n_pos", "n_total",
+    return e.select("series_id", "signal", "scope", *[F.round(c, DIGITS.get(c, 4)).alias(c) for c in EW_VALUES], "tp", "fp", "tn", "fn", "n_pos", "n_total",
                     F.round("lead_time", 2).alias("lead_time"), F.expr(VERDICT).alias("verdict"))
 
 
@@ -232,14 +234,14 @@ BIAS, AP_TEXT = K.case_text(K.ROC_BIAS, K.ROC_BIAS_DEFAULT), K.case_text(K.AP_VE
 @query("roc_pr_comparison", f"""
   WITH o AS (SELECT * FROM ({best_sql('x_test_curve', 'series_id, signal, scope')}) WHERE rn = 1),
   j AS (SELECT a.*, o.f1, o.threshold, o.recall, o.precision, a.auc - a.ap AS delta FROM x_test_areas a JOIN o USING (series_id, signal, scope))
-  SELECT series_id, signal, scope, n_pos, n_total, round(n_pos::DOUBLE / n_total, 3) AS pos_share, round(auc, 4) AS auc, round(ap, 4) AS ap, round(delta, 4) AS delta, round(f1, 4) AS f1_opt,
+  SELECT series_id, signal, scope, n_pos, n_total, round(n_pos::DOUBLE / n_total, 3) AS pos_share, round(auc, 9) AS auc, round(ap, 9) AS ap, round(delta, 9) AS delta, round(f1, 4) AS f1_opt,
     round(threshold, 4) AS threshold_opt, round(recall, 4) AS recall_opt, round(precision, 4) AS precision_opt, {BIAS} AS roc_bias, {AP_TEXT} AS ap_verdict FROM j""")
 def roc_pr_comparison(spark, sf):
     rows = stress(spark, sf).where("part = 'test'").withColumn("_pos", F.expr("sum(y) OVER (PARTITION BY series_id, block, signal)")).where("_pos >= 2")
     by = ["series_id", "signal", "scope"]
     curve = CL.threshold_curve(rows.withColumn("scope", F.explode(F.array("block", F.lit("global")))), by, bounded=True)
     j = CL.areas(curve, by).join(CL.f1_optimal(curve, by).drop("n_pos", "n_total"), by).withColumn("delta", F.expr("auc - ap"))
-    return j.select(*by, "n_pos", "n_total", F.expr("round(n_pos / n_total, 3)").alias("pos_share"), *[r4(c).alias(c) for c in ("auc", "ap", "delta", "f1_opt", "threshold_opt", "recall_opt", "precision_opt")],
+    return j.select(*by, "n_pos", "n_total", F.expr("round(n_pos / n_total, 3)").alias("pos_share"), *[F.round(c, DIGITS.get(c, 4)).alias(c) for c in ("auc", "ap", "delta", "f1_opt", "threshold_opt", "recall_opt", "precision_opt")],
                     F.expr(BIAS).alias("roc_bias"), F.expr(AP_TEXT).alias("ap_verdict"))
 
 
