@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwatch.config import MIN_KEYWORD_CORR
-from panelwatch.operators.panel import KEYS, TIME, over
+from panelwatch.operators.panel import KEYS, TIME, align_calendar, over
 
 
 def t_of_r(r: Column, n: Column) -> Column:
@@ -69,11 +69,14 @@ def score_keywords(panel: DataFrame, keys: Sequence[str], value: str, target: st
 def keyword_vectors(panel: DataFrame, keys: Sequence[str], value: str, time: str = TIME) -> DataFrame:
     """One dense vector per keyword: its months, standardised per month over the keywords.
 
-    The month axis is a calendar, so the vector length is bounded; missing months count as 0.
+    The month axis is the calendar between the first and last month (two dates come to
+    the driver), so the vector length is bounded; missing months count as 0.
     """
     from pyspark.ml.functions import array_to_vector
 
-    filled = panel.select(*keys, time, F.coalesce(F.col(value), F.lit(0.0)).alias("_v"))
+    span = panel.agg(F.min(time), F.max(time)).first()
+    aligned = align_calendar(panel, [value], str(span[0]), str(span[1]), keys, time)
+    filled = aligned.select(*keys, time, F.coalesce(F.col(value), F.lit(0.0)).alias("_v"))
     by_month = Window.partitionBy(time)
     dev = F.stddev_pop("_v").over(by_month)
     z = (F.col("_v") - F.avg("_v").over(by_month)) / F.when(dev == 0, F.lit(1.0)).otherwise(dev)

@@ -14,7 +14,8 @@ from panelwatch.plans import gold as G, inputs
 from panelwatch.plans.q_classify import BREAK, stress
 from panelwatch.plans.q_forecast import MODELS, gold, predictions
 from panelwatch.plans.registry import cte, query
-from panelwatch.session import shared_dir
+from panelwatch.plans.stages import staged
+from panelwatch.session import cut_lineage, shared_dir
 from panelwatch.sources import landed
 
 
@@ -384,8 +385,8 @@ def best_lag(spark, sf):
 @query("keyword_clusters")
 def keyword_clusters(spark, sf):
     """Seven clusters of the keyword series and the representative of each."""
-    panel = keyword_panel(spark, sf)
-    vectors = S.keyword_vectors(panel, ["keyword"], "value")
+    panel = staged(spark, sf, "keyword_panel", keyword_panel)
+    vectors = cut_lineage(S.keyword_vectors(panel, ["keyword"], "value"))
     scores = S.score_keywords(panel, ["keyword"], "value", "target", "resid", "target_resid")
     clustered = S.cluster(vectors, vectors.count()).join(scores, "keyword")
     best = S.representatives(clustered, "best_r", ["keyword"]).select("cluster", F.col("keyword").alias("representative"))
@@ -395,12 +396,12 @@ def keyword_clusters(spark, sf):
 @query("validated_keywords")
 def validated_keywords(spark, sf):
     """Residual scan, threshold, clustering, one keyword per cluster."""
-    panel = keyword_panel(spark, sf)
-    scores = S.score_keywords(panel, ["keyword"], "value", "target", "resid", "target_resid").where("keep")
+    panel = staged(spark, sf, "keyword_panel", keyword_panel)
+    scores = cut_lineage(S.score_keywords(panel, ["keyword"], "value", "target", "resid", "target_resid").where("keep"))
     n = scores.count()
     if n == 0:
         return scores.withColumn("cluster", F.lit(None).cast("int"))
-    vectors = S.keyword_vectors(panel.join(scores.select("keyword"), "keyword", "left_semi"), ["keyword"], "value")
+    vectors = cut_lineage(S.keyword_vectors(panel.join(scores.select("keyword"), "keyword", "left_semi"), ["keyword"], "value"))
     return S.representatives(S.cluster(vectors, n).join(scores, "keyword"), "best_r", ["keyword"])
 
 
@@ -475,15 +476,10 @@ def resolve_columns(spark, sf):
     """Alias, numeric-fallback and substring resolution on renamed headers."""
     p = inputs.price_months(spark, sf).withColumn("price", r4("price"))
     messy = p.select("series_id", F.col("month").alias("Mois"), F.col("price").alias("Food Price Index 2014=100"), F.col("n_lines").alias("cereals"))
-    exact = landed.resolve_exact(messy.columns, K.DATE_ALIASES)
     names = {k: v for k, v in K.FOOD_PRICE_COLUMNS.items() if v in ("fao_food_index", "fao_cereals_index", "fao_oils_index")}
-    food = landed.resolve_many(messy.select("series_id", exact, "Food Price Index 2014=100", "cereals"), names)
-    # the value column has no alias here: the first numeric one is taken
-    value = landed.resolve_date_value(messy.drop("series_id"))
-    cols = [f"`{c}` AS {t}" if c else f"double(null) AS {t}" for t, c in landed.resolve_either_way(messy.columns, names).items()]
-    assert food.columns == list(names.values()) and value.columns == ["raw_date", "raw_value"]
-    return messy.selectExpr("series_id", f"`{exact}` AS raw_date", "`Food Price Index 2014=100` AS raw_value", *[c.replace("` AS fao_cereals_index", "` AS fao_cereals_index") for c in cols]).withColumn(
-        "fao_cereals_index", F.col("fao_cereals_index").cast("double"))
+    with_id = landed.resolve_date_value(messy, keep=messy.columns)
+    food = landed.resolve_many(with_id.drop("Mois"), names, keep=["series_id", "raw_date", "raw_value"])
+    return food
 
 
 @query("safe_cast_ingest", """

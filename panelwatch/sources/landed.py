@@ -46,7 +46,7 @@ def resolve_either_way(columns: Sequence[str], names: Mapping[str, str]) -> dict
     return found
 
 
-def resolve_date_value(df: DataFrame) -> DataFrame:
+def resolve_date_value(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Columns ``raw_date`` and ``raw_value`` by alias; the value falls back to the first numeric column."""
     date = resolve_exact(df.columns, DATE_ALIASES)
     if date is None:
@@ -56,13 +56,14 @@ def resolve_date_value(df: DataFrame) -> DataFrame:
         value = next((c for c, t in df.dtypes if c != date and (t in NUMERIC_TYPES or t.startswith("decimal"))), None)
     if value is None:
         raise ValueError(f"no value column among {df.columns}")
-    return df.select(F.col(f"`{date}`").alias("raw_date"), F.col(f"`{value}`").alias("raw_value"))
+    return df.select(F.col(f"`{date}`").alias("raw_date"), F.col(f"`{value}`").alias("raw_value"), *[F.col(f"`{c}`") for c in keep])
 
 
-def resolve_many(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
+def resolve_many(df: DataFrame, names: Mapping[str, str], keep: Sequence[str] = ()) -> DataFrame:
     """One double column per standard name; a name without a column is null."""
-    found = resolve_either_way(df.columns, names)
+    found = resolve_either_way([c for c in df.columns if c not in keep], names)
     return df.select(
+        *keep,
         *[
             (F.expr(f"try_cast(`{c}` AS double)") if c else F.lit(None).cast("double")).alias(target)
             for target, c in found.items()
