@@ -24,7 +24,8 @@ NAMED_ENTITIES = {
 
 # A word character is a letter, a number of any script, or "_"; the Arabic block counts whole.
 WORD = r"[\p{L}\p{N}_]"
-NON_WORDS = r"[^\p{L}\p{N}_\x{0600}-\x{06FF}]+"
+# Everything beyond the basic plane separates words as well.
+NON_WORDS = r"[[^\p{L}\p{N}_\x{0600}-\x{06FF}]\x{10000}-\x{10FFFF}]+"
 
 
 def unescape_entities(c) -> Column:
@@ -46,9 +47,10 @@ def clean_html(c) -> Column:
 
 
 def strip_urls(c) -> Column:
-    """URLs, mentions and hashtags to blanks."""
-    no_urls = F.regexp_replace(as_col(c), r"(?U)https?://\S+|www\.\S+", " ")
-    return F.regexp_replace(no_urls, rf"[@#]{WORD}+", " ")
+    """URLs, mentions and hashtags to blanks; the patterns run only on texts that hold their marks."""
+    t = as_col(c)
+    no_urls = F.when(t.contains("://") | t.contains("www."), F.regexp_replace(t, r"(?U)https?://\S+|www\.\S+", " ")).otherwise(t)
+    return F.when(no_urls.contains("@") | no_urls.contains("#"), F.regexp_replace(no_urls, rf"[@#]{WORD}+", " ")).otherwise(no_urls)
 
 
 def strip_astral(c) -> Column:
@@ -57,8 +59,10 @@ def strip_astral(c) -> Column:
 
 
 def digits_to_letters(c) -> Column:
-    digits, letters = "".join(DIGIT_LETTERS), "".join(DIGIT_LETTERS.values())
-    return F.translate(as_col(c), digits, letters)
+    out = as_col(c)
+    for digit, letter in DIGIT_LETTERS.items():
+        out = F.replace(out, F.lit(digit), F.lit(letter))
+    return out
 
 
 def has_digit_letters(c) -> Column:
@@ -71,9 +75,9 @@ def tokens(c, stop_words: Sequence[str] = tuple(STOP_WORDS)) -> Column:
     return F.filter(parts, lambda t: (t != "") & ~t.isin(*stop_words))
 
 
-def prepared_text(c) -> Column:
-    """Lower case, no URLs, no mentions, no emoji: what the tokeniser is fed with."""
-    return strip_astral(strip_urls(F.lower(F.coalesce(as_col(c), F.lit("")))))
+def lower_text(c) -> Column:
+    """Lower case, null as empty text."""
+    return F.lower(F.coalesce(as_col(c), F.lit("")))
 
 
 def language_profile(token_array) -> Column:

@@ -35,8 +35,8 @@ def press_index(monthly: DataFrame, keys: Sequence[str], columns: Sequence[str]
 
 def cleaned(df: DataFrame, text: str = "text", stop_words: Sequence[str] | None = None) -> DataFrame:
     """``tokens``, ``clean_text``, ``token_count``, ``lang_profile`` and the digit-letter flag."""
-    prepared = T.prepared_text(text)
-    df = df.withColumn("_prepared", prepared).withColumn("has_digit_letters", T.has_digit_letters("_prepared"))
+    df = df.withColumn("_lower", T.lower_text(text)).withColumn("_prepared", T.strip_urls("_lower")).drop("_lower")
+    df = df.withColumn("has_digit_letters", T.has_digit_letters("_prepared"))
     stop = {} if stop_words is None else {"stop_words": stop_words}
     df = df.withColumn("tokens", T.tokens(T.digits_to_letters("_prepared"), **stop)).drop("_prepared")
     return df.withColumns({

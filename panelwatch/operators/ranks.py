@@ -44,7 +44,7 @@ def running_totals(
 
     keys = list(keys)
     bounds1 = df.groupBy(*keys).agg(F.min(value).alias("_lo1"), F.max(value).alias("_hi1"))
-    d1 = _join_keys(df, bounds1, keys).withColumn("_c1", _cell(F.col(value), F.col("_lo1"), F.col("_hi1"), cells))
+    d1 = df.join(bounds1, keys).withColumn("_c1", _cell(F.col(value), F.col("_lo1"), F.col("_hi1"), cells))
     bounds2 = d1.groupBy(*keys, "_c1").agg(
         F.min(value).alias("_lo2"), F.max(value).alias("_hi2"), *[F.sum(m).alias(f"_t1_{m}") for m in measures]
     )
@@ -69,37 +69,36 @@ def _window(keys: Sequence[str], order: Column):
     return Window.partitionBy(*keys).orderBy(order)
 
 
-def _join_keys(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(small, list(keys))
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], cells: int = CELLS) -> DataFrame:
+    """Linear-interpolation quantiles, one column ``q{100p}`` per probability, for groups of any size.
 
-
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], bounded: bool = False) -> DataFrame:
-    """Linear-interpolation quantiles, one column ``q{100p}`` per probability.
-
-    Values are first counted per distinct value; the ranks come from running totals, and
-    each quantile is the blend of the two order statistics around its position.
+    Distributed selection: rows are counted per value cell (map-side combine to at most
+    ``cells`` counts per group and task), the cells that hold a wanted rank are found from
+    the totals, and only their rows are looked at again, cut into finer cells by the
+    cell's own range. No group is sorted or collected; the result is exact.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_totals(counts, keys, value, ["_n"], descending=False, bounded=bounded)
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    ranked = ranked.join(totals, list(keys))
-    aggs = []
-    for p in probs:
-        pos = (F.col("_total") - 1) * F.lit(float(p))
-        lo, hi = F.floor(pos) + 1, F.ceil(pos) + 1
-        first_rank = F.col("cum__n") - F.col("_n") + 1
-        name = quantile_name(p)
-        aggs += [
-            F.max(F.when((lo >= first_rank) & (lo <= F.col("cum__n")), F.col(value))).alias(f"_lo_{name}"),
-            F.max(F.when((hi >= first_rank) & (hi <= F.col("cum__n")), F.col(value))).alias(f"_hi_{name}"),
-            F.max(pos - F.floor(pos)).alias(f"_s_{name}"),
-        ]
-    agg = ranked.groupBy(*keys).agg(*aggs)
-    names = [quantile_name(p) for p in probs]
-    return agg.select(
-        *keys,
-        *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_s_{n}")).alias(n) for n in names],
-    )
+    keys = list(keys)
+    ranks = [f"{fn}((_total - 1) * {float(p)}D) + 1" for p in probs for fn in ("floor", "ceil")]
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    whole = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_total"))
+    at, level, base = whole.withColumn("_base", F.lit(0).cast("bigint")), rows, list(keys)
+    for depth in (1, 2):
+        cell = f"_c{depth}"
+        level = level.join(at, base).withColumn(cell, _cell(F.col("_v"), F.col("_lo"), F.col("_hi"), cells)).drop("_lo", "_hi")
+        counted = level.groupBy(*base, "_base", "_total", cell).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        upto = f"sum(_n) OVER (PARTITION BY {', '.join(base)} ORDER BY {cell} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + _base"
+        counted = counted.withColumn("_cum", F.expr(upto))
+        wanted = " OR ".join(f"({r}) BETWEEN _cum - _n + 1 AND _cum" for r in ranks)
+        base = [*base, cell]
+        at = counted.where(wanted).selectExpr(*base, "_lo", "_hi", "_total", "_cum - _n AS _base")
+        level = level.select(*base, "_v")
+    values = level.join(at, base).groupBy(*base, "_base", "_total", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    run = f"_base + sum(_n) OVER (PARTITION BY {', '.join(base)} ORDER BY _v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    values = values.withColumn("_cum", F.expr(run))
+    picks = [F.expr(f"max(CASE WHEN ({r}) BETWEEN _cum - _n + 1 AND _cum THEN _v END)").alias(f"_r{i}") for i, r in enumerate(ranks)]
+    found = values.groupBy(*keys).agg(*picks, F.max("_total").alias("_total"))
+    share = lambda p: f"((_total - 1) * {float(p)}D - floor((_total - 1) * {float(p)}D))"
+    return found.selectExpr(*keys, *[f"_r{2 * i} + (_r{2 * i + 1} - _r{2 * i}) * {share(p)} AS {quantile_name(p)}" for i, p in enumerate(probs)])
 
 
 def quantile_name(p: float) -> str:

@@ -45,6 +45,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents, spread over all cores when the files have fewer splits than that.
+
+    Only small inputs are shuffled (fewer splits than cores); large ones are read as they lie.
+    """
+    docs, cores = table(spark, sf, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
+
+
 def price_months(spark: SparkSession, sf: str) -> DataFrame:
     """Unit price per brand and month. The hot side is reduced by map-side aggregation."""
     lines = table(spark, sf, "lineitem").select("l_partkey", "l_quantity", "l_extendedprice", month_start("l_shipdate").alias("month"))
@@ -110,7 +119,7 @@ def macro_months(spark: SparkSession, sf: str) -> DataFrame:
 def articles(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as an article table; 36 months from 2022-01 by document number."""
     month = F.add_months(F.lit("2022-01-01").cast("date"), F.pmod(F.col("doc_id"), F.lit(36)).cast("int"))
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         F.col("doc_id").alias("article_id"), month.alias("month"), "source", F.col("lang").alias("source_type"), "text"
     )
 

@@ -112,7 +112,7 @@ def digit_normalise(spark, sf):
 
 @query("tokenise", "SELECT doc_id, len(tokens) AS token_count, tokens[1] AS first_token, tokens[len(tokens)] AS last_token, len(list_distinct(tokens)) AS n_distinct FROM x_tok")
 def tokenise(spark, sf):
-    d = press.cleaned(inputs.table(spark, sf, "documents"))
+    d = press.cleaned(inputs.documents(spark, sf))
     return d.select("doc_id", F.col("token_count").cast("bigint").alias("token_count"), F.get("tokens", F.lit(0)).alias("first_token"),
                     F.try_element_at("tokens", F.lit(-1)).alias("last_token"), F.size(F.array_distinct("tokens")).cast("bigint").alias("n_distinct"))
 
@@ -121,7 +121,7 @@ def tokenise(spark, sf):
   SELECT doc_id, md5(array_to_string(tokens, ' ')) AS clean_hash, len(tokens) AS token_count,
     CAST(regexp_matches(p, '[37952]') AS INTEGER) AS has_digit_letters FROM x_tok""")
 def clean_text(spark, sf):
-    d = press.cleaned(inputs.table(spark, sf, "documents"))
+    d = press.cleaned(inputs.documents(spark, sf))
     return d.select("doc_id", F.md5(F.col("clean_text").cast("binary")).alias("clean_hash"),
                     F.col("token_count").cast("bigint").alias("token_count"), "has_digit_letters")
 
@@ -133,7 +133,7 @@ def clean_text(spark, sf):
        WHEN ar > 0 AND la > 0 THEN 'mixed' ELSE 'unknown' END AS lang_profile FROM n)
   SELECT lang_profile, count(*) AS n_texts FROM l GROUP BY 1""")
 def lang_profile(spark, sf):
-    return press.cleaned(inputs.table(spark, sf, "documents")).groupBy("lang_profile").agg(F.count(F.lit(1)).alias("n_texts"))
+    return press.cleaned(inputs.documents(spark, sf)).groupBy("lang_profile").agg(F.count(F.lit(1)).alias("n_texts"))
 
 
 @query("keyword_filter", f"SELECT article_id, month, source FROM x_articles WHERE {sql_any('text', ECO)}")
@@ -235,7 +235,7 @@ TERMS = NEG + POS + STRONG + ["inflation", "heit", "ouon", "sch", "ing", "ation"
   WITH c(term, n_hits) AS ({' UNION ALL '.join(f"SELECT '{t}', CAST(sum((length(l) - length(replace(l, '{t}', ''))) / {len(t)}) AS BIGINT) FROM (SELECT lower(text) AS l FROM documents)" for t in TERMS)})
   SELECT term, n_hits FROM c WHERE n_hits > 0 ORDER BY n_hits DESC, term LIMIT 20""")
 def top_terms(spark, sf):
-    return press.top_terms(inputs.table(spark, sf, "documents"), TERMS)
+    return press.top_terms(inputs.documents(spark, sf), TERMS)
 
 
 @query("dedup_first", """
@@ -273,7 +273,7 @@ SEED_ROWS = ", ".join(f"('{s}', {i})" for i, s in enumerate(SEED_KEYWORDS + ["th
   SELECT coalesce(k.term, s.term) AS term, seen, CASE WHEN seen IS NULL THEN seed_rank END AS seed_rank FROM k FULL JOIN seeds s ON k.term = s.term""")
 def candidate_terms(spark, sf):
     """Document tokens as candidates, seen in order of document and position (below 2^24 tokens each)."""
-    toks = press.cleaned(inputs.table(spark, sf, "documents")).select("doc_id", F.posexplode("tokens").alias("pos", "term"))
+    toks = press.cleaned(inputs.documents(spark, sf)).select("doc_id", F.posexplode("tokens").alias("pos", "term"))
     occ = toks.select("term", (F.shiftleft("doc_id", 24) + F.col("pos")).alias("seen"))
     return press.candidate_terms(occ, EXCLUDED_TERMS + ["tion"], SEED_KEYWORDS + ["the"])
 
