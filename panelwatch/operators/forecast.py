@@ -96,7 +96,7 @@ def product_sums(terms: Sequence[str], tag: str) -> dict[str, str]:
     return {pair_name(a, b, tag): f"sum(CASE WHEN {known} THEN {a} * {b} END)" for a, b in names}
 
 
-def walk_forward(df: DataFrame, y: str, exog: Mapping[str, str], keys: Sequence[str] = KEYS, time: str = TIME) -> DataFrame:
+def walk_forward(df: DataFrame, y: str, exog: Mapping[str, str], keys: Sequence[str] = KEYS, time: str = TIME, season: int = SEASON) -> DataFrame:
     """Add ``pred_naive``, ``pred_seasonal`` and ``pred_{model}`` per signal for every row as origin.
 
     Rules per origin with n known values before it: n < 24 the last value; n < 36 one
@@ -105,7 +105,7 @@ def walk_forward(df: DataFrame, y: str, exog: Mapping[str, str], keys: Sequence[
     forecast further than five ranges from the mean.
     """
     signals = list(dict.fromkeys(exog.values()))
-    df = differenced(df, y, signals, keys, time)
+    df = differenced(df, y, signals, keys, time, season)
     b = series(keys, time, BEFORE)
     specs: dict[str, list[str]] = {"s1": ["w1"], "s2": ["w1", "w2"]}
     for c in signals:

@@ -131,11 +131,11 @@ def labelled_scores(spark: SparkSession, sf: str) -> DataFrame:
     return labels.join(docs, "doc_id").select("scope", "score", "y")
 
 
-def event_hours(spark: SparkSession, sf: str) -> DataFrame:
-    """Events per type and day: a high-rate panel with season 7."""
-    return (
+def event_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean event value per type and day: a daily panel with season 7."""
+    days = (
         table(spark, sf, "events")
         .groupBy(F.col("event_type").alias("series_id"), F.col("ts").cast("date").alias("day"))
-        .agg(F.count(F.lit(1)).alias("n_events"), F.avg("value").alias("mean_value"))
+        .agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n_events"))
     )
-
+    return densify(days, ["value", "n_events"], time="day", step="1 day")

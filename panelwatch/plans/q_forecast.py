@@ -278,3 +278,18 @@ def model_ic(spark, sf):
   SELECT series_id, n, ar_order, round(aic, 3) AS aic, row_number() OVER (PARTITION BY series_id ORDER BY aic, ar_order) = 1 AS best FROM l""")
 def order_grid(spark, sf):
     return FC.order_grid(inputs.price_panel(spark, sf), "ipc_level").withColumn("aic", r3("aic"))
+
+
+@query("forecast_daily", """
+  WITH m AS (SELECT event_type AS series_id, CAST(ts AS DATE) AS day, avg(value) AS y FROM events GROUP BY 1, 2),
+  sp AS (SELECT series_id, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM m GROUP BY 1),
+  d AS (SELECT sp.series_id, sp.day, y, lag(y, 1) OVER o AS y1, lag(y, 7) OVER o AS y7, lag(y, 8) OVER o AS y8 FROM sp LEFT JOIN m ON m.series_id = sp.series_id AND m.day = sp.day WINDOW o AS (PARTITION BY sp.series_id ORDER BY sp.day)),
+  w AS (SELECT *, y - y1 - y7 + y8 AS w FROM d), l AS (SELECT *, lag(w) OVER (PARTITION BY series_id ORDER BY day) AS w1 FROM w),
+  s AS (SELECT *, count(y) OVER b AS n_train, last_value(y IGNORE NULLS) OVER b AS last_y, avg(y) OVER b AS mean_y, max(y) OVER b - min(y) OVER b AS rng,
+     sum(w1 * w) OVER b AS sw, sum(w1 * w1) FILTER (w IS NOT NULL) OVER b AS sww FROM l WINDOW b AS (PARTITION BY series_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  p AS (SELECT *, y1 + y7 - y8 + sw / nullif(sww, 0) * w1 AS raw FROM s)
+  SELECT series_id, day, n_train, round(CASE WHEN n_train < 24 THEN last_y WHEN abs(raw - mean_y) <= 5 * (rng + 1e-6) THEN raw ELSE last_y END, 3) AS pred_seasonal FROM p WHERE n_train < 36""")
+def forecast_daily(spark, sf):
+    """The same operator on a daily panel with a weekly season; here while the simple order applies."""
+    p = FC.walk_forward(inputs.event_days(spark, sf), "value", {}, time="day", season=7)
+    return p.where("n_train < 36").select("series_id", "day", "n_train", r3("pred_seasonal").alias("pred_seasonal"))

@@ -1,0 +1 @@
+"""Polled feeds as a stream."""
