@@ -81,10 +81,6 @@ def row_mean(cols: Sequence[str]) -> Column:
     return F.expr(f"try_divide({total}, {count})")
 
 
-def clip01(c) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), as_col(c)))
-
-
 def month_index(month) -> Column:
     """Months since year 0; differences are month distances."""
     m = as_col(month)

@@ -93,7 +93,8 @@ def product_sums(terms: Sequence[str], tag: str) -> dict[str, str]:
     """Products of the regressors among themselves and with ``w`` over rows where all are known."""
     known = " AND ".join(f"{t} IS NOT NULL" for t in [*terms, "w"])
     names = [(a, b) for i, a in enumerate(terms) for b in [*terms[i:], "w"]]
-    return {pair_name(a, b, tag): f"sum(CASE WHEN {known} THEN {a} * {b} END)" for a, b in names}
+    sums = {pair_name(a, b, tag): f"sum(CASE WHEN {known} THEN {a} * {b} END)" for a, b in names}
+    return {**sums, f"_{tag}__n": f"sum(CASE WHEN {known} THEN 1 ELSE 0 END)"}
 
 
 def walk_forward(df: DataFrame, y: str, exog: Mapping[str, str], keys: Sequence[str] = KEYS, time: str = TIME, season: int = SEASON) -> DataFrame:
@@ -123,7 +124,9 @@ def walk_forward(df: DataFrame, y: str, exog: Mapping[str, str], keys: Sequence[
     raw = {}
     for tag, terms in specs.items():
         coef = _solve(terms, lambda a, c, t=tag: pair_name(a, c, t))
-        raw[f"_p_{tag}"] = "y1 + ys - ys1 + " + " + ".join(f"{k} * {t}" for k, t in zip(coef, terms))
+        fit = "y1 + ys - ys1 + " + " + ".join(f"{k} * {t}" for k, t in zip(coef, terms))
+        # no more rows than unknowns: the system is singular but for rounding
+        raw[f"_p_{tag}"] = f"CASE WHEN _{tag}__n > {len(terms)} THEN {fit} END"
     df = df.selectExpr(*df.columns, *[f"{e} AS {k}" for k, e in raw.items()])
 
     def guarded(simple: str, full: str) -> str:
@@ -196,14 +199,13 @@ def with_ma_forecast(df: DataFrame, y: str, keys: Sequence[str] = KEYS, time: st
     keep = list(df.columns)
     d = d.selectExpr(*d.columns, *[f"{v} OVER {b} AS {k}" for k, v in product_sums(["w1", "w2"], "s2").items()])
     c1, c2 = _solve(["w1", "w2"], lambda a, c: pair_name(a, c, "s2"))
-    d = d.withColumn("_e", F.expr(f"w - ({c1} * w1 + {c2} * w2)"))
+    d = d.withColumn("_e", F.expr(f"CASE WHEN _s2__n > 2 THEN w - ({c1} * w1 + {c2} * w2) END"))
     d = d.withColumns({f"e{k}": F.expr(f"lag(_e, {k}) OVER {o}") for k in (1, SEASON, SEASON + 1)})
     k = len(MA_TERMS)
     prods = product_sums(MA_TERMS, "ma")
-    known = " AND ".join(f"{t} IS NOT NULL" for t in [*MA_TERMS, "w"])
     d = d.selectExpr(*keep, "y1", "ys", "ys1", *MA_TERMS, f"count({y}) OVER {b} AS n_train", f"last({y}, true) OVER {b} AS last_train",
                      f"avg({y}) OVER {b} AS mean_train", f"max({y}) OVER {b} - min({y}) OVER {b} AS range_train",
-                     f"sum(CASE WHEN {known} THEN 1 ELSE 0 END) OVER {b} AS _rows", *[f"{v} OVER {b} AS {n}" for n, v in prods.items()])
+                     *[f"{v} OVER {b} AS {n}" for n, v in prods.items()])
     gram = F.array(*[F.col(pair_name(a, c, "ma")) for a in MA_TERMS for c in MA_TERMS])
     rhs = F.array(*[F.col(pair_name(a, "w", "ma")) for a in MA_TERMS])
     row = F.array(*MA_TERMS)
@@ -222,7 +224,7 @@ def with_ma_forecast(df: DataFrame, y: str, keys: Sequence[str] = KEYS, time: st
         return pd.Series(out)
 
     d = d.withColumn("_w_hat", F.nanvl(F.pandas_udf(batch, "double")(gram, rhs, row), F.lit(None)))
-    pick = "CASE WHEN _rows >= 12 THEN y1 + ys - ys1 + _w_hat END"
+    pick = "CASE WHEN _ma__n >= 12 THEN y1 + ys - ys1 + _w_hat END"
     pred = (f"CASE WHEN n_train >= {MIN_TRAIN_FULL} AND abs({pick} - mean_train) <= {RANGE_FACTOR} * (range_train + 1e-6D) THEN {pick} ELSE last_train END")
     return d.selectExpr(*keep, "n_train", f"{pred} AS pred_ma")
 
@@ -232,7 +234,7 @@ def with_ma_forecast(df: DataFrame, y: str, keys: Sequence[str] = KEYS, time: st
 
 def _gram_aggs(terms: Sequence[str], tag: str) -> dict[str, str]:
     known = " AND ".join(f"{t} IS NOT NULL" for t in [*terms, "w"])
-    return {**product_sums(terms, tag), f"_{tag}__yy": f"sum(CASE WHEN {known} THEN w * w END)", f"_{tag}__n": f"sum(CASE WHEN {known} THEN 1 ELSE 0 END)"}
+    return {**product_sums(terms, tag), f"_{tag}__yy": f"sum(CASE WHEN {known} THEN w * w END)"}
 
 
 def _rss(terms: Sequence[str], tag: str) -> str:

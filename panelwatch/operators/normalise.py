@@ -29,7 +29,7 @@ def minmax_train(value: str, in_train: str, keys: Sequence[str] = KEYS, clip: bo
     lo, hi = f"min({fitted}) OVER {_whole(keys)}", f"max({fitted}) OVER {_whole(keys)}"
     scaled = f"({value} - {lo}) / ({hi} - {lo})"
     scaled = f"greatest(0D, least(1D, {scaled}))" if clip else scaled
-    return F.expr(f"CASE WHEN {lo} IS NULL OR {lo} = {hi} THEN 0D ELSE {scaled} END")
+    return F.expr(f"CASE WHEN {lo} IS NULL OR {lo} = {hi} THEN 0D WHEN {value} IS NOT NULL THEN {scaled} END")
 
 
 def zscore_train(value: str, in_train: str, keys: Sequence[str] = KEYS) -> Column:

@@ -61,7 +61,8 @@ def price_months(spark: SparkSession, sf: str) -> DataFrame:
     return (
         lines.join(parts, "l_partkey")
         .groupBy("series_id", "month")
-        .agg(F.try_divide(F.sum("l_extendedprice"), F.sum("l_quantity")).alias("price"), F.count(F.lit(1)).alias("n_lines"))
+        .agg(F.sum("l_extendedprice").alias("sum_price"), F.sum("l_quantity").alias("sum_qty"), F.count(F.lit(1)).alias("n_lines"))
+        .withColumn("price", F.expr("try_divide(sum_price, sum_qty)"))
     )
 
 

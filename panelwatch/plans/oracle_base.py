@@ -4,7 +4,7 @@ from panelwatch.plans.registry import cte
 
 cte("x_price_raw", """
   SELECT p_brand AS series_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS month,
-         sum(l_extendedprice) / sum(l_quantity) AS price, count(*) AS n_lines
+         sum(l_extendedprice) / sum(l_quantity) AS price, sum(l_extendedprice) AS sum_price, sum(l_quantity) AS sum_qty, count(*) AS n_lines
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""")
 cte("x_price_spine", """
   SELECT series_id, CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS month

@@ -8,7 +8,7 @@ from panelwatch import config as K
 from panelwatch.functions import columns as C
 from panelwatch.operators import classify as CL, forecast as FC, index as X, normalise as N, panel as P, press
 from panelwatch.plans import inputs
-from panelwatch.plans.q_forecast import BLOCK, EXOG, MODELS, _sql_fill, gold
+from panelwatch.plans.q_forecast import BLOCK, EXOG, MODELS, _sql_fill, gold, sql_guard, sql_sums, sql_three, sql_two
 from panelwatch.plans.q_text import NEG, POS, STRONG, sql_any, sql_hits
 from panelwatch.plans.registry import cte, query
 from panelwatch.plans.stages import staged
@@ -437,14 +437,13 @@ def _variant_sql() -> None:
     cte("x_var_ic", f"""
       WITH g AS (SELECT series_id, variant, count(*) {full} AS n, {', '.join(f'sum({v}) {full} AS {k}' for k, v in three.items())} FROM x_var_w WHERE part = 'train' GROUP BY 1, 2)
       SELECT series_id, variant, n * ln((yy - {d1}/{det}*p - {d2}/{det}*q - {d3}/{det}*r) / n) + 6 AS aic FROM g WHERE n > 5""")
-    two = "FILTER (w IS NOT NULL AND w1 IS NOT NULL AND w2 IS NOT NULL)"
+    specs = {"a": ["w1"], "c": ["w1", "w2"], "ax": ["w1", "dx"], "cx": ["w1", "w2", "dx"]}
     cte("x_var_rmse", f"""
       WITH s AS (SELECT *, count(y) OVER b AS n_train, last_value(y IGNORE NULLS) OVER b AS last_y, avg(y) OVER b AS mean_y, max(y) OVER b - min(y) OVER b AS rng, count(x) OVER b AS nx,
-          {', '.join(f'sum({v}) {full} OVER b AS {k}' for k, v in three.items())}, {', '.join(f'sum({three[k]}) {two} OVER b AS u{k}' for k in 'abepq')}
-        FROM x_var_w WINDOW b AS (PARTITION BY series_id, variant ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-      r AS (SELECT *, y1 + y12 - y13 + CASE WHEN nx > 0 THEN {d1}/{det}*w1 + {d2}/{det}*w2 + {d3}/{det}*dx
-          ELSE (up*ue - uq*ub)/nullif(ua*ue - ub*ub, 0)*w1 + (uq*ua - up*ub)/nullif(ua*ue - ub*ub, 0)*w2 END AS raw FROM s WHERE part = 'test' AND y IS NOT NULL)
-      SELECT series_id, variant, sqrt(avg(power(y - CASE WHEN abs(raw - mean_y) <= 5 * (rng + 1e-6) THEN raw ELSE last_y END, 2))) AS rmse FROM r GROUP BY 1, 2""")
+          {', '.join(sql_sums(specs))} FROM x_var_w WINDOW b AS (PARTITION BY series_id, variant ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+      r AS (SELECT *, CASE WHEN a_n > 1 THEN y1 + y12 - y13 + a_w1_w / nullif(a_w1_w1, 0) * w1 END AS ra, y1 + y12 - y13 + {sql_two('c', 'w2')} AS rc,
+          y1 + y12 - y13 + {sql_two('ax', 'dx')} AS rax, y1 + y12 - y13 + {sql_three('cx', 'dx')} AS rcx FROM s WHERE part = 'test' AND y IS NOT NULL)
+      SELECT series_id, variant, sqrt(avg(power(y - CASE WHEN nx > 0 THEN {sql_guard('rax', 'rcx')} ELSE {sql_guard('ra', 'rc')} END, 2))) AS rmse FROM r GROUP BY 1, 2""")
     rows = "(SELECT series_id, variant, part, CAST(cls AS INTEGER) AS y, coalesce(x, 0) AS score FROM x_var_w WHERE cls IS NOT NULL)"
     cte("x_var_rows", f"SELECT * FROM {rows}")
     cte("x_var_train", curve_sql("(SELECT * FROM x_var_rows WHERE part = 'train')", "series_id, variant"))

@@ -50,6 +50,37 @@ def _sql_fill(c: str) -> str:
             f"first_value({c} IGNORE NULLS) OVER (PARTITION BY series_id, block ORDER BY month ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))")
 
 
+def sql_sums(specs: dict) -> list[str]:
+    """Running products of each specification over the rows where all its terms are known, and their number."""
+    out = []
+    for tag, terms in specs.items():
+        cond = " AND ".join(f"{t} IS NOT NULL" for t in terms + ["w"])
+        out.append(f"count(*) FILTER ({cond}) OVER b AS {tag}_n")
+        out += [f"sum({p} * {q}) FILTER ({cond}) OVER b AS {tag}_{p}_{q}" for i, p in enumerate(terms) for q in terms[i:] + ["w"]]
+    return out
+
+
+def sql_two(t, x):
+    d = f"nullif({t}_w1_w1 * {t}_{x}_{x} - {t}_w1_{x} * {t}_w1_{x}, 0)"
+    return f"CASE WHEN {t}_n > 2 THEN ({t}_w1_w * {t}_{x}_{x} - {t}_{x}_w * {t}_w1_{x}) / {d} * w1 + ({t}_{x}_w * {t}_w1_w1 - {t}_w1_w * {t}_w1_{x}) / {d} * {x} END"
+
+
+def sql_three(t, x):
+    a, b, c = f"{t}_w1_w1", f"{t}_w1_w2", f"{t}_w1_{x}"
+    e, f, i = f"{t}_w2_w2", f"{t}_w2_{x}", f"{t}_{x}_{x}"
+    p, q, r = f"{t}_w1_w", f"{t}_w2_w", f"{t}_{x}_w"
+    det = f"nullif({a}*({e}*{i}-{f}*{f}) - {b}*({b}*{i}-{f}*{c}) + {c}*({b}*{f}-{e}*{c}), 0)"
+    d1 = f"({p}*({e}*{i}-{f}*{f}) - {b}*({q}*{i}-{f}*{r}) + {c}*({q}*{f}-{e}*{r}))"
+    d2 = f"({a}*({q}*{i}-{f}*{r}) - {p}*({b}*{i}-{f}*{c}) + {c}*({b}*{r}-{q}*{c}))"
+    d3 = f"({a}*({e}*{r}-{q}*{f}) - {b}*({b}*{r}-{q}*{c}) + {p}*({b}*{f}-{e}*{c}))"
+    return f"CASE WHEN {t}_n > 3 THEN {d1}/{det}*w1 + {d2}/{det}*w2 + {d3}/{det}*{x} END"
+
+
+def sql_guard(s, f):
+    pick = f"CASE WHEN n_train < 36 THEN {s} ELSE coalesce({f}, {s}) END"
+    return f"CASE WHEN n_train < 24 THEN last_y WHEN abs({pick} - mean_y) <= 5 * (rng + 1e-6) THEN {pick} ELSE last_y END"
+
+
 def _forecast_ctes(prefix: str, source: str) -> None:
     """Blocks {prefix}_w (differences), {prefix}_s (sums), {prefix}_p (forecasts) over (series_id, block, month)."""
     cte(f"{prefix}_w", f"""
@@ -60,42 +91,19 @@ def _forecast_ctes(prefix: str, source: str) -> None:
         FROM f WINDOW o AS {O}),
       w AS (SELECT *, y - y1 - y12 + y13 AS w FROM d)
       SELECT *, lag(w, 1) OVER o AS w1, lag(w, 2) OVER o AS w2, lag(w, 3) OVER o AS w3 FROM w WINDOW o AS {O}""")
-    sums = []
-    for tag, terms in {"a": ["w1"], "c": ["w1", "w2"], "ab": ["w1", "db"], "cb": ["w1", "w2", "db"], "ah": ["w1", "dh"], "ch": ["w1", "w2", "dh"]}.items():
-        cond = " AND ".join(f"{t} IS NOT NULL" for t in terms + ["w"])
-        for i, p in enumerate(terms):
-            for q in terms[i:] + ["w"]:
-                sums.append(f"sum({p} * {q}) FILTER ({cond}) OVER b AS {tag}_{p}_{q}")
+    sums = sql_sums({"a": ["w1"], "c": ["w1", "w2"], "ab": ["w1", "db"], "cb": ["w1", "w2", "db"], "ah": ["w1", "dh"], "ch": ["w1", "w2", "dh"]})
     cte(f"{prefix}_s", f"""
       SELECT *, count(y) OVER b AS n_train, last_value(y IGNORE NULLS) OVER b AS last_y, avg(y) OVER b AS mean_y, max(y) OVER b - min(y) OVER b AS rng,
         count(xb) OVER b AS nb, count(xh) OVER b AS nh, {', '.join(sums)}
       FROM {prefix}_w WINDOW b AS {B}""")
 
-    def two(t, x):
-        d = f"nullif({t}_w1_w1 * {t}_{x}_{x} - {t}_w1_{x} * {t}_w1_{x}, 0)"
-        return f"({t}_w1_w * {t}_{x}_{x} - {t}_{x}_w * {t}_w1_{x}) / {d} * w1 + ({t}_{x}_w * {t}_w1_w1 - {t}_w1_w * {t}_w1_{x}) / {d} * {x}"
-
-    def three(t, x):
-        a, b, c = f"{t}_w1_w1", f"{t}_w1_w2", f"{t}_w1_{x}"
-        e, f, i = f"{t}_w2_w2", f"{t}_w2_{x}", f"{t}_{x}_{x}"
-        p, q, r = f"{t}_w1_w", f"{t}_w2_w", f"{t}_{x}_w"
-        det = f"nullif({a}*({e}*{i}-{f}*{f}) - {b}*({b}*{i}-{f}*{c}) + {c}*({b}*{f}-{e}*{c}), 0)"
-        d1 = f"({p}*({e}*{i}-{f}*{f}) - {b}*({q}*{i}-{f}*{r}) + {c}*({q}*{f}-{e}*{r}))"
-        d2 = f"({a}*({q}*{i}-{f}*{r}) - {p}*({b}*{i}-{f}*{c}) + {c}*({b}*{r}-{q}*{c}))"
-        d3 = f"({a}*({e}*{r}-{q}*{f}) - {b}*({b}*{r}-{q}*{c}) + {p}*({b}*{f}-{e}*{c}))"
-        return f"{d1}/{det}*w1 + {d2}/{det}*w2 + {d3}/{det}*{x}"
-
-    def guard(s, f):
-        pick = f"CASE WHEN n_train < 36 THEN {s} ELSE coalesce({f}, {s}) END"
-        return f"CASE WHEN n_train < 24 THEN last_y WHEN abs({pick} - mean_y) <= 5 * (rng + 1e-6) THEN {pick} ELSE last_y END"
-
     cte(f"{prefix}_p", f"""
-      WITH r AS (SELECT *, y1 + y12 - y13 AS base, y1 + y12 - y13 + a_w1_w / nullif(a_w1_w1, 0) * w1 AS ra, y1 + y12 - y13 + {two('c', 'w2')} AS rc,
-         y1 + y12 - y13 + {two('ab', 'db')} AS rab, y1 + y12 - y13 + {three('cb', 'db')} AS rcb,
-         y1 + y12 - y13 + {two('ah', 'dh')} AS rah, y1 + y12 - y13 + {three('ch', 'dh')} AS rch FROM {prefix}_s)
-      SELECT series_id, block, month, part, y, n_train, last_y AS pred_naive, {guard('ra', 'rc')} AS pred_seasonal, {guard('ra', 'ra')} AS pred_simple,
-        CASE WHEN nb > 0 THEN {guard('rab', 'rcb')} ELSE {guard('ra', 'rc')} END AS pred_behavioural,
-        CASE WHEN nh > 0 THEN {guard('rah', 'rch')} ELSE {guard('ra', 'rc')} END AS pred_hybrid FROM r""")
+      WITH r AS (SELECT *, CASE WHEN a_n > 1 THEN y1 + y12 - y13 + a_w1_w / nullif(a_w1_w1, 0) * w1 END AS ra, y1 + y12 - y13 + {sql_two('c', 'w2')} AS rc,
+         y1 + y12 - y13 + {sql_two('ab', 'db')} AS rab, y1 + y12 - y13 + {sql_three('cb', 'db')} AS rcb,
+         y1 + y12 - y13 + {sql_two('ah', 'dh')} AS rah, y1 + y12 - y13 + {sql_three('ch', 'dh')} AS rch FROM {prefix}_s)
+      SELECT series_id, block, month, part, y, n_train, last_y AS pred_naive, {sql_guard('ra', 'rc')} AS pred_seasonal, {sql_guard('ra', 'ra')} AS pred_simple,
+        CASE WHEN nb > 0 THEN {sql_guard('rab', 'rcb')} ELSE {sql_guard('ra', 'rc')} END AS pred_behavioural,
+        CASE WHEN nh > 0 THEN {sql_guard('rah', 'rch')} ELSE {sql_guard('ra', 'rc')} END AS pred_hybrid FROM r""")
 
 
 cte("x_all_rows", "SELECT *, 'all' AS block, 'test' AS part FROM x_gold")
@@ -286,8 +294,8 @@ def order_grid(spark, sf):
   d AS (SELECT sp.series_id, sp.day, y, lag(y, 1) OVER o AS y1, lag(y, 7) OVER o AS y7, lag(y, 8) OVER o AS y8 FROM sp LEFT JOIN m ON m.series_id = sp.series_id AND m.day = sp.day WINDOW o AS (PARTITION BY sp.series_id ORDER BY sp.day)),
   w AS (SELECT *, y - y1 - y7 + y8 AS w FROM d), l AS (SELECT *, lag(w) OVER (PARTITION BY series_id ORDER BY day) AS w1 FROM w),
   s AS (SELECT *, count(y) OVER b AS n_train, last_value(y IGNORE NULLS) OVER b AS last_y, avg(y) OVER b AS mean_y, max(y) OVER b - min(y) OVER b AS rng,
-     sum(w1 * w) OVER b AS sw, sum(w1 * w1) FILTER (w IS NOT NULL) OVER b AS sww FROM l WINDOW b AS (PARTITION BY series_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-  p AS (SELECT *, y1 + y7 - y8 + sw / nullif(sww, 0) * w1 AS raw FROM s)
+     sum(w1 * w) OVER b AS sw, sum(w1 * w1) FILTER (w IS NOT NULL) OVER b AS sww, count(*) FILTER (w1 IS NOT NULL AND w IS NOT NULL) OVER b AS m FROM l WINDOW b AS (PARTITION BY series_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  p AS (SELECT *, CASE WHEN m > 1 THEN y1 + y7 - y8 + sw / nullif(sww, 0) * w1 END AS raw FROM s)
   SELECT series_id, day, n_train, round(CASE WHEN n_train < 24 THEN last_y WHEN abs(raw - mean_y) <= 5 * (rng + 1e-6) THEN raw ELSE last_y END, 3) AS pred_seasonal FROM p WHERE n_train < 36""")
 def forecast_daily(spark, sf):
     """The same operator on a daily panel with a weekly season; here while the simple order applies."""

@@ -471,10 +471,10 @@ def medallion_roundtrip(spark, sf):
 
 
 @query("resolve_columns", """
-  SELECT series_id, month AS raw_date, round(price, 4) AS raw_value, round(price, 4) AS fao_food_index, CAST(n_lines AS DOUBLE) AS fao_cereals_index, CAST(NULL AS DOUBLE) AS fao_oils_index FROM x_price_raw""")
+  SELECT series_id, month AS raw_date, round(sum_price, 2) AS raw_value, round(sum_price, 2) AS fao_food_index, CAST(n_lines AS DOUBLE) AS fao_cereals_index, CAST(NULL AS DOUBLE) AS fao_oils_index FROM x_price_raw""")
 def resolve_columns(spark, sf):
     """Alias, numeric-fallback and substring resolution on renamed headers."""
-    p = inputs.price_months(spark, sf).withColumn("price", r4("price"))
+    p = inputs.price_months(spark, sf).withColumn("price", F.round("sum_price", 2))
     messy = p.select("series_id", F.col("month").alias("Mois"), F.col("price").alias("Food Price Index 2014=100"), F.col("n_lines").alias("cereals"))
     names = {k: v for k, v in K.FOOD_PRICE_COLUMNS.items() if v in ("fao_food_index", "fao_cereals_index", "fao_oils_index")}
     with_id = landed.resolve_date_value(messy, keep=messy.columns)
@@ -494,8 +494,8 @@ def safe_cast_ingest(spark, sf):
 
 
 @query("ingest_quality", """
-  SELECT series_id, count(*) AS n_loaded, count(*) FILTER (price IS NULL) AS n_null, round(min(price), 4) AS min_value, round(max(price), 4) AS max_value, round(avg(price), 4) AS mean_value,
+  SELECT series_id, count(*) AS n_loaded, count(*) FILTER (sum_price IS NULL) AS n_null, round(min(sum_price), 2) AS min_value, round(max(sum_price), 2) AS max_value, round(avg(sum_price), 6) AS mean_value,
     90::BIGINT AS n_expected, 90 - count(*) AS n_missing, 90 - count(*) > 6 AS gap_warning FROM x_price_raw GROUP BY 1""")
 def ingest_quality(spark, sf):
-    q = landed.quality_report(inputs.price_months(spark, sf), "price", "1995-01-01", "2002-06-01")
-    return q.withColumns({c: r4(c) for c in ("min_value", "max_value", "mean_value")})
+    q = landed.quality_report(inputs.price_months(spark, sf), "sum_price", "1995-01-01", "2002-06-01")
+    return q.withColumns({c: F.round(c, d) for c, d in {"min_value": 2, "max_value": 2, "mean_value": 6}.items()})

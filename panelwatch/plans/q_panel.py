@@ -42,11 +42,11 @@ def publication_dates(spark, sf):
 
 
 @query("date_range_slice", """
-  SELECT series_id, month, round(price, 4) AS price, n_lines FROM x_price_raw
+  SELECT series_id, month, round(sum_price, 2) AS sum_price, sum_qty, n_lines FROM x_price_raw
   WHERE month BETWEEN DATE '1996-03-01' AND DATE '1998-06-01'""")
 def date_range_slice(spark, sf):
     return inputs.price_months(spark, sf).where(C.in_range("month", "1996-03-01", "1998-06-01")).select(
-        "series_id", "month", r4("price").alias("price"), "n_lines")
+        "series_id", "month", F.round("sum_price", 2).alias("sum_price"), "sum_qty", "n_lines")
 
 
 SPLIT_CASE = """
@@ -111,11 +111,11 @@ def eval_windows(spark, sf):
 
 @query("calendar_align", """
   WITH spine AS (SELECT DISTINCT series_id, CAST(unnest(generate_series(DATE '1994-11-01', DATE '2002-01-01', INTERVAL 1 MONTH)) AS DATE) AS month FROM x_price_raw)
-  SELECT s.series_id, s.month, round(r.price, 4) AS price, r.n_lines FROM spine s LEFT JOIN x_price_raw r
+  SELECT s.series_id, s.month, round(r.sum_price, 2) AS sum_price, r.sum_qty, r.n_lines FROM spine s LEFT JOIN x_price_raw r
   ON r.series_id = s.series_id AND r.month = s.month""")
 def calendar_align(spark, sf):
-    aligned = P.align_calendar(inputs.price_months(spark, sf), ["price", "n_lines"], "1994-11-01", "2002-01-01")
-    return aligned.withColumn("price", r4("price"))
+    aligned = P.align_calendar(inputs.price_months(spark, sf), ["sum_price", "sum_qty", "n_lines"], "1994-11-01", "2002-01-01")
+    return aligned.withColumn("sum_price", F.round("sum_price", 2))
 
 
 @query("resample_monthly", """
@@ -278,10 +278,9 @@ cte("x_train_stats", """
 
 
 @query("minmax_train_clip", """
-  SELECT series_id, month, round(greatest(0, least(1, (ipc_level - lo) / (hi - lo))), 4) AS scaled FROM x_panel JOIN x_train_stats USING (series_id)""")
+  SELECT series_id, month, CASE WHEN ipc_level IS NOT NULL THEN round(greatest(0, least(1, (ipc_level - lo) / (hi - lo))), 4) END AS scaled FROM x_panel JOIN x_train_stats USING (series_id)""")
 def minmax_train_clip(spark, sf):
     scaled = N.minmax_train("ipc_level", N.train_rows(PANEL_TRAIN_END))
-    scaled = F.when(F.col("ipc_level").isNotNull(), scaled)
     return inputs.price_panel(spark, sf).select("series_id", "month", r4(scaled).alias("scaled"))
 
 
