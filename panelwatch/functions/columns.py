@@ -43,6 +43,16 @@ def in_range(month, start: str, end: str) -> Column:
     return as_col(month).between(F.lit(start).cast("date"), F.lit(end).cast("date"))
 
 
+def in_months(stamp: str, start: str, end: str) -> Column:
+    """Closed month range on a raw time stamp, as a comparison the file scan can use."""
+    return F.expr(f"{stamp} >= TIMESTAMP_NTZ '{start} 00:00:00' AND {stamp} < CAST(add_months(DATE '{end}', 1) AS TIMESTAMP_NTZ)")
+
+
+def declared_rank(c: str, order: Sequence[str]) -> Column:
+    """Position of a label in its declared order, from 0; null for a label outside it."""
+    return F.expr(f"CASE {c} " + " ".join(f"WHEN '{v}' THEN {i}" for i, v in enumerate(order)) + " END")
+
+
 def split_label(month, windows: Sequence[EvalWindow]) -> Column:
     """``train_X`` / ``test_X`` per window in window order, joined by ``|``; else ``unused``."""
     parts = [

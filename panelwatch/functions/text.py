@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -96,12 +97,15 @@ def language_profile(token_array) -> Column:
 
 
 def contains_any(text, terms: Sequence[str]) -> Column:
-    """Case-insensitive substring test against a term list."""
-    lowered = F.lower(as_col(text))
-    cond = F.lit(False)
-    for term in terms:
-        cond = cond | lowered.contains(term.lower())
-    return F.coalesce(cond, F.lit(False))
+    """Case-insensitive substring test against a term list; null text is false.
+
+    The lambda binds the lowered text, so it is made once per row and not once per term
+    (a filter does not share repeated parts of its condition).
+    """
+    def hit(low: Column) -> Column:
+        return reduce(lambda a, b: a | b, [low.contains(t.lower()) for t in terms])
+
+    return F.exists(F.array(F.coalesce(F.lower(as_col(text)), F.lit(""))), hit)
 
 
 def theme_labels(text, themes: Mapping[str, Sequence[str]]) -> Column:

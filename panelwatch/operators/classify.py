@@ -56,14 +56,8 @@ def threshold_curve(rows: DataFrame, by: Sequence[str], y: str = "y", score: str
     counts = rows.where(f"{y} IS NOT NULL AND {score} IS NOT NULL").groupBy(*by, F.col(score).alias("threshold")).agg(
         F.expr(f"sum({y})").cast("bigint").alias("_p"), F.expr(f"sum(1 - {y})").cast("bigint").alias("_q"))
     run = running_totals(counts, by, "threshold", ["_p", "_q"], bounded=bounded)
-    if bounded:
-        part = f"(PARTITION BY {', '.join(by)})"
-        run = run.selectExpr("*", f"sum(_p) OVER {part} AS n_pos", f"sum(_q) OVER {part} AS n_neg")
-    else:
-        totals = counts.groupBy(*by).agg(F.sum("_p").alias("n_pos"), F.sum("_q").alias("n_neg"))
-        run = run.join(totals, list(by))
     out = run.selectExpr(
-        *by, "threshold", "n_pos", "n_neg", "cum__p AS tp", "cum__q AS fp", "n_pos - cum__p AS fn", "n_neg - cum__q AS tn", "cum__p - _p AS prev_tp", "cum__q - _q AS prev_fp")
+        *by, "threshold", "total__p AS n_pos", "total__q AS n_neg", "cum__p AS tp", "cum__q AS fp", "total__p - cum__p AS fn", "total__q - cum__q AS tn", "cum__p - _p AS prev_tp", "cum__q - _q AS prev_fp")
     return with_metrics(out)
 
 

@@ -107,11 +107,9 @@ def candidate_terms(occurrences: DataFrame, excluded: Sequence[str], seeds: Sequ
     ``occurrences`` is ``(term, seen)`` with ``seen`` a long that grows in reading order.
     Candidates are at least ``min_length`` long and contain no excluded term.
     """
-    lowered = F.lower("term")
-    noisy = F.lit(False)
-    for x in excluded:
-        noisy = noisy | lowered.contains(x)
-    kept = occurrences.where((F.length("term") >= min_length) & ~noisy).groupBy("term").agg(F.min("seen").alias("seen"))
+    # first the aggregate (map-side combine), then the substring tests on distinct terms only
+    distinct = occurrences.where(F.length("term") >= min_length).groupBy("term").agg(F.min("seen").alias("seen"))
+    kept = distinct.where(~T.contains_any("term", excluded))
     spark = occurrences.sparkSession
     seed_rows = spark.createDataFrame([(s, i) for i, s in enumerate(seeds)], "term string, seed_rank int")
     return (

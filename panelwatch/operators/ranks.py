@@ -32,15 +32,17 @@ def running_totals(
     bounded: bool = False,
     cells: int = CELLS,
 ) -> DataFrame:
-    """Add ``cum_{m}`` for each measure: the total over rows at or beyond this value.
+    """Add ``cum_{m}`` (total over rows at or beyond this value) and ``total_{m}`` per measure.
 
     ``df`` holds one row per ``(keys, value)``. ``bounded`` is for scopes whose number of
     distinct values has a fixed limit (the months of a panel): a plain window.
     """
     order = F.col(value).desc() if descending else F.col(value).asc()
     if bounded:
-        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({f"cum_{m}": F.sum(m).over(w) for m in measures})
+        w = _window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+        whole = Window.partitionBy(*keys)
+        return df.withColumns({
+            **{f"cum_{m}": F.sum(m).over(w) for m in measures}, **{f"total_{m}": F.sum(m).over(whole) for m in measures}})
 
     keys = list(keys)
     bounds1 = df.groupBy(*keys).agg(F.min(value).alias("_lo1"), F.max(value).alias("_hi1"))
@@ -50,7 +52,10 @@ def running_totals(
     )
     c1_order = F.col("_c1").desc() if descending else F.col("_c1").asc()
     w1 = _window(keys, c1_order).rowsBetween(Window.unboundedPreceding, -1)
-    bounds2 = bounds2.withColumns({f"_p1_{m}": F.coalesce(F.sum(f"_t1_{m}").over(w1), F.lit(0)) for m in measures})
+    # at most ``cells`` rows per scope here: prefixes and scope totals
+    bounds2 = bounds2.withColumns({
+        **{f"_p1_{m}": F.coalesce(F.sum(f"_t1_{m}").over(w1), F.lit(0)) for m in measures},
+        **{f"total_{m}": F.sum(f"_t1_{m}").over(Window.partitionBy(*keys)) for m in measures}})
     d2 = d1.join(bounds2, [*keys, "_c1"]).withColumn("_c2", _cell(F.col(value), F.col("_lo2"), F.col("_hi2"), cells))
     totals2 = d2.groupBy(*keys, "_c1", "_c2").agg(*[F.sum(m).alias(f"_t2_{m}") for m in measures])
     c2_order = F.col("_c2").desc() if descending else F.col("_c2").asc()
@@ -62,7 +67,7 @@ def running_totals(
     fine = _window([*keys, "_c1", "_c2"], order).rowsBetween(Window.unboundedPreceding, 0)
     cums = {f"cum_{m}": F.sum(m).over(fine) + F.col(f"_p1_{m}") + F.col(f"_p2_{m}") for m in measures}
     out = d3.withColumns(cums)
-    return out.select(*df.columns, *cums)
+    return out.select(*df.columns, *cums, *[f"total_{m}" for m in measures])
 
 
 def _window(keys: Sequence[str], order: Column):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from panelwatch.functions.columns import month_start
+from panelwatch.functions.columns import in_months, month_start
 from panelwatch.operators.panel import densify, pct_change
 
 # Search theme of each market segment, macro column of each region.
@@ -45,18 +45,33 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents, spread over all cores when the files have fewer splits than that.
+def spread(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
+    """A text table spread over all cores when its files have fewer splits than that.
 
     Only small inputs are shuffled (fewer splits than cores); large ones are read as they lie.
     """
-    docs, cores = table(spark, sf, "documents"), spark.sparkContext.defaultParallelism
-    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
+    df, cores = table(spark, sf, name), spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(spark, sf, "documents", "doc_id")
 
 
-def price_months(spark: SparkSession, sf: str) -> DataFrame:
-    """Unit price per brand and month. The hot side is reduced by map-side aggregation."""
-    lines = table(spark, sf, "lineitem").select("l_partkey", "l_quantity", "l_extendedprice", month_start("l_shipdate").alias("month"))
+def pages(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(spark, sf, "pages", "page_id")
+
+
+def price_months(spark: SparkSession, sf: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Unit price per brand and month, optionally of a closed month range.
+
+    The range is put on the raw time stamp, so it reaches the file scan. A hot part is
+    split by the adaptive skew join; the sums are combined on the map side.
+    """
+    raw = table(spark, sf, "lineitem")
+    if start and end:
+        raw = raw.where(in_months("l_shipdate", start, end))
+    lines = raw.select("l_partkey", "l_quantity", "l_extendedprice", month_start("l_shipdate").alias("month"))
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("series_id"))
     return (
         lines.join(parts, "l_partkey")

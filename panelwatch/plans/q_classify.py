@@ -326,10 +326,10 @@ def period_table(g: DataFrame) -> DataFrame:
     return base.join(conf, by, "left").join(areas, by, "left")
 
 
-@query("metrics_by_period", f"SELECT series_id, period, model, n_obs, {', '.join(f'round({c}, 3) AS {c}' for c in PERIOD_VALUES)} FROM x_periods")
+@query("metrics_by_period", f"SELECT series_id, period, model, list_position([{', '.join(repr(p) for p in PERIODS)}], period) - 1 AS period_rank, list_position({MODELS}, model) - 1 AS model_rank, n_obs, {', '.join(f'round({c}, 3) AS {c}' for c in PERIOD_VALUES)} FROM x_periods")
 def metrics_by_period(spark, sf):
     t = period_table(gold(spark, sf))
-    return t.select("series_id", "period", "model", "n_obs", *[r3(c).alias(c) for c in PERIOD_VALUES])
+    return t.select("series_id", "period", "model", C.declared_rank("period", list(PERIODS)).alias("period_rank"), C.declared_rank("model", MODELS).alias("model_rank"), "n_obs", *[r3(c).alias(c) for c in PERIOD_VALUES])
 
 
 @query("period_notes", """
@@ -365,12 +365,16 @@ cte("x_blends", """
 def text_panel(spark, sf) -> DataFrame:
     """Monthly text score on the months of the price panel, scaled on the training part."""
     month = F.add_months(F.lit("1995-01-01").cast("date"), F.pmod("doc_id", F.lit(83)).cast("int"))
-    docs = inputs.table(spark, sf, "documents").select(month.alias("month"), "text")
+    docs = inputs.documents(spark, sf).select(month.alias("month"), "text")
     scored = press.with_scores(docs, NEG, POS, STRONG).groupBy("month").agg(F.avg("score").alias("s")).withColumn("series_id", F.lit("all"))
     return scored.select("month", N.minmax_train("s", N.train_rows(K.PANEL_TRAIN_END)).alias("text_norm"))
 
 
 def blends(spark, sf) -> DataFrame:
+    return staged(spark, sf, "blends", build_blends)
+
+
+def build_blends(spark, sf) -> DataFrame:
     """Gold with the text signal (0 where there is none; one row per month) and the fixed blend."""
     g = gold(spark, sf).join(F.broadcast(text_panel(spark, sf)), "month", "left").withColumn("text_norm", F.coalesce("text_norm", F.lit(0.0)))
     return g.withColumn("blend_fixed", X.blend(F.col("behavioural_index"), F.col("text_norm")))

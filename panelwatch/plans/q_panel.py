@@ -45,7 +45,7 @@ def publication_dates(spark, sf):
   SELECT series_id, month, round(sum_price, 2) AS sum_price, sum_qty, n_lines FROM x_price_raw
   WHERE month BETWEEN DATE '1996-03-01' AND DATE '1998-06-01'""")
 def date_range_slice(spark, sf):
-    return inputs.price_months(spark, sf).where(C.in_range("month", "1996-03-01", "1998-06-01")).select(
+    return inputs.price_months(spark, sf, "1996-03-01", "1998-06-01").select(
         "series_id", "month", F.round("sum_price", 2).alias("sum_price"), "sum_qty", "n_lines")
 
 

@@ -73,7 +73,7 @@ def sql_clean(column: str) -> str:
 @query("html_clean", f"SELECT page_id, md5(t) AS text_hash, length(t) AS n_chars FROM (SELECT page_id, {sql_clean('html')} AS t FROM pages)")
 def html_clean(spark: SparkSession, sf: str) -> DataFrame:
     t = T.clean_html("html")
-    return inputs.table(spark, sf, "pages").select("page_id", t.alias("t")).select(
+    return inputs.pages(spark, sf).select("page_id", t.alias("t")).select(
         "page_id", F.md5(F.col("t").cast("binary")).alias("text_hash"), F.length("t").cast("bigint").alias("n_chars"))
 
 
@@ -88,7 +88,7 @@ TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 def pages_to_articles(spark, sf):
     """Landed pages to article rows; every 17th has no readable date."""
     day = F.date_add(F.lit("2023-01-15").cast("date"), F.pmod("page_id", F.lit(400)).cast("int"))
-    landed_pages = inputs.table(spark, sf, "pages").select(
+    landed_pages = inputs.pages(spark, sf).select(
         "page_id", "url", "html", F.when(F.pmod("page_id", F.lit(17)) != 0, day.cast("string")).alias("published"),
         F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title_html"))
     a = landed.parse_articles(landed_pages, "page_id", "url", "published", "title_html", "html", ECO)
