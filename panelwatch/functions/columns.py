@@ -71,15 +71,6 @@ def index_band(value) -> Column:
     return F.when(v < 0.35, "normal").when(v < 0.65, "warning").when(v.isNotNull(), "high")
 
 
-def ratio_or_null(a, b) -> Column:
-    """Division that gives null instead of an error or infinity when the divisor is 0."""
-    return F.try_divide(as_col(a), as_col(b))
-
-
-def ratio_or_zero(a, b) -> Column:
-    return F.coalesce(ratio_or_null(a, b), F.lit(0.0))
-
-
 def add_all(cols: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, cols)
 
@@ -91,12 +82,6 @@ def row_mean(cols: Sequence[str]) -> Column:
     return F.expr(f"try_divide({total}, {count})")
 
 
-def month_index(month) -> Column:
-    """Months since year 0; differences are month distances."""
-    m = as_col(month)
-    return F.year(m) * 12 + F.month(m)
-
-
 def month_cycle(month) -> tuple[Column, Column]:
     """sin and cos of the position in the year."""
     angle = F.month(as_col(month)) * F.lit(2.0) * F.pi() / F.lit(12.0)
@@ -114,23 +99,3 @@ def normal_cdf(x) -> Column:
         poly = (poly + F.lit(a)) * t
     erf = F.lit(1.0) - poly * F.exp(-z * z)
     return F.when(v >= 0, F.lit(0.5) * (F.lit(1.0) + erf)).otherwise(F.lit(0.5) * (F.lit(1.0) - erf))
-
-
-def hash_draw(n: Column, rep: Column, pos: Column, seed: int) -> Column:
-    """Deterministic integer in [0, n) from (replicate, position, seed).
-
-    Two multiplicative steps modulo the Mersenne prime 2^31-1; no product leaves
-    int64, and a task that is run again draws the same numbers.
-    """
-    return hash_state(rep, pos, seed) % n.cast("long")
-
-
-def hash_state(rep: Column, pos: Column, seed: int) -> Column:
-    m = F.lit(2147483647).cast("long")
-    mixed = rep.cast("long") * F.lit(7919) + pos.cast("long") * F.lit(104729) + F.lit(seed).cast("long") * F.lit(1299721)
-    return (mixed % m) * F.lit(48271) % m
-
-
-def hash_uniform(rep: Column, pos: Column, seed: int) -> Column:
-    """Deterministic uniform in (0, 1)."""
-    return (hash_state(rep, pos, seed).cast("double") + F.lit(0.5)) / F.lit(2147483647.0)

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from panelwatch.config import TREND_THEMES
 from panelwatch.functions.columns import add_all, row_mean
 from panelwatch.operators.normalise import minmax
 from panelwatch.operators.panel import KEYS, TIME, densify, fill_gaps, forward_fill, over
@@ -16,7 +17,7 @@ FOLDS = 5
 MIN_ROWS = 12
 
 
-def theme_subindices(df: DataFrame, themes: Mapping[str, Sequence[str]], keys: Sequence[str] = KEYS, time: str = TIME) -> DataFrame:
+def theme_subindices(df: DataFrame, themes: Mapping[str, Sequence[str]] = TREND_THEMES, keys: Sequence[str] = KEYS, time: str = TIME) -> DataFrame:
     """Per theme the mean of its available keywords, scaled 0-1 per series; their mean as composite.
 
     ``df`` is long ``(keys, time, keyword, value)``. A theme without any keyword stays null.

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelwatch.functions.columns import as_col, month_index
+from panelwatch.functions.columns import as_col
 
 KEYS = ["series_id"]
 TIME = "month"
@@ -225,7 +225,3 @@ def resample_mean(df: DataFrame, value: str, stamp: str, keys: Sequence[str] = K
     """Mean per calendar month, empty months between kept as null."""
     monthly = df.groupBy(*keys, F.trunc(F.col(stamp).cast("date"), "MM").alias(TIME)).agg(F.avg(value).alias(value))
     return densify(monthly, [value], keys)
-
-
-def month_distance(later, earlier) -> Column:
-    return month_index(later) - month_index(earlier)

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from panelwatch.config import INTENSIFIERS, NEGATIVE_TERMS, POSITIVE_TERMS, PRESS_THEMES
 from panelwatch.functions import text as T
 from panelwatch.functions.columns import row_mean
 from panelwatch.operators.normalise import minmax
@@ -13,7 +14,8 @@ from panelwatch.operators.normalise import minmax
 THEME_COUNTS = {"themes_prix": "prix", "themes_inflation": "inflation", "themes_alim": "alimentaire"}
 
 
-def with_themes(df: DataFrame, themes: Mapping[str, Sequence[str]], text: str = "text") -> DataFrame:
+def with_themes(df: DataFrame, themes: Mapping[str, Sequence[str]] = PRESS_THEMES, text: str = "text") -> DataFrame:
+    """``themes`` (array, declared order) and ``n_themes`` of each article."""
     labels = T.theme_labels(text, themes)
     return df.withColumn("themes", labels).withColumn("n_themes", F.size("themes"))
 
@@ -46,8 +48,12 @@ def cleaned(df: DataFrame, text: str = "text", stop_words: Sequence[str] | None
     })
 
 
-def with_scores(df: DataFrame, negative: Sequence[str], positive: Sequence[str], intensifiers: Sequence[str], text: str = "text") -> DataFrame:
-    """Per document: negative and positive hits and the lexicon score of the lower-cased text."""
+def with_scores(df: DataFrame, negative: Sequence[str] = tuple(T.lexicon_terms(NEGATIVE_TERMS)), positive: Sequence[str] = tuple(T.lexicon_terms(POSITIVE_TERMS)),
+                intensifiers: Sequence[str] = tuple(T.lexicon_terms(INTENSIFIERS)), text: str = "text") -> DataFrame:
+    """Per document: negative and positive hits and the lexicon score of the lower-cased text.
+
+    The default lists are the built-in ones, mapped like cleaned text.
+    """
     df = df.withColumn("_low", F.lower(F.coalesce(text, F.lit(""))))
     df = df.withColumns({"neg_hits": T.term_hits("_low", negative), "pos_hits": T.term_hits("_low", positive)})
     score = T.lexicon_score("neg_hits", "pos_hits", "_low", intensifiers)

@@ -50,9 +50,10 @@ def national_macro(spark: SparkSession, sf: str) -> DataFrame:
 
 def national_signals(spark: SparkSession, sf: str) -> DataFrame:
     """Trends, macro and both equal-weight indices, one row per month."""
-    trends = X.equal_index(national_trends(spark, sf).drop("n_keywords_used"), inputs.TREND_COLUMNS, "behavioural_index")
+    trends = national_trends(spark, sf).drop("n_keywords_used")
+    trends = X.equal_index(trends, X.feature_names(trends.columns), "behavioural_index")
     macro = national_macro(spark, sf)
-    yoy = list(inputs.MACRO_YOY.values())
+    yoy = X.yoy_names(macro.columns)
     joined = trends.join(macro.drop("series_id"), "month", "full_outer").select(
         F.lit("all").alias("series_id"), F.col("behavioural_index").isNotNull().alias("_in"), *[c for c in [*trends.columns, *macro.columns[2:]] if c != "series_id"])
     # months without a behavioural index form their own partition and get no hybrid index

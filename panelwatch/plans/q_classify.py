@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelwatch import config as K
@@ -385,8 +387,7 @@ def blend_fixed(spark, sf):
     return blends(spark, sf).select("series_id", "month", *[r4(c).alias(c) for c in ("behavioural_index", "text_norm", "blend_fixed")])
 
 
-@query("blend_lasso")
-def blend_lasso(spark, sf):
+def lasso_blend(spark, sf) -> DataFrame:
     """Blend weights per series from the positive lasso on the unscaled signals (null counts as 0)."""
     b = blends(spark, sf)
     feats = ["behavioural_index", "text_norm"]
@@ -395,26 +396,31 @@ def blend_lasso(spark, sf):
     fits = X.fit_weights(X.gram_by_fold(train, feats, "y"), feats, "lasso", standardise=False)
     # all-zero coefficients put the whole weight on the behavioural index
     w = fits.selectExpr("series_id", "CASE WHEN method = 'equal' THEN 1D ELSE weight[0] END AS alpha", "CASE WHEN method = 'equal' THEN 0D ELSE weight[1] END AS beta")
-    return b.join(w, "series_id").selectExpr("series_id", "month", "alpha", "beta", "alpha * behavioural_index + beta * text_norm AS blend_lasso")
+    return b.join(w, "series_id").withColumn("blend_lasso", F.expr("alpha * behavioural_index + beta * text_norm"))
+
+
+@query("blend_lasso")
+def blend_lasso(spark, sf):
+    return lasso_blend(spark, sf).select("series_id", "month", "alpha", "beta", "blend_lasso")
 
 
 VARIANTS = {"behavioural": "behavioural_index_lag1", "blend": "blend_fixed_lag1", "text": "text_norm_lag1"}
 
 
-def comparison(spark, sf) -> DataFrame:
+def comparison(b: DataFrame, variants: dict[str, str] = VARIANTS) -> DataFrame:
     """Per series and signal variant on block B: AIC, RMSE, threshold metrics, AP, AIC difference to the first."""
     win = [w for w in K.PANEL_WINDOWS if w.label == "B"]
-    b = P.add_lags(blends(spark, sf).drop("behavioural_index_lag1"), {"behavioural_index": [1], "blend_fixed": [1], "text_norm": [1]})
-    cols = list(VARIANTS.values())
+    b = P.add_lags(b.drop("behavioural_index_lag1"), {c.removesuffix("_lag1"): [1] for c in variants.values()})
+    cols = list(variants.values())
     b = FC.eval_blocks(b.select("series_id", "month", "ipc_level", "target_high_inflation_regime_t1", *cols), win)
-    fc = FC.walk_forward(b, "ipc_level", VARIANTS, BLOCK).where("part = 'test' AND ipc_level IS NOT NULL")
-    preds = FC.long_predictions(fc, "ipc_level", list(VARIANTS), ["series_id"])
+    fc = FC.walk_forward(b, "ipc_level", variants, BLOCK).where("part = 'test' AND ipc_level IS NOT NULL")
+    preds = FC.long_predictions(fc, "ipc_level", list(variants), ["series_id"])
     rmse = preds.groupBy("series_id", F.col("model").alias("variant")).agg(F.expr("sqrt(avg((y - yhat) * (y - yhat)))").alias("rmse"))
     train = b.where("part = 'train'")
-    ics = [FC.model_ic(train, "ipc_level", c, ["series_id"]).selectExpr("series_id", f"'{v}' AS variant", "aic_full AS aic") for v, c in VARIANTS.items()]
-    ic = ics[0].unionByName(ics[1]).unionByName(ics[2])
-    pairs = ", ".join(f"'{v}', coalesce({c}, 0D)" for v, c in VARIANTS.items())
-    rows = b.where("target_high_inflation_regime_t1 IS NOT NULL").selectExpr("series_id", "part", "int(target_high_inflation_regime_t1) AS y", f"stack({len(VARIANTS)}, {pairs}) AS (variant, score)")
+    ics = [FC.model_ic(train, "ipc_level", c, ["series_id"]).selectExpr("series_id", f"'{v}' AS variant", "aic_full AS aic") for v, c in variants.items()]
+    ic = reduce(DataFrame.unionByName, ics)
+    pairs = ", ".join(f"'{v}', coalesce({c}, 0D)" for v, c in variants.items())
+    rows = b.where("target_high_inflation_regime_t1 IS NOT NULL").selectExpr("series_id", "part", "int(target_high_inflation_regime_t1) AS y", f"stack({len(variants)}, {pairs}) AS (variant, score)")
     by = ["series_id", "variant"]
     cal = CL.calibrate(CL.threshold_curve(rows.where("part = 'train'"), by, bounded=True), by)
     test = rows.where("part = 'test'")
@@ -471,7 +477,7 @@ VARIANT_VALUES = ["aic", "rmse", "recall", "precision", "f1", "ap", "threshold",
 
 @query("signal_comparison", f"SELECT series_id, variant, {', '.join(f'round({c}, 3) AS {c}' for c in VARIANT_VALUES)}, tp, fp, fn FROM x_var")
 def signal_comparison(spark, sf):
-    return comparison(spark, sf).select("series_id", "variant", *[r3(c).alias(c) for c in VARIANT_VALUES], "tp", "fp", "fn")
+    return comparison(blends(spark, sf)).select("series_id", "variant", *[r3(c).alias(c) for c in VARIANT_VALUES], "tp", "fp", "fn")
 
 
 @query("signal_verdict", """
@@ -479,10 +485,19 @@ def signal_comparison(spark, sf):
   SELECT series_id, 0.3::DOUBLE AS beta, CASE WHEN a2 < a1 AND r2 >= r1 THEN 'A' ELSE 'B' END AS verdict FROM p""")
 def signal_verdict(spark, sf):
     """A: the text adds to the signal; B: it does not pay; C: it has no weight. Here for the fixed weight 0.3."""
-    return verdict(comparison(spark, sf).withColumn("beta", F.lit(0.3)))
+    return verdict(comparison(blends(spark, sf)).withColumn("beta", F.lit(0.3)))
 
 
 def verdict(table: DataFrame, base: str = "behavioural", challenger: str = "blend") -> DataFrame:
     pick = lambda c, v: F.max(F.when(F.col("variant") == v, F.col(c)))
     p = table.groupBy("series_id", "beta").agg(pick("aic", base).alias("a1"), pick("aic", challenger).alias("a2"), pick("recall", base).alias("r1"), pick("recall", challenger).alias("r2"))
     return p.selectExpr("series_id", "beta", "CASE WHEN beta = 0 THEN 'C' WHEN a2 < a1 AND r2 >= r1 THEN 'A' ELSE 'B' END AS verdict")
+
+
+@query("signal_comparison_lasso")
+def signal_comparison_lasso(spark, sf):
+    """All four variants, the lasso blend included, with the verdict from its own weight."""
+    b = staged(spark, sf, "blend_lasso", lasso_blend)
+    table = comparison(b, {**VARIANTS, "lasso": "blend_lasso_lag1"}).join(b.groupBy("series_id").agg(F.max("beta").alias("beta")), "series_id")
+    return table.select("series_id", "variant", *[r3(c).alias(c) for c in VARIANT_VALUES], "tp", "fp", "fn", "beta").join(
+        verdict(table, challenger="lasso").select("series_id", "verdict"), "series_id")

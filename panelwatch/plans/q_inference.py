@@ -167,8 +167,6 @@ def bootstrap_ci_class(spark, sf):
     return class_table(spark, sf).select("series_id", "scope", "signal", "n_obs", *[F.round(f"{m}{s}", 6).alias(f"{m}{s}") for m in _CLS for s in ("", "_lo", "_hi")])
 
 
-_MODEL_PAIRS = ", ".join(f"('{a}', '{b}')" for a, b in _PAIRS)
-
 
 @query("ci_overlap", f"""
   WITH l AS (SELECT series_id, scope, model, 'RMSE' AS metric, rmse_lo AS lo, rmse_hi AS hi FROM x_boot_err UNION ALL SELECT series_id, scope, model, 'MAE', mae_lo, mae_hi FROM x_boot_err
@@ -252,8 +250,6 @@ def granger_lag1(spark, sf):
     return ST.granger_f(gold(spark, sf), "inflation_yoy", "behavioural_index", 1).select("series_id", "n_obs", r4("f_stat").alias("f_stat"))
 
 
-_ACF = ", ".join(f"({k}, sum(e * e{k}))" for k in range(1, 25))
-
 
 def _acf_sql(value: str, label: str, source: str) -> str:
     lags = ", ".join(f"lag(e, {k}) OVER w AS e{k}" for k in range(1, 25))

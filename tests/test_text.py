@@ -139,3 +139,29 @@ def test_layers_round_trip(spark, panel, tmp_path):
     landed.write_layer(df, str(tmp_path / "silver"))
     assert (tmp_path / "silver" / "year=2021").exists()
     assert sorted(map(tuple, landed.read_layer(spark, str(tmp_path / "silver")).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_provenance_and_substring_columns(spark, tmp_path):
+    (tmp_path / "fx.csv").write_text("Date,MAD per EUR,dollar\n2020-01-01,10.8,9.6\n", encoding="utf-8")
+    df = landed.with_provenance(landed.scan_delimited(spark, str(tmp_path / "fx.csv")))
+    r = df.first()
+    assert r["source_file"] == "fx.csv" and r["is_official"] and r["ingested_at"] is not None
+    assert landed.drop_provenance(df).columns == ["Date", "MAD per EUR", "dollar"]
+    assert landed.resolve_contains(df.columns, ["eur", "euro"]) == "MAD per EUR"
+    assert landed.resolve_contains(df.columns, ["yen"], "Date") == "Date"
+
+
+def test_builtin_lexicon_scores_cleaned_text(spark):
+    d = press.cleaned(spark.createDataFrame([("3ziz bzzaf cherté", )], "text string"), stop_words=["le"])
+    s = press.with_scores(d, text="clean_text").first()
+    assert s["neg_hits"] == 3 and s["score"] == 4.5  # the mapped term, "cher" and "cherté"; "bzzaf" intensifies
+
+
+def test_missing_keywords_and_default_trend_map(spark):
+    from panelwatch.operators import index as X
+
+    rows = [("s", m, k, float(v)) for m, k, v in [("2020-01-01", "prix huile", 1), ("2020-02-01", "prix huile", 3), ("2020-01-01", "other", 9)]]
+    d = spark.createDataFrame(rows, "series_id string, m string, keyword string, value double").selectExpr("series_id", "date(m) AS month", "keyword", "value")
+    r = X.theme_subindices(d).orderBy("month").collect()
+    assert [x["trends_prix_alim"] for x in r] == [0.0, 1.0] and r[0]["trends_inflation"] is None
+    assert [x["trends_composite"] for x in r] == [0.0, 1.0] and r[0]["n_keywords_used"] == 1
