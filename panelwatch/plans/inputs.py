@@ -46,7 +46,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
-    """A text table spread over all cores when its files have fewer splits than that.
+    """A table spread over all cores when its files have fewer splits than that.
 
     Only small inputs are shuffled (fewer splits than cores); large ones are read as they lie.
     """

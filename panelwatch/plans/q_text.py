@@ -273,7 +273,8 @@ SEED_ROWS = ", ".join(f"('{s}', {i})" for i, s in enumerate(SEED_KEYWORDS + ["th
   SELECT coalesce(k.term, s.term) AS term, seen, CASE WHEN seen IS NULL THEN seed_rank END AS seed_rank FROM k FULL JOIN seeds s ON k.term = s.term""")
 def candidate_terms(spark, sf):
     """Document tokens as candidates, seen in order of document and position (below 2^24 tokens each)."""
-    toks = press.cleaned(inputs.documents(spark, sf)).select("doc_id", F.posexplode("tokens").alias("pos", "term"))
+    # the outer form: a plain explode would infer a filter that runs the whole cleaning a second time
+    toks = press.cleaned(inputs.documents(spark, sf)).select("doc_id", F.posexplode_outer("tokens").alias("pos", "term")).where("term IS NOT NULL")
     occ = toks.select("term", (F.shiftleft("doc_id", 24) + F.col("pos")).alias("seen"))
     return press.candidate_terms(occ, EXCLUDED_TERMS + ["tion"], SEED_KEYWORDS + ["the"])
 
