@@ -132,7 +132,7 @@ def write_archive(plan: DataFrame, folder: str, dictionary: bytes, level: int =
             for row in pdf.itertuples(index=False):
                 if out is None:
                     path, n = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{len(done):04d}.warc.zst", 0
-                    out = fs.open_output_stream(f"{root}/{path}")
+                    out = fs.open_output_stream(f"{root}/{path}", compression=None)
                     size = out.write(lead) + out.write(press.compress(info))
                 refers = None if pd.isna(row.refers_to) else row.refers_to
                 size += out.write(press.compress(encode_record(row.page_id, row.url, row.payload, row.digest, row.n, refers)))
