@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwatch.llm import packing, simhash, warc
+from panelwatch.llm import packing, repeats, resampling, simhash, tiling, warc
 from panelwatch.plans.inputs import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,18 @@ FROM p LEFT JOIN f USING (payload_digest)""")
 def warc_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     paths = [r[0] for r in warc.archive(table(spark, sf, "pages")).select("path").collect()]
     return warc.read_archive(spark, paths).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op7_maximal_repeats")
+def maximal_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf, "documents"), with_text=False).drop("kept")
+
+
+@query("op8_string_tiling")
+def string_tiling(spark: SparkSession, sf: str) -> DataFrame:
+    return tiling.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op9_importance_resampling")
+def importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resampling.resample(table(spark, sf, "documents"), table(spark, sf, "labels"))
