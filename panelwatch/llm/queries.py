@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwatch.llm import packing, repeats, resampling, simhash, tiling, warc
+from panelwatch.llm import langid, onebit, packing, pii, repeats, resampling, simhash, tiling, warc
 from panelwatch.plans.inputs import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,20 @@ def string_tiling(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_importance_resampling")
 def importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
     return resampling.resample(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op1_language_centroids")
+def language_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = langid.train(docs.where(~langid.held_out()))
+    return langid.classify(docs, model).select("doc_id", langid.held_out().alias("held_out"), "_lang.*")
+
+
+@query("op3_weak_supervision_pii")
+def weak_supervision_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find(table(spark, sf, "documents"))
+
+
+@query("op4_onebit_search")
+def onebit_search(spark: SparkSession, sf: str) -> DataFrame:
+    return onebit.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)

@@ -78,7 +78,7 @@ def kth_largest(df: DataFrame, column: str, k: int, cells: int = 1024, few: int
     return lo if lo == hi else sorted((r[0] for r in inside.collect()), reverse=True)[k - 1]
 
 
-def resample(docs: DataFrame, labels: DataFrame, fraction: float = 0.8, key: str = "doc_id", text: str = "text", target: str = "quality = 1 AND coalesce(toxic, 0) = 0", max_target: int = 20_000, per_features: float = 50.0, buckets: int = BUCKETS, seed: int = 42) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, fraction: float = 0.8, key: str = "doc_id", text: str = "text", target: str = "quality = 1 AND coalesce(toxic, 0) = 0", max_target: int = 20_000, per_features: float = 200.0, buckets: int = BUCKETS, seed: int = 42) -> DataFrame:
     """``doc_id, log_weight, sample_key``: the sampled documents, ``fraction`` of all rows.
 
     The target model is fitted on at most ``max_target`` labelled documents, those of smallest hash (the bound
