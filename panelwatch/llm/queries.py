@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwatch.llm import langid, onebit, packing, pii, repeats, resampling, simhash, tiling, warc
+from panelwatch.llm import langid, onebit, packing, pii, repeats, resampling, secret_scan, simhash, tiling, warc
 from panelwatch.plans.inputs import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,11 @@ def language_centroids(spark: SparkSession, sf: str) -> DataFrame:
     return langid.classify(docs, model).select("doc_id", langid.held_out().alias("held_out"), "_lang.*")
 
 
+@query("op2_markov_secrets")
+def markov_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.find(table(spark, sf, "documents"))
+
+
 @query("op3_weak_supervision_pii")
 def weak_supervision_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.find(table(spark, sf, "documents"))
