@@ -84,7 +84,7 @@ def links(prints: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
         value = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1)).bitwiseOR(F.lit(i << 56))
         table.append(value)
         masks = [sum(1 << p for p in spots) for r in range(radius + 1) for spots in combinations(range(bits), r)]
-        probes.append(F.transform(F.lit(masks).cast("array<bigint>"), lambda m, v=value: v.bitwiseXOR(m)))
+        probes.append(F.transform(F.lit(masks).cast("array<bigint>"), value.bitwiseXOR))
     t = prints.select(F.col("fp").alias("b"), F.explode(F.array(*table)).alias("k"))
     p = prints.select(F.col("fp").alias("a"), F.explode(F.concat(*probes)).alias("k"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
