@@ -128,12 +128,15 @@ def log_ratio(token: Column, model: Model) -> Column:
 def labelled(scanned: DataFrame, bound: int = 20_000) -> DataFrame:
     """``token, random``: different values of the base spans, and words of the sampled documents, at most ``bound`` of each.
 
-    Those of smallest hash, so the same at every run.
+    An ordinary identifier is a word that more than one document has, so that secrets yet unknown do not teach the
+    model of identifiers. Those of smallest hash are taken, so the same at every run.
     """
-    some = lambda df: df.where(F.length("token") >= 6).distinct().orderBy(F.xxhash64("token", F.lit("sample")), "token").limit(bound)
-    values = scanned.select(F.explode("base.value").alias("token")).where("length(token) <= 256")
-    words = scanned.where("words IS NOT NULL").select(F.explode("words").alias("token")).where(~F.rlike("token", F.lit(f"{ACCESS}|{HEX}")) & F.expr("length(token) <= 256"))
-    return some(values).withColumn("random", F.lit(True)).unionByName(some(words).withColumn("random", F.lit(False)))
+    some = lambda df: df.orderBy(F.xxhash64("token", F.lit("sample")), "token").limit(bound)
+    fits = F.length("token").between(6, 256)
+    values = scanned.select(F.explode("base.value").alias("token")).where(fits).distinct()
+    words = scanned.where("words IS NOT NULL").select("doc_id", F.explode("words").alias("token")).where(fits & ~F.rlike("token", F.lit(f"{ACCESS}|{HEX}")))
+    shared = words.groupBy("token").agg((F.min("doc_id") < F.max("doc_id")).alias("several")).where("several").select("token")
+    return some(values).withColumn("random", F.lit(True)).unionByName(some(shared).withColumn("random", F.lit(False)))
 
 
 def judged(scanned: DataFrame, model: Model) -> DataFrame:
@@ -143,7 +146,7 @@ def judged(scanned: DataFrame, model: Model) -> DataFrame:
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = 2000, bound: int = 20_000) -> tuple[DataFrame, Model]:
     """Scan all documents, once, and train: random strings are the values of base spans anywhere, ordinary identifiers the
-    words of at most ``sample_docs`` documents, those of smallest hash."""
+    words that several of at most ``sample_docs`` documents have, those of smallest hash."""
     scanned = staged(scan(docs, key, text, sample_ids(docs, key, sample_docs)), "secret-spans")
     return scanned, train(labelled(scanned, bound))
 
