@@ -103,7 +103,7 @@ def _steps(token: Column) -> Column:
     return F.zip_with(F.slice(codes, 1, n), F.slice(codes, 2, n), lambda a, b: a * _SIDE + b)
 
 
-def train(samples: DataFrame, token: str = "token", random: str = "random", rarity: float = 1e-4, smoothing: float = 0.5) -> Model:
+def train(samples: DataFrame, token: str = "token", random: str = "random", rarity: float = 1e-2, smoothing: float = 0.5) -> Model:
     """Fit both models on labelled tokens (``random``: true for random strings, false for ordinary identifiers).
 
     What is gathered are two counts for each pair of characters. Without samples of a class its model is uniform;
@@ -129,14 +129,15 @@ def labelled(scanned: DataFrame, bound: int = 20_000) -> DataFrame:
     """``token, random``: different values of the base spans, and words of the sampled documents, at most ``bound`` of each.
 
     An ordinary identifier is a word that more than one document has, so that secrets yet unknown do not teach the
-    model of identifiers. Those of smallest hash are taken, so the same at every run.
+    model of identifiers; it counts in capitals too, since identifiers come in either case. Those of smallest hash are taken, so the same at every run.
     """
     some = lambda df: df.orderBy(F.xxhash64("token", F.lit("sample")), "token").limit(bound)
     fits = F.length("token").between(6, 256)
     values = scanned.select(F.explode("base.value").alias("token")).where(fits).distinct()
     words = scanned.where("words IS NOT NULL").select("doc_id", F.explode("words").alias("token")).where(fits & ~F.rlike("token", F.lit(f"{ACCESS}|{HEX}")))
     shared = words.groupBy("token").agg((F.min("doc_id") < F.max("doc_id")).alias("several")).where("several").select("token")
-    return some(values).withColumn("random", F.lit(True)).unionByName(some(shared).withColumn("random", F.lit(False)))
+    cases = some(shared).select(F.explode(F.array("token", F.upper("token"))).alias("token"))
+    return some(values).withColumn("random", F.lit(True)).unionByName(cases.withColumn("random", F.lit(False)))
 
 
 def judged(scanned: DataFrame, model: Model) -> DataFrame:
