@@ -41,7 +41,7 @@ def counts(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
         # a step sees two characters of the one before, whose n-grams it does not count again
         c = np.frombuffer(text[max(0, i - 2) : i + STEP].lower().encode("utf-32-le"), _U)
         c = np.where(letters[c], c, _U(0))
-        c = np.concatenate(([_U(0)] * (2 if i == 0 else 0), c, [_U(0)] * (1 if i + STEP >= len(text) else 0)))
+        c = np.concatenate((np.zeros(2 * (i == 0), _U), c, np.zeros(int(i + STEP >= len(text)), _U)))
         one, two, three = c[2:], c[1:-1], c[:-2]
         h = one * _U(0x9E3779B1)
         parts = [h[one > 0]]
