@@ -1,6 +1,6 @@
 """Dictionary-compressed web archives: write records with a shared Zstandard dictionary, read them back.
 
-A dictionary is built from a bounded sample of the archived payloads. Every file starts
+A dictionary is built from a bounded sample of the archived records. Every file starts
 with a skippable frame that holds the dictionary; each record after it is a frame of its
 own, so a reader needs nothing but the file and can stop at any record.
 """
@@ -46,16 +46,16 @@ def record_plan(pages: DataFrame, key: str = "page_id", payload: str = "html", u
     return base.join(copies, "digest", "left").select("page_id", "url", "payload", "digest", "n", F.when(revisit, F.col("first_id")).alias("refers_to"))
 
 
-def build_dictionary(pages: DataFrame, key: str = "page_id", payload: str = "html", rows: int = 400, row_bytes: int = 1 << 16, size: int = 1 << 15) -> bytes:
-    """A Zstandard dictionary of at most ``size`` bytes from at most ``rows`` payloads of at most ``row_bytes`` each.
+def build_dictionary(plan: DataFrame, rows: int = 400, row_bytes: int = 1 << 16, size: int = 1 << 15) -> bytes:
+    """A Zstandard dictionary of at most ``size`` bytes from the records of at most ``rows`` pages of ``record_plan``,
+    of at most ``row_bytes`` each.
 
     The bound (25 MB at most) is what makes the sample fit on the driver. Too few samples to
     train on give a dictionary of plain content; none at all gives an empty one.
     """
-    fit = pages.where(F.octet_length(payload).between(1, row_bytes))
-    ids = sample_ids(fit, key, rows)
-    texts = sorted({r[0] for r in fit.where(in_ids(F.col(key), ids)).select(payload).limit(rows).collect()})
-    samples = [t.encode() for t in texts]
+    fit = plan.where(F.col("n").between(1, row_bytes) & F.col("refers_to").isNull()).select("page_id", "url", "payload", "digest", "n")
+    ids = sample_ids(fit, "page_id", rows)
+    samples = [encode_record(*r, None) for r in sorted(fit.where(in_ids(F.col("page_id"), ids)).limit(rows).collect(), key=lambda r: (r.page_id, r.digest))]
     if not samples:
         return b""
     try:
@@ -196,4 +196,5 @@ def archive(pages: DataFrame, key: str = "page_id", payload: str = "html", url:
     folder = scratch(pages.sparkSession, "warc")
     if "://" not in folder and folder.startswith("file:"):
         folder = "file://" + folder.removeprefix("file:")
-    return write_archive(record_plan(pages, key, payload, url, min_bytes), folder, build_dictionary(pages, key, payload))
+    plan = record_plan(pages, key, payload, url, min_bytes)
+    return write_archive(plan, folder, build_dictionary(plan))
