@@ -25,6 +25,7 @@ def main() -> None:
     spark = build_session("bench", master=f"local[{cpus}]", shuffle_partitions=cpus)
     spark.sparkContext.setLogLevel("ERROR")
     from panelwatch.plans.q_forecast import predictions
+    from panelwatch.plans.stages import clear
 
     spark.range(1000).selectExpr("sum(id)").collect()
     times = {}
@@ -33,6 +34,7 @@ def main() -> None:
         df = predictions(spark, sf) if name == "predictions_stage" else QUERIES[name](spark, sf)
         df.write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+    clear(spark)
     spark.stop()
     print(json.dumps({"metric": "total_wall", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf.rstrip("/"))}))
 

@@ -1,40 +1,33 @@
-"""Text cleaning and scoring as built-in string expressions (no Python per row)."""
+"""Text cleaning and scoring as built-in string expressions; only entities are decoded in Python, in batches."""
 
 from __future__ import annotations
 
+import html
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from panelwatch.config import DIGIT_LETTERS, INTENSITY, STOP_WORDS
 from panelwatch.functions.columns import add_all, as_col
 
-# The common named entities; "&amp;" must be replaced last.
-NAMED_ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&hellip;": "…",
-    "&laquo;": "«", "&raquo;": "»", "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’",
-    "&ldquo;": "“", "&rdquo;": "”", "&euro;": "€", "&copy;": "©", "&reg;": "®", "&deg;": "°",
-    "&eacute;": "é", "&egrave;": "è", "&agrave;": "à", "&ccedil;": "ç", "&ecirc;": "ê", "&ocirc;": "ô",
-    "&ugrave;": "ù", "&icirc;": "î", "&acirc;": "â", "&uuml;": "ü", "&ouml;": "ö", "&auml;": "ä",
-    "&szlig;": "ß", "&ntilde;": "ñ", "&aacute;": "á", "&iacute;": "í", "&oacute;": "ó", "&uacute;": "ú",
-    "&#39;": "'", "&#039;": "'", "&#34;": '"', "&#60;": "<", "&#62;": ">", "&#160;": " ",
-    "&#8217;": "’", "&#8230;": "…", "&#8211;": "–", "&#8212;": "—", "&#8220;": "“", "&#8221;": "”",
-    "&#38;": "&", "&amp;": "&",
-}
-
 # A word character is a letter, a number of any script, or "_"; the Arabic block counts whole.
 WORD = r"[\p{L}\p{N}_]"
 # Everything beyond the basic plane separates words as well.
 NON_WORDS = r"[[^\p{L}\p{N}_\x{0600}-\x{06FF}]\x{10000}-\x{10FFFF}]+"
 
 
+@F.pandas_udf(StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
 def unescape_entities(c) -> Column:
-    """Named and numeric entities of the fixed table above to characters."""
-    out = as_col(c)
-    for entity, char in NAMED_ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    """All named, decimal and hexadecimal entities to characters, in batches; texts without an ampersand pass by."""
+    t = as_col(c)
+    return F.when(t.contains("&"), _unescaped(F.when(t.contains("&"), t))).otherwise(t)
 
 
 def strip_tags(c) -> Column:

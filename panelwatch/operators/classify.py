@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelwatch.config import STRESS_QUANTILE, EvalWindow
 from panelwatch.operators.forecast import eval_blocks
-from panelwatch.operators.panel import BEFORE, KEYS, ONWARD, TIME, UPTO, series
+from panelwatch.operators.panel import BEFORE, KEYS, TIME, UPTO, series
 from panelwatch.operators.ranks import running_totals
 
 DEFAULT_THRESHOLD = 0.5
@@ -115,7 +115,7 @@ def stress_rows(gold: DataFrame, windows: Sequence[EvalWindow], signals: Mapping
     d = d.withColumn("y", F.expr("CASE WHEN _next >= stress_threshold THEN 1 WHEN _next < stress_threshold THEN 0 END")).where("y IS NOT NULL")
     pk = [*bk, "part"]
     fills = [
-        f"coalesce(last({c}, true) OVER {series(pk, time, UPTO)}, first({c}, true) OVER {series(pk, time, ONWARD)}, 0D) AS _s_{n}" for n, c in signals.items()
+        f"coalesce(last({c}, true) OVER {series(pk, time, UPTO)}, first({c}, true) OVER (PARTITION BY {', '.join(pk)} ORDER BY {time} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0D) AS _s_{n}" for n, c in signals.items()
     ]
     wide = d.selectExpr(*pk, time, "stress_threshold", "y", *fills)
     pairs = ", ".join(f"'{n}', _s_{n}" for n in signals)

@@ -21,15 +21,13 @@ def theme_subindices(df: DataFrame, themes: Mapping[str, Sequence[str]] = TREND_
     """Per theme the mean of its available keywords, scaled 0-1 per series; their mean as composite.
 
     ``df`` is long ``(keys, time, keyword, value)``. A theme without any keyword stays null.
-    ``n_keywords_used`` counts the keywords found per series.
+    ``n_keywords_used`` adds up, per series, the keywords found of each theme: one in two themes counts twice.
     """
     cols = {t: F.avg(F.when(F.col("keyword").isin(*ws), F.col("value"))).alias(t) for t, ws in themes.items()}
-    known = F.col("keyword").isin(*[w for ws in themes.values() for w in ws])
-    # the set of a month is bounded by the keyword list, the sets of a series by its calendar
-    found = F.collect_set(F.when(known, F.col("keyword"))).alias("_found")
-    wide = densify(df.groupBy(*keys, time).agg(*cols.values(), found), [*themes, "_found"], keys, time)
+    seen = {f"_n{i}_{j}": F.max((F.col("keyword") == w).cast("int")).alias(f"_n{i}_{j}") for i, ws in enumerate(themes.values()) for j, w in enumerate(ws)}
+    wide = densify(df.groupBy(*keys, time).agg(*cols.values(), *seen.values()), [*themes, *seen], keys, time)
     whole = f"(PARTITION BY {', '.join(keys)})"
-    used = F.expr(f"bigint(size(array_distinct(flatten(collect_list(_found) OVER {whole}))))").alias("n_keywords_used")
+    used = F.expr(" + ".join(f"coalesce(max({c}) OVER {whole}, 0)" for c in seen)).cast("bigint").alias("n_keywords_used")
     out = wide.select(*keys, time, *[minmax(t, keys).alias(t) for t in themes], used)
     return out.withColumn("trends_composite", row_mean(list(themes)))
 

@@ -28,7 +28,6 @@ def series(keys: Sequence[str] = KEYS, time: str = TIME, frame: str = "") -> str
 
 BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 UPTO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-ONWARD = "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
 
 
 def before(keys: Sequence[str] = KEYS, time: str = TIME):
@@ -81,13 +80,14 @@ def forward_fill(value: str, keys: Sequence[str] = KEYS, time: str = TIME) -> Co
 
 
 def backward_fill(value: str, keys: Sequence[str] = KEYS, time: str = TIME) -> Column:
-    return F.expr(f"first({value}, true) OVER {series(keys, time, ONWARD)}")
+    """The next known value: a running last in descending order, so linear in the length of a series."""
+    return F.expr(f"last({value}, true) OVER (PARTITION BY {', '.join(keys)} ORDER BY {time} DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 
 
 def fill_gaps(value: str, keys: Sequence[str] = KEYS, time: str = TIME) -> Column:
-    """Forward fill, then back fill what is left at the start."""
-    return F.expr(
-        f"coalesce(last({value}, true) OVER {series(keys, time, UPTO)}, first({value}, true) OVER {series(keys, time, ONWARD)})")
+    """Forward fill, then what is left at the start is the first known value of the series."""
+    whole = f"(PARTITION BY {', '.join(keys)} ORDER BY {time} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    return F.expr(f"coalesce(last({value}, true) OVER {series(keys, time, UPTO)}, first({value}, true) OVER {whole})")
 
 
 def interpolate_time(df: DataFrame, value: str, out: str, keys: Sequence[str] = KEYS, time: str = TIME) -> DataFrame:

@@ -60,17 +60,17 @@ def with_scores(df: DataFrame, negative: Sequence[str] = tuple(T.lexicon_terms(N
     return df.withColumn("score", score).drop("_low")
 
 
-def text_score_monthly(scored: DataFrame, source: str = "source_type", keys: Sequence[str] = ()) -> DataFrame:
+def text_score_monthly(scored: DataFrame, source: str = "source_type", keys: Sequence[str] = (), text: str = "text") -> DataFrame:
     """Mean score, documents, hits and dominant source per month.
 
     Counts per source first, then one row per month: the mode needs no list of documents.
-    Ties of the dominant source go to the smallest name.
+    ``n_texts`` counts texts that are not null. Ties of the dominant source go to the smallest name.
     """
     per_source = scored.groupBy(*keys, "month", source).agg(
-        F.sum("score").alias("_s"), F.count(F.lit(1)).alias("_n"), F.sum("neg_hits").alias("_neg"), F.sum("pos_hits").alias("_pos"))
+        F.sum("score").alias("_s"), F.count(F.lit(1)).alias("_n"), F.count(text).alias("_t"), F.sum("neg_hits").alias("_neg"), F.sum("pos_hits").alias("_pos"))
     best = F.min(F.struct((-F.col("_n")).alias("n"), F.col(source).alias("s")))
     out = per_source.groupBy(*keys, "month").agg(
-        (F.sum("_s") / F.sum("_n")).alias("score_lexical_raw"), F.sum("_n").alias("n_texts"), best.alias("_best"),
+        (F.sum("_s") / F.sum("_n")).alias("score_lexical_raw"), F.sum("_t").alias("n_texts"), best.alias("_best"),
         F.sum("_neg").alias("n_negative_hits"), F.sum("_pos").alias("n_positive_hits"))
     return out.withColumn("source_type_dominant", F.col("_best.s")).drop("_best")
 
@@ -110,7 +110,7 @@ def top_terms(df: DataFrame, terms: Sequence[str], k: int = 20, text: str = "tex
 def candidate_terms(occurrences: DataFrame, excluded: Sequence[str], seeds: Sequence[str], min_length: int = 3) -> DataFrame:
     """Distinct candidate keywords in first-seen order, the seeds last.
 
-    ``occurrences`` is ``(term, seen)`` with ``seen`` a long that grows in reading order.
+    ``occurrences`` is ``(term, seen)`` with ``seen`` any orderable value (a struct, say) that grows in reading order.
     Candidates are at least ``min_length`` long and contain no excluded term.
     """
     # first the aggregate (map-side combine), then the substring tests on distinct terms only

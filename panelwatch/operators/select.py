@@ -101,8 +101,19 @@ def representatives(clustered: DataFrame, order_abs: str, name: Sequence[str]) -
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Pearson r of every pair of columns as rows, one aggregate pass."""
-    pairs = [(a, b) for a in columns for b in columns]
-    wide = df.groupBy(*keys).agg(*[F.corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(*[F.struct(F.lit(a).alias("column_1"), F.lit(b).alias("column_2"), F.col(f"_{i}").alias("r")) for i, (a, b) in enumerate(pairs)])
-    return wide.select(*keys, F.explode(rows).alias("p")).select(*keys, "p.*")
+    """Pearson r of every pair of columns as rows.
+
+    Each unordered pair is one group of a single aggregate, combined before its shuffle, and given in both orders;
+    a pair without variance or common rows has a null.
+    """
+    n = len(columns)
+    wide = df.select(*keys, F.array(*[F.col(c).cast("double") for c in columns]).alias("_v"))
+    pairs = wide.select(*keys, "_v", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_i")).select(*keys, "_v", "_i", F.explode(F.sequence("_i", F.lit(n - 1))).alias("_j"))
+    pairs = pairs.select(*keys, "_i", "_j", F.get("_v", F.col("_i")).alias("_a"), F.get("_v", F.col("_j")).alias("_b"))
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    r = F.try_divide(F.covar_pop("_a", "_b"), F.stddev_pop(F.when(both, F.col("_a"))) * F.stddev_pop(F.when(both, F.col("_b"))))
+    each = pairs.groupBy(*keys, "_i", "_j").agg(r.alias("r"))
+    order = F.when(F.col("_i") == F.col("_j"), F.array(F.struct(F.col("_i").alias("a"), F.col("_j").alias("b")))).otherwise(
+        F.array(F.struct(F.col("_i").alias("a"), F.col("_j").alias("b")), F.struct(F.col("_j").alias("a"), F.col("_i").alias("b"))))
+    names = F.array(*map(F.lit, columns))
+    return each.select(*keys, "r", F.explode(order).alias("p")).select(*keys, F.get(names, F.col("p.a")).alias("column_1"), F.get(names, F.col("p.b")).alias("column_2"), "r")

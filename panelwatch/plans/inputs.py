@@ -45,21 +45,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
-def spread(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
-    """A table spread over all cores when its files have fewer splits than that.
-
-    Only small inputs are shuffled (fewer splits than cores); large ones are read as they lie.
-    """
-    df, cores = table(spark, sf, name), spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(spark, sf, "documents", "doc_id")
+    return table(spark, sf, "documents")
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(spark, sf, "pages", "page_id")
+    return table(spark, sf, "pages")
 
 
 def price_months(spark: SparkSession, sf: str, start: str | None = None, end: str | None = None) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelwatch.config import PANEL_WINDOWS
 from panelwatch.functions import columns as C
-from panelwatch.operators import forecast as FC
+from panelwatch.operators import forecast as FC, panel as P
 from panelwatch.plans import gold as G, inputs
+from panelwatch.plans.q_gold import GOLD_COLS, NOT_DOUBLE
 from panelwatch.plans.registry import cte, query
 from panelwatch.plans.stages import staged
 
@@ -233,10 +234,10 @@ def metrics_pivot(spark, sf):
 
 
 @query("metrics_unpivot", """
-  SELECT series_id, block, model, v.metric, round(v.value, 3) AS value FROM x_metrics, LATERAL (VALUES ('rmse', rmse), ('mae', mae), ('mape', mape)) v(metric, value)""")
+  SELECT series_id, block, model, v.metric, round(v.value, 3) AS value FROM x_metrics, LATERAL (VALUES """ + ", ".join(f"('{m}', {m})" for m in METRICS) + ") v(metric, value)")
 def metrics_unpivot(spark, sf):
     m = FC.forecast_metrics(predictions(spark, sf), BLOCK)
-    return m.unpivot([*BLOCK, "model"], ["rmse", "mae", "mape"], "metric", "value").withColumn("value", r3("value"))
+    return m.unpivot([*BLOCK, "model"], METRICS, "metric", "value").withColumn("value", r3("value"))
 
 
 @query("metrics_grouping_sets", """
@@ -288,16 +289,37 @@ def order_grid(spark, sf):
     return FC.order_grid(inputs.price_panel(spark, sf), "ipc_level").withColumn("aic", r3("aic"))
 
 
-@query("forecast_daily", """
+_LOOKBACK = [c for c in GOLD_COLS if c not in NOT_DOUBLE]
+
+
+@query("lookback_windows", f"""
+  WITH t AS (SELECT series_id, month, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _LOOKBACK)} FROM x_gold),
+  u AS (SELECT * FROM t UNPIVOT INCLUDE NULLS (v FOR feature IN ({', '.join(_LOOKBACK)})))
+  SELECT series_id, feature, month, l.n AS lookback, round(list_sum(vals), 3) AS total, round(vals[1], 4) AS oldest, round(vals[len(vals)], 4) AS newest
+  FROM (SELECT series_id, feature, month, list(v) FILTER (v IS NOT NULL) OVER (PARTITION BY series_id, feature ORDER BY month ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS v6,
+         list(v) FILTER (v IS NOT NULL) OVER (PARTITION BY series_id, feature ORDER BY month ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS v12,
+         list(v) FILTER (v IS NOT NULL) OVER (PARTITION BY series_id, feature ORDER BY month ROWS BETWEEN 18 PRECEDING AND 1 PRECEDING) AS v18,
+         list(v) FILTER (v IS NOT NULL) OVER (PARTITION BY series_id, feature ORDER BY month ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS v24 FROM u) p,
+       LATERAL (VALUES (6, v6), (12, v12), (18, v18), (24, v24)) l(n, vals) WHERE len(vals) = n""")
+def lookback_windows(spark, sf):
+    """The previous months of every numeric feature of gold, in long form."""
+    long = gold(spark, sf).select("series_id", "month", *[F.col(c).cast("double") for c in _LOOKBACK]).unpivot(["series_id", "month"], _LOOKBACK, "feature", "v")
+    lb = P.lookback_windows(long, "v", [6, 12, 18, 24], keys=["series_id", "feature"])
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return lb.select("series_id", "feature", "month", "lookback", F.round(total, 3).alias("total"),
+                     r4(F.col("values")[0]).alias("oldest"), r4(F.element_at("values", -1)).alias("newest"))
+
+
+@query("forecast_daily", f"""
   WITH m AS (SELECT event_type AS series_id, CAST(ts AS DATE) AS day, avg(value) AS y FROM events GROUP BY 1, 2),
   sp AS (SELECT series_id, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM m GROUP BY 1),
   d AS (SELECT sp.series_id, sp.day, y, lag(y, 1) OVER o AS y1, lag(y, 7) OVER o AS y7, lag(y, 8) OVER o AS y8 FROM sp LEFT JOIN m ON m.series_id = sp.series_id AND m.day = sp.day WINDOW o AS (PARTITION BY sp.series_id ORDER BY sp.day)),
-  w AS (SELECT *, y - y1 - y7 + y8 AS w FROM d), l AS (SELECT *, lag(w) OVER (PARTITION BY series_id ORDER BY day) AS w1 FROM w),
+  w AS (SELECT *, y - y1 - y7 + y8 AS w FROM d), l AS (SELECT *, lag(w, 1) OVER o AS w1, lag(w, 2) OVER o AS w2 FROM w WINDOW o AS (PARTITION BY series_id ORDER BY day)),
   s AS (SELECT *, count(y) OVER b AS n_train, last_value(y IGNORE NULLS) OVER b AS last_y, avg(y) OVER b AS mean_y, max(y) OVER b - min(y) OVER b AS rng,
-     sum(w1 * w) OVER b AS sw, sum(w1 * w1) FILTER (w IS NOT NULL) OVER b AS sww, count(*) FILTER (w1 IS NOT NULL AND w IS NOT NULL) OVER b AS m FROM l WINDOW b AS (PARTITION BY series_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-  p AS (SELECT *, CASE WHEN m > 1 THEN y1 + y7 - y8 + sw / nullif(sww, 0) * w1 END AS raw FROM s)
-  SELECT series_id, day, n_train, round(CASE WHEN n_train < 24 THEN last_y WHEN abs(raw - mean_y) <= 5 * (rng + 1e-6) THEN raw ELSE last_y END, 3) AS pred_seasonal FROM p WHERE n_train < 36""")
+     {', '.join(sql_sums({'a': ['w1'], 'c': ['w1', 'w2']}))} FROM l WINDOW b AS (PARTITION BY series_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  p AS (SELECT *, CASE WHEN a_n > 1 THEN y1 + y7 - y8 + a_w1_w / nullif(a_w1_w1, 0) * w1 END AS ra, y1 + y7 - y8 + {sql_two('c', 'w2')} AS rc FROM s)
+  SELECT series_id, day, n_train, round({sql_guard('ra', 'rc')}, 3) AS pred_seasonal FROM p""")
 def forecast_daily(spark, sf):
-    """The same operator on a daily panel with a weekly season; here while the simple order applies."""
+    """The same operator on a daily panel with a weekly season."""
     p = FC.walk_forward(inputs.event_days(spark, sf), "value", {}, time="day", season=7)
-    return p.where("n_train < 36").select("series_id", "day", "n_train", r3("pred_seasonal").alias("pred_seasonal"))
+    return p.select("series_id", "day", "n_train", r3("pred_seasonal").alias("pred_seasonal"))

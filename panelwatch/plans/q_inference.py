@@ -13,9 +13,10 @@ from panelwatch.operators import inference as I, panel as P, select as S, stats
 from panelwatch.plans import gold as G, inputs
 from panelwatch.plans.q_classify import BREAK, stress
 from panelwatch.plans.q_forecast import MODELS, gold, predictions
+from panelwatch.plans.q_gold import GOLD_COLS, NOT_DOUBLE
 from panelwatch.plans.registry import cte, query
-from panelwatch.plans.stages import staged
-from panelwatch.session import cut_lineage, shared_dir
+from panelwatch.plans.stages import folder, staged
+from panelwatch.session import cut_lineage
 from panelwatch.sources import landed
 
 
@@ -102,11 +103,11 @@ cte("x_boot_err", """
 
 
 @query("block_bootstrap_idx", f"""
-  WITH s AS (SELECT series_id, block, count(*) AS n FROM x_preds WHERE model = 'naive' GROUP BY 1, 2), ns AS (SELECT DISTINCT n FROM s), d AS ({sql_draws('ns', 20)})
+  WITH s AS (SELECT series_id, block, count(*) AS n FROM x_preds WHERE model = 'naive' GROUP BY 1, 2), ns AS (SELECT DISTINCT n FROM s), d AS ({sql_draws('ns', K.BOOTSTRAP_REPS)})
   SELECT series_id, block, CAST(rep AS INTEGER) AS rep, CAST(pos AS INTEGER) AS pos, CAST(idx AS INTEGER) AS idx FROM s JOIN d USING (n)""")
 def block_bootstrap_idx(spark, sf):
     n = predictions(spark, sf).where("model = 'naive'").groupBy("series_id", "block").agg(F.count(F.lit(1)).alias("n"))
-    return I.block_bootstrap_indices(n, ["series_id", "block"], reps=20)
+    return I.block_bootstrap_indices(n, ["series_id", "block"])
 
 
 def scoped_errors(spark, sf) -> DataFrame:
@@ -431,11 +432,15 @@ def xcorr_pvalues(spark, sf):
     return c.withColumn("p_value", t_pvalue("t", F.col("n") - 2)).withColumn("significant", F.col("p_value") < 0.05)
 
 
-_CORR = ["ipc_level", "inflation_mom", "inflation_yoy", "trends_composite", "behavioural_index", "hybrid_index", "food_index", "fx_rate"]
+_CORR = [c for c in GOLD_COLS if c not in NOT_DOUBLE]
 
 
-@query("corr_matrix", " UNION ALL ".join(f"""SELECT '{a}' AS column_1, '{b}' AS column_2, round(corr({a}, {b}), 4) AS r FROM x_gold""" for a in _CORR for b in _CORR))
+@query("corr_matrix", f"""
+  WITH t AS (SELECT series_id, month, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _CORR)} FROM x_gold),
+  l AS (SELECT * FROM t UNPIVOT INCLUDE NULLS (v FOR c IN ({', '.join(_CORR)})))
+  SELECT a.c AS column_1, b.c AS column_2, round(corr(a.v, b.v), 4) AS r FROM l a JOIN l b ON a.series_id = b.series_id AND a.month = b.month GROUP BY 1, 2""")
 def corr_matrix(spark, sf):
+    """Every numeric column of gold against every other."""
     return S.correlation_matrix(gold(spark, sf), _CORR).withColumn("r", r4("r"))
 
 
@@ -443,7 +448,7 @@ def corr_matrix(spark, sf):
 
 
 def scratch(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/panelwatch-scratch/{name}-{uuid.uuid4().hex}"
+    return f"{folder(spark)}/landed/{name}-{uuid.uuid4().hex}"
 
 
 @query("scan_csv_sep", "SELECT series_id, CAST(month AS VARCHAR) AS month, CAST(n_lines AS VARCHAR) AS n_lines FROM x_price_raw")
@@ -478,6 +483,16 @@ def resolve_columns(spark, sf):
     return food
 
 
+@query("scan_resolve_cast", "SELECT series_id, month, CAST(n_lines AS DOUBLE) AS value FROM x_price_raw")
+def scan_resolve_cast(spark, sf):
+    """A landed file whose value column has no known name: scanned as text, found by its values, cast safely."""
+    path = scratch(spark, "csv")
+    d = inputs.price_months(spark, sf).selectExpr("series_id AS serie", "month AS Mois", "concat('n', n_lines) AS note", "n_lines AS nombre")
+    d.write.option("header", True).option("sep", ";").csv(path)
+    found = landed.resolve_date_value(landed.scan_delimited(spark, path), keep=["serie"])
+    return landed.safe_series(found, extra=["serie"]).withColumnRenamed("serie", "series_id")
+
+
 @query("safe_cast_ingest", """
   SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_totalprice AS value FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0""")
 def safe_cast_ingest(spark, sf):

@@ -237,20 +237,6 @@ def episodes(spark, sf):
     return P.episodes(flagged, "flag")
 
 
-@query("lookback_windows", """
-  SELECT series_id, month, l.n AS lookback, round(list_sum(vals), 3) AS total, round(vals[1], 4) AS oldest, round(vals[len(vals)], 4) AS newest
-  FROM (SELECT series_id, month, list(ipc_level) FILTER (ipc_level IS NOT NULL) OVER (PARTITION BY series_id ORDER BY month ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS v6,
-         list(ipc_level) FILTER (ipc_level IS NOT NULL) OVER (PARTITION BY series_id ORDER BY month ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS v12,
-         list(ipc_level) FILTER (ipc_level IS NOT NULL) OVER (PARTITION BY series_id ORDER BY month ROWS BETWEEN 18 PRECEDING AND 1 PRECEDING) AS v18,
-         list(ipc_level) FILTER (ipc_level IS NOT NULL) OVER (PARTITION BY series_id ORDER BY month ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS v24 FROM x_panel) p,
-       LATERAL (VALUES (6, v6), (12, v12), (18, v18), (24, v24)) l(n, vals) WHERE len(vals) = n""")
-def lookback_windows(spark, sf):
-    lb = P.lookback_windows(inputs.price_panel(spark, sf), "ipc_level", [6, 12, 18, 24])
-    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
-    return lb.select("series_id", "month", "lookback", F.round(total, 3).alias("total"),
-                     r4(F.col("values")[0]).alias("oldest"), r4(F.element_at("values", -1)).alias("newest"))
-
-
 @query("month_cyclic", """
   SELECT series_id, month, round(sin(2 * pi() * month(month) / 12.0::DOUBLE), 6) + 0.0 AS month_sin, round(cos(2 * pi() * month(month) / 12.0::DOUBLE), 6) + 0.0 AS month_cos
   FROM x_panel""")

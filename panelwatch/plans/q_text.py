@@ -6,6 +6,8 @@ queries are syllables that occur there; the built-in lists are the operators' de
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelwatch.config import EXCLUDED_TERMS, SEED_KEYWORDS, STOP_WORDS
@@ -14,6 +16,7 @@ from panelwatch.functions.tails import t_pvalue
 from panelwatch.operators import normalise as N, panel as P, press, select
 from panelwatch.plans import inputs
 from panelwatch.plans.registry import cte, query
+from panelwatch.plans.stages import folder
 from panelwatch.sources import landed
 
 NEG = ["eaux", "tion", "und", "the "]
@@ -54,16 +57,22 @@ cte("x_scored", f"""
 cte("x_text_month", """
   WITH p AS (SELECT month, source_type, count(*) AS n FROM x_scored GROUP BY 1, 2),
   d AS (SELECT month, source_type, row_number() OVER (PARTITION BY month ORDER BY n DESC, source_type) AS rn FROM p)
-  SELECT s.month, avg(score) AS score_lexical_raw, count(*) AS n_texts, max(d.source_type) AS source_type_dominant,
+  SELECT s.month, avg(score) AS score_lexical_raw, count(text) AS n_texts, max(d.source_type) AS source_type_dominant,
     CAST(sum(neg_hits) AS BIGINT) AS n_negative_hits, CAST(sum(pos_hits) AS BIGINT) AS n_positive_hits
   FROM x_scored s JOIN d ON d.month = s.month AND d.rn = 1 GROUP BY 1""")
 
 
+# The named entities of the given pages.
+_PAGE_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "''", "nbsp": "\u00a0", "middot": "·", "copy": "©"}
+
+
 def sql_entities(column: str) -> str:
-    out = column
-    for entity, char in T.NAMED_ENTITIES.items():
-        out = f"replace({out}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
-    return out
+    """Decimal and hexadecimal entities by their numbers, named ones by name, the ampersand last."""
+    out = f"list_reduce(list_prepend({column}, list_distinct(regexp_extract_all({column}, '&#[0-9]+;'))), lambda t, e: replace(t, e, chr(CAST(e[3:-2] AS INTEGER))))"
+    out = f"list_reduce(list_prepend({out}, list_distinct(regexp_extract_all({column}, '&#[xX][0-9a-fA-F]+;'))), lambda t, e: replace(t, e, chr(CAST('0x' || e[4:-2] AS INTEGER))))"
+    for name, char in _PAGE_ENTITIES.items():
+        out = f"replace({out}, '&{name};', '{char}')"
+    return f"replace({out}, '&amp;', '&')"
 
 
 def sql_clean(column: str) -> str:
@@ -95,6 +104,54 @@ def pages_to_articles(spark, sf):
     return a.select("article_id", "url", "month", "title", F.md5(F.col("text").cast("binary")).alias("text_hash"))
 
 
+_PAGE_DAY = "CAST(DATE '2023-01-15' + INTERVAL (CAST(page_id % 400 AS INTEGER)) DAY AS DATE)"
+_PAGE_WORDS = "regexp_replace(html, '[^a-zA-Z ]', '', 'g')"
+
+
+def _landed(spark: SparkSession, kind: str) -> str:
+    return f"{folder(spark)}/landed/{kind}-{uuid4().hex}"
+
+
+@query("feed_json", f"""
+  SELECT CAST(page_id AS VARCHAR) AS article_id, url, CAST(date_trunc('month', {_PAGE_DAY}) AS DATE) AS month, 'T ' || page_id || ' é' AS title
+  FROM pages WHERE {sql_any(_PAGE_WORDS, ECO)}""")
+def feed_json(spark, sf):
+    """Pages landed as the posts of a JSON feed, read back as articles."""
+    day = F.date_add(F.lit("2023-01-15").cast("date"), F.pmod("page_id", F.lit(400)).cast("int"))
+    posts = inputs.pages(spark, sf).select(
+        F.col("page_id").alias("id"), F.col("url").alias("link"), F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss").alias("date"),
+        F.struct(F.concat(F.lit("T "), F.col("page_id").cast("string"), F.lit(" &#233;")).alias("rendered")).alias("title"),
+        F.struct(F.regexp_replace("html", "[^a-zA-Z ]", "").alias("rendered")).alias("excerpt"))
+    path = _landed(spark, "json")
+    posts.write.json(path)
+    return landed.read_posts_json(spark, path, ECO).select("article_id", "url", "month", "title")
+
+
+@query("feed_xml", f"""
+  SELECT CAST({_PAGE_DAY} AS DATE) AS day, 'feed' AS source, 'T <' || page_id || '> & é' AS title, length({_PAGE_WORDS}) > 0 AS has_summary, url AS link FROM pages""")
+def feed_xml(spark, sf):
+    """Pages landed as the items of an RSS feed, read back with their time in UTC."""
+    day = F.date_add(F.lit("2023-01-15").cast("date"), F.pmod("page_id", F.lit(400)).cast("int"))
+    items = inputs.pages(spark, sf).select(
+        F.concat(F.lit("T <"), F.col("page_id").cast("string"), F.lit("> & é")).alias("title"), F.nullif(F.trim(F.regexp_replace("html", "[^a-zA-Z ]", "")), F.lit("")).alias("description"),
+        F.concat(F.date_format(day, "EEE, d MMM yyyy"), F.lit(" 23:30:00 +0200")).alias("pubDate"), F.col("url").alias("link"))
+    path = _landed(spark, "xml")
+    items.write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(path)
+    feed = landed.read_feed_xml(spark, path, "feed")
+    return feed.select(F.col("date").cast("date").alias("day"), "source", "title", (F.length("summary") > 0).alias("has_summary"), "link")
+
+
+@query("provenance", """
+  SELECT CAST(page_id AS VARCHAR) AS page_id, true AS is_official, true AS is_recent, 'part' AS file_start FROM pages""")
+def provenance(spark, sf):
+    """Landed rows with their file, time of ingest and official flag."""
+    path = _landed(spark, "csv")
+    inputs.pages(spark, sf).select("page_id", "url").write.option("header", True).csv(path)
+    rows = landed.with_provenance(landed.scan_delimited(spark, path))
+    recent = F.col("ingested_at").between(F.current_timestamp() - F.expr("INTERVAL 1 DAY"), F.current_timestamp())
+    return rows.select("page_id", "is_official", recent.alias("is_recent"), F.left("source_file", F.lit(4)).alias("file_start"))
+
+
 @query("strip_urls", rf"""
   SELECT doc_id, md5(s) AS text_hash, length(s) AS n_chars FROM (SELECT doc_id,
    regexp_replace(regexp_replace(text, 'https?://[^\s\x0B\x{{85}}\p{{Z}}]+|www\.[^\s\x0B\x{{85}}\p{{Z}}]+', ' ', 'g'), '[@#][\p{{L}}\p{{N}}_]+', ' ', 'g') AS s FROM documents)""")
@@ -269,14 +326,15 @@ SEED_ROWS = ", ".join(f"('{s}', {i})" for i, s in enumerate(SEED_KEYWORDS + ["th
 @query("candidate_terms", f"""
   WITH seeds(term, seed_rank) AS (VALUES {SEED_ROWS}),
   occ AS (SELECT doc_id, unnest(tokens) AS term, generate_subscripts(tokens, 1) - 1 AS pos FROM x_tok),
-  k AS (SELECT term, min(doc_id * 16777216 + pos) AS seen FROM occ WHERE length(term) >= 3 AND NOT ({SQL_EXCLUDED}) GROUP BY 1)
-  SELECT coalesce(k.term, s.term) AS term, seen, CASE WHEN seen IS NULL THEN seed_rank END AS seed_rank FROM k FULL JOIN seeds s ON k.term = s.term""")
+  k AS (SELECT term, min(struct_pack(d := doc_id, p := pos)) AS seen FROM occ WHERE length(term) >= 3 AND NOT ({SQL_EXCLUDED}) GROUP BY 1)
+  SELECT coalesce(k.term, s.term) AS term, seen.d AS seen_doc, CAST(seen.p AS INTEGER) AS seen_pos, CASE WHEN seen IS NULL THEN seed_rank END AS seed_rank FROM k FULL JOIN seeds s ON k.term = s.term""")
 def candidate_terms(spark, sf):
-    """Document tokens as candidates, seen in order of document and position (below 2^24 tokens each)."""
+    """Document tokens as candidates, seen in order of document and position."""
     # the outer form: a plain explode would infer a filter that runs the whole cleaning a second time
     toks = press.cleaned(inputs.documents(spark, sf)).select("doc_id", F.posexplode_outer("tokens").alias("pos", "term")).where("term IS NOT NULL")
-    occ = toks.select("term", (F.shiftleft("doc_id", 24) + F.col("pos")).alias("seen"))
-    return press.candidate_terms(occ, EXCLUDED_TERMS + ["tion"], SEED_KEYWORDS + ["the"])
+    occ = toks.select("term", F.struct("doc_id", "pos").alias("seen"))
+    found = press.candidate_terms(occ, EXCLUDED_TERMS + ["tion"], SEED_KEYWORDS + ["the"])
+    return found.select("term", F.col("seen.doc_id").alias("seen_doc"), F.col("seen.pos").alias("seen_pos"), "seed_rank")
 
 
 cte("x_press_xy", """

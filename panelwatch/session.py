@@ -5,9 +5,18 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _configured(name: str) -> bool:
+    """Whether the defaults file or a running session already has a setting."""
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return active.conf.get(name, None) is not None
+    return SparkConf(loadDefaults=True).get(name) is not None
+
+
 def build_session(app: str = "panelwatch", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """Session with AQE, skew handling and UTC; cluster settings given outside win."""
     b = (
@@ -20,21 +29,18 @@ def build_session(app: str = "panelwatch", master: str | None = None, shuffle_pa
     )
     if master:
         b = b.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", os.environ.get("DRIVER_MEM", "12g"))
+    if master and master.startswith("local[") and not _configured("spark.checkpoint.dir"):
+        b = b.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-ckpt-"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and staged tables.
-
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (local tests) a temporary folder is made.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """Shared folder for checkpoints and staged tables, named by the cluster in ``spark.checkpoint.dir``."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="spark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path
 
 

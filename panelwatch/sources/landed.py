@@ -11,7 +11,6 @@ from panelwatch.functions.columns import month_start
 from panelwatch.functions.text import clean_html, contains_any
 
 SEPARATORS = (",", ";", "\t")
-NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
 META_COLUMNS = ("pulled_at", "ingested_at", "source_file", "is_official", "isPartial")
 
 
@@ -47,13 +46,20 @@ def resolve_either_way(columns: Sequence[str], names: Mapping[str, str]) -> dict
 
 
 def resolve_date_value(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Columns ``raw_date`` and ``raw_value`` by alias; the value falls back to the first numeric column."""
+    """Columns ``raw_date`` and ``raw_value`` by alias; the value falls back to the first column whose values are all numbers.
+
+    Files are scanned as text, so the fallback counts, in one pass, the values of each column and those that read as numbers.
+    """
     date = resolve_exact(df.columns, DATE_ALIASES)
     if date is None:
         raise ValueError(f"no date column among {df.columns}")
     value = resolve_exact(df.columns, VALUE_ALIASES)
     if value is None:
-        value = next((c for c, t in df.dtypes if c != date and (t in NUMERIC_TYPES or t.startswith("decimal"))), None)
+        rest = [c for c, t in df.dtypes if c != date and t not in ("date", "timestamp", "timestamp_ntz", "boolean")]
+        sums = [F.count(F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit(""))).alias(f"n{i}") for i, c in enumerate(rest)]
+        sums += [F.count(F.expr(f"try_cast(`{c}` AS double)")).alias(f"k{i}") for i, c in enumerate(rest)]
+        n = df.agg(*sums).first() if rest else ()
+        value = next((c for i, c in enumerate(rest) if 0 < n[f"n{i}"] == n[f"k{i}"]), None)
     if value is None:
         raise ValueError(f"no value column among {df.columns}")
     return df.select(F.col(f"`{date}`").alias("raw_date"), F.col(f"`{value}`").alias("raw_value"), *[F.col(f"`{c}`") for c in keep])
@@ -139,7 +145,7 @@ def parse_articles(df: DataFrame, article_id: str, url: str, published: str, tit
     return parsed.where(F.col("month").isNotNull() & contains_any("text", terms))
 
 
-def read_posts_json(spark: SparkSession, path: str) -> DataFrame:
+def read_posts_json(spark: SparkSession, path: str, terms: Sequence[str] = tuple(ECONOMIC_TERMS)) -> DataFrame:
     """Landed post feed (one JSON object per line) to article rows."""
     schema = (
         "id BIGINT, date STRING, link STRING, title STRUCT<rendered: STRING>, "
@@ -148,7 +154,7 @@ def read_posts_json(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema(schema).json(path)
     flat = raw.select("id", "link", F.expr("try_cast(date AS timestamp)").alias("date"),
                       F.col("title.rendered").alias("title"), F.col("excerpt.rendered").alias("excerpt"))
-    return parse_articles(flat, "id", "link", "date", "title", "excerpt")
+    return parse_articles(flat, "id", "link", "date", "title", "excerpt", terms)
 
 
 def read_feed_xml(spark: SparkSession, path: str, source: str, row_tag: str = "item") -> DataFrame:
@@ -169,7 +175,7 @@ def write_layer(df: DataFrame, path: str, month: str = "month", export_csv: bool
         df.write.mode("overwrite").option("header", True).csv(path)
         return
     parted = df.withColumn("year", F.year(month))
-    parted.repartition("year", month).write.mode("overwrite").partitionBy("year").parquet(path)
+    parted.hint("rebalance", "year").write.mode("overwrite").partitionBy("year").parquet(path)
 
 
 def read_layer(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from panelwatch.plans.stages import clear  # noqa: E402
 from panelwatch.session import build_session  # noqa: E402
 
 
@@ -13,6 +14,7 @@ def spark():
     s = build_session("tests", master="local[4]", shuffle_partitions=4)
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    clear(s)
     s.stop()
 
 
