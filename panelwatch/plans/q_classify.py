@@ -416,7 +416,7 @@ def comparison(b: DataFrame, variants: dict[str, str] = VARIANTS) -> DataFrame:
     fc = FC.walk_forward(b, "ipc_level", variants, BLOCK).where("part = 'test' AND ipc_level IS NOT NULL")
     preds = FC.long_predictions(fc, "ipc_level", list(variants), ["series_id"])
     rmse = preds.groupBy("series_id", F.col("model").alias("variant")).agg(F.expr("sqrt(avg((y - yhat) * (y - yhat)))").alias("rmse"))
-    train = b.where("part = 'train'")
+    train = b.where("part = 'train'").na.fill(0.0, cols)  # the criterion takes a missing signal as zero
     ics = [FC.model_ic(train, "ipc_level", c, ["series_id"]).selectExpr("series_id", f"'{v}' AS variant", "aic_full AS aic") for v, c in variants.items()]
     ic = reduce(DataFrame.unionByName, ics)
     pairs = ", ".join(f"'{v}', coalesce({c}, 0D)" for v, c in variants.items())
@@ -437,11 +437,12 @@ def _variant_sql() -> None:
       u AS (SELECT b.series_id, b.month, b.part, b.ipc_level AS y, b.target_high_inflation_regime_t1 AS cls, v.variant, v.x FROM b, LATERAL (VALUES ('behavioural', v1), ('blend', v2), ('text', v3)) v(variant, x)),
       f AS (SELECT *, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY series_id, variant ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
          first_value(x IGNORE NULLS) OVER (PARTITION BY series_id, variant ORDER BY month ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS fx FROM u),
-      d AS (SELECT *, lag(y, 1) OVER o AS y1, lag(y, 12) OVER o AS y12, lag(y, 13) OVER o AS y13, fx - lag(fx, 1) OVER o - lag(fx, 12) OVER o + lag(fx, 13) OVER o AS dx FROM f WINDOW o AS (PARTITION BY series_id, variant ORDER BY month)),
+      d AS (SELECT *, lag(y, 1) OVER o AS y1, lag(y, 12) OVER o AS y12, lag(y, 13) OVER o AS y13, fx - lag(fx, 1) OVER o - lag(fx, 12) OVER o + lag(fx, 13) OVER o AS dx,
+         coalesce(x, 0) - lag(coalesce(x, 0), 1) OVER o - lag(coalesce(x, 0), 12) OVER o + lag(coalesce(x, 0), 13) OVER o AS dz FROM f WINDOW o AS (PARTITION BY series_id, variant ORDER BY month)),
       w AS (SELECT *, y - y1 - y12 + y13 AS w FROM d)
       SELECT *, lag(w, 1) OVER o AS w1, lag(w, 2) OVER o AS w2 FROM w WINDOW o AS (PARTITION BY series_id, variant ORDER BY month)""")
-    three = {"a": "w1*w1", "b": "w1*w2", "c": "w1*dx", "e": "w2*w2", "f": "w2*dx", "i": "dx*dx", "p": "w1*w", "q": "w2*w", "r": "dx*w", "yy": "w*w"}
-    full = "FILTER (w IS NOT NULL AND w1 IS NOT NULL AND w2 IS NOT NULL AND dx IS NOT NULL)"
+    three = {"a": "w1*w1", "b": "w1*w2", "c": "w1*dz", "e": "w2*w2", "f": "w2*dz", "i": "dz*dz", "p": "w1*w", "q": "w2*w", "r": "dz*w", "yy": "w*w"}
+    full = "FILTER (w IS NOT NULL AND w1 IS NOT NULL AND w2 IS NOT NULL AND dz IS NOT NULL)"
     det = "nullif(a*(e*i-f*f) - b*(b*i-f*c) + c*(b*f-e*c), 0)"
     d1, d2, d3 = "(p*(e*i-f*f) - b*(q*i-f*r) + c*(q*f-e*r))", "(a*(q*i-f*r) - p*(b*i-f*c) + c*(b*r-q*c))", "(a*(e*r-q*f) - b*(b*r-q*c) + p*(b*f-e*c))"
     cte("x_var_ic", f"""
