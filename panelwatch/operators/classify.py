@@ -51,10 +51,20 @@ def threshold_curve(rows: DataFrame, by: Sequence[str], y: str = "y", score: str
     """One row per group and distinct score: counts at that threshold, the counts one step before, metrics.
 
     ``bounded`` says that a group has at most a calendar of scores; otherwise the
-    running totals are cut into value cells so that one hot group uses many tasks.
+    running totals are taken in ranges of scores so that one hot group uses many tasks.
     """
-    counts = rows.where(f"{y} IS NOT NULL AND {score} IS NOT NULL").groupBy(*by, F.col(score).alias("threshold")).agg(
+    return curve_of_counts(score_counts(rows, by, y, score), by, bounded)
+
+
+def score_counts(rows: DataFrame, by: Sequence[str], y: str = "y", score: str = "score") -> DataFrame:
+    """Positives ``_p`` and negatives ``_q`` per group and distinct score ``threshold``."""
+    return rows.where(f"{y} IS NOT NULL AND {score} IS NOT NULL").groupBy(*by, F.col(score).alias("threshold")).agg(
         F.expr(f"sum({y})").cast("bigint").alias("_p"), F.expr(f"sum(1 - {y})").cast("bigint").alias("_q"))
+
+
+def curve_of_counts(counts: DataFrame, by: Sequence[str], bounded: bool = False) -> DataFrame:
+    """The threshold curve of counts per group and score; a group may have several rows per score."""
+    counts = counts.groupBy(*by, "threshold").agg(F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))
     run = running_totals(counts, by, "threshold", ["_p", "_q"], bounded=bounded)
     out = run.selectExpr(
         *by, "threshold", "total__p AS n_pos", "total__q AS n_neg", "cum__p AS tp", "cum__q AS fp", "total__p - cum__p AS fn", "total__q - cum__q AS tn", "cum__p - _p AS prev_tp", "cum__q - _q AS prev_fp")

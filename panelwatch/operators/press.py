@@ -64,10 +64,10 @@ def text_score_monthly(scored: DataFrame, source: str = "source_type", keys: Seq
     """Mean score, documents, hits and dominant source per month.
 
     Counts per source first, then one row per month: the mode needs no list of documents.
-    ``n_texts`` counts texts that are not null. Ties of the dominant source go to the smallest name.
+    ``n_texts`` counts texts that are not null (rows, where the frame has no texts). Ties of the dominant source go to the smallest name.
     """
     per_source = scored.groupBy(*keys, "month", source).agg(
-        F.sum("score").alias("_s"), F.count(F.lit(1)).alias("_n"), F.count(text).alias("_t"), F.sum("neg_hits").alias("_neg"), F.sum("pos_hits").alias("_pos"))
+        F.sum("score").alias("_s"), F.count(F.lit(1)).alias("_n"), F.count(text if text in scored.columns else F.lit(1)).alias("_t"), F.sum("neg_hits").alias("_neg"), F.sum("pos_hits").alias("_pos"))
     best = F.min(F.struct((-F.col("_n")).alias("n"), F.col(source).alias("s")))
     out = per_source.groupBy(*keys, "month").agg(
         (F.sum("_s") / F.sum("_n")).alias("score_lexical_raw"), F.sum("_t").alias("n_texts"), best.alias("_best"),

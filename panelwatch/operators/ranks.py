@@ -1,12 +1,11 @@
 """Running totals and exact quantiles over values of any number, without one big sort task.
 
 A window ordered by value over a whole scope would put that scope into one task.
-Here the scope is cut into value cells by a rule that depends only on the row and on
-the scope's minimum and maximum, so a task that is run again cuts it the same way:
-totals per cell are summed up first (a bounded number of cells per scope), and the
-fine running totals are taken inside each cell. A second level cuts each cell again by
-the cell's own minimum and maximum, so a distribution crowded into a small part of the
-range is spread as well.
+Here the distinct values with their measures are partitioned by range of (scope, value), whose limits
+come from a sample of the values themselves, so a crowded or heavy-tailed distribution is
+spread like any other. A reliable checkpoint fixes which value is in which range; the totals
+per range, at most one row per range and scope, are summed up first and the fine running
+totals are taken inside the ranges. No row is joined or grouped by its scope alone.
 """
 
 from __future__ import annotations
@@ -15,93 +14,52 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-CELLS = 1024
+from panelwatch.session import cut_lineage
 
 
-def _cell(v: Column, lo: Column, hi: Column, cells: int) -> Column:
-    pos = F.floor(F.try_divide(v - lo, hi - lo) * F.lit(float(cells)))
-    return F.coalesce(F.least(pos, F.lit(cells - 1)), F.lit(0)).cast("int")
-
-
-def running_totals(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    measures: Sequence[str],
-    descending: bool = True,
-    bounded: bool = False,
-    cells: int = CELLS,
-) -> DataFrame:
+def running_totals(df: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str], descending: bool = True, bounded: bool = False) -> DataFrame:
     """Add ``cum_{m}`` (total over rows at or beyond this value) and ``total_{m}`` per measure.
 
     ``df`` holds one row per ``(keys, value)``. ``bounded`` is for scopes whose number of
     distinct values has a fixed limit (the months of a panel): a plain window.
     """
     order = F.col(value).desc() if descending else F.col(value).asc()
+    keys = list(keys)
     if bounded:
         w = _window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
         whole = Window.partitionBy(*keys)
         return df.withColumns({
             **{f"cum_{m}": F.sum(m).over(w) for m in measures}, **{f"total_{m}": F.sum(m).over(whole) for m in measures}})
 
-    keys = list(keys)
-    bounds1 = df.groupBy(*keys).agg(F.min(value).alias("_lo1"), F.max(value).alias("_hi1"))
-    d1 = df.join(bounds1, keys).withColumn("_c1", _cell(F.col(value), F.col("_lo1"), F.col("_hi1"), cells))
-    bounds2 = d1.groupBy(*keys, "_c1").agg(
-        F.min(value).alias("_lo2"), F.max(value).alias("_hi2"), *[F.sum(m).alias(f"_t1_{m}") for m in measures]
-    )
-    c1_order = F.col("_c1").desc() if descending else F.col("_c1").asc()
-    w1 = _window(keys, c1_order).rowsBetween(Window.unboundedPreceding, -1)
-    # at most ``cells`` rows per scope here: prefixes and scope totals
-    bounds2 = bounds2.withColumns({
-        **{f"_p1_{m}": F.coalesce(F.sum(f"_t1_{m}").over(w1), F.lit(0)) for m in measures},
-        **{f"total_{m}": F.sum(f"_t1_{m}").over(Window.partitionBy(*keys)) for m in measures}})
-    d2 = d1.join(bounds2, [*keys, "_c1"]).withColumn("_c2", _cell(F.col(value), F.col("_lo2"), F.col("_hi2"), cells))
-    totals2 = d2.groupBy(*keys, "_c1", "_c2").agg(*[F.sum(m).alias(f"_t2_{m}") for m in measures])
-    c2_order = F.col("_c2").desc() if descending else F.col("_c2").asc()
-    w2 = _window([*keys, "_c1"], c2_order).rowsBetween(Window.unboundedPreceding, -1)
-    totals2 = totals2.select(
-        *keys, "_c1", "_c2", *[F.coalesce(F.sum(f"_t2_{m}").over(w2), F.lit(0)).alias(f"_p2_{m}") for m in measures]
-    )
-    d3 = d2.join(totals2, [*keys, "_c1", "_c2"])
-    fine = _window([*keys, "_c1", "_c2"], order).rowsBetween(Window.unboundedPreceding, 0)
-    cums = {f"cum_{m}": F.sum(m).over(fine) + F.col(f"_p1_{m}") + F.col(f"_p2_{m}") for m in measures}
-    out = d3.withColumns(cums)
-    return out.select(*df.columns, *cums, *[f"total_{m}" for m in measures])
+    # the values once, then in ranges: sampling the limits must not aggregate the rows again
+    ranged = cut_lineage(cut_lineage(df).repartitionByRange(*keys, order)).withColumn("_range", F.spark_partition_id())
+    totals = ranged.groupBy("_range", *keys).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
+    earlier = _window(keys, F.col("_range").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(
+        "_range", *keys, *[F.coalesce(F.sum(f"_t_{m}").over(earlier), F.lit(0)).alias(f"_b_{m}") for m in measures],
+        *[F.sum(f"_t_{m}").over(Window.partitionBy(*keys)).alias(f"total_{m}") for m in measures])
+    fine = _window(["_range", *keys], order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(totals, ["_range", *keys]).withColumns({f"cum_{m}": F.sum(m).over(fine) + F.col(f"_b_{m}") for m in measures})
+    return out.select(*df.columns, *[f"cum_{m}" for m in measures], *[f"total_{m}" for m in measures])
 
 
 def _window(keys: Sequence[str], order: Column):
     return Window.partitionBy(*keys).orderBy(order)
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], cells: int = CELLS) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], weight: str | None = None) -> DataFrame:
     """Linear-interpolation quantiles, one column ``q{100p}`` per probability, for groups of any size.
 
-    Distributed selection: rows are counted per value cell (map-side combine to at most
-    ``cells`` counts per group and task), the cells that hold a wanted rank are found from
-    the totals, and only their rows are looked at again, cut into finer cells by the
-    cell's own range. No group is sorted or collected; the result is exact.
+    Rows are counted per distinct value (``weight``: they already are, with this count), and the values at the
+    wanted ranks are read off the running counts. No group is sorted or collected; the result is exact.
     """
     keys = list(keys)
-    ranks = [f"{fn}((_total - 1) * {float(p)}D) + 1" for p in probs for fn in ("floor", "ceil")]
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    whole = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_total"))
-    at, level, base = whole.withColumn("_base", F.lit(0).cast("bigint")), rows, list(keys)
-    for depth in (1, 2):
-        cell = f"_c{depth}"
-        level = level.join(at, base).withColumn(cell, _cell(F.col("_v"), F.col("_lo"), F.col("_hi"), cells)).drop("_lo", "_hi")
-        counted = level.groupBy(*base, "_base", "_total", cell).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        upto = f"sum(_n) OVER (PARTITION BY {', '.join(base)} ORDER BY {cell} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + _base"
-        counted = counted.withColumn("_cum", F.expr(upto))
-        wanted = " OR ".join(f"({r}) BETWEEN _cum - _n + 1 AND _cum" for r in ranks)
-        base = [*base, cell]
-        at = counted.where(wanted).selectExpr(*base, "_lo", "_hi", "_total", "_cum - _n AS _base")
-        level = level.select(*base, "_v")
-    values = level.join(at, base).groupBy(*base, "_base", "_total", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    run = f"_base + sum(_n) OVER (PARTITION BY {', '.join(base)} ORDER BY _v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    values = values.withColumn("_cum", F.expr(run))
-    picks = [F.expr(f"max(CASE WHEN ({r}) BETWEEN _cum - _n + 1 AND _cum THEN _v END)").alias(f"_r{i}") for i, r in enumerate(ranks)]
-    found = values.groupBy(*keys).agg(*picks, F.max("_total").alias("_total"))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), *([F.col(weight).alias("_w")] if weight else []))
+    counts = rows.groupBy(*keys, "_v").agg((F.sum("_w") if weight else F.count(F.lit(1))).alias("_n"))
+    run = running_totals(counts, keys, "_v", ["_n"], descending=False)
+    ranks = [f"{fn}((total__n - 1) * {float(p)}D) + 1" for p in probs for fn in ("floor", "ceil")]
+    picks = [F.expr(f"max(CASE WHEN ({r}) BETWEEN cum__n - _n + 1 AND cum__n THEN _v END)").alias(f"_r{i}") for i, r in enumerate(ranks)]
+    found = run.groupBy(*keys).agg(*picks, F.max("total__n").alias("_total"))
     share = lambda p: f"((_total - 1) * {float(p)}D - floor((_total - 1) * {float(p)}D))"
     return found.selectExpr(*keys, *[f"_r{2 * i} + (_r{2 * i + 1} - _r{2 * i}) * {share(p)} AS {quantile_name(p)}" for i, p in enumerate(probs)])
 

@@ -33,6 +33,12 @@ def scoped_scores(spark: SparkSession, sf: str) -> DataFrame:
     return inputs.labelled_scores(spark, sf).selectExpr("y", "score", "explode(array(scope, 'global')) AS scope")
 
 
+def scoped_curve(spark: SparkSession, sf: str) -> DataFrame:
+    """The curve of each scope and of all together; the latter's counts are sums of the former's, so rows are counted once."""
+    counts = CL.score_counts(inputs.labelled_scores(spark, sf), ["scope"])
+    return CL.curve_of_counts(counts.withColumn("scope", F.explode(F.array("scope", F.lit("global")))), ["scope"])
+
+
 def curve_sql(source: str, by: str) -> str:
     """Thresholds descending with running counts; ``source`` has y, score and the group columns."""
     return f"""
@@ -75,29 +81,28 @@ def confusion_at_threshold(spark, sf):
   UNION ALL SELECT DISTINCT scope, 'end', NULL, CAST(n_pos AS BIGINT), CAST(n_neg AS BIGINT), 1.0::DOUBLE, 1.0::DOUBLE FROM x_curve""")
 def roc_curve(spark, sf):
     """Points per distinct score, with the (0, 0) start and the (1, 1) end."""
-    rows = scoped_scores(spark, sf)
-    c = CL.threshold_curve(rows, ["scope"])
+    c = scoped_curve(spark, sf)
     pts = c.selectExpr("scope", "'threshold' AS point", "threshold", "tp", "fp", "round(recall, 4) AS tpr", f"round({CL.ratio0('fp', 'n_neg')}, 4) AS fpr")
-    totals = rows.groupBy("scope").agg(F.expr("count_if(y = 1)").alias("p"), F.expr("count_if(y = 0)").alias("q"))
+    totals = c.groupBy("scope").agg(F.max("n_pos").alias("p"), F.max("n_neg").alias("q"))
     ends = totals.selectExpr("scope", "stack(2, 'start', 0L, 0L, 0D, 'end', p, q, 1D) AS (point, tp, fp, tpr)")
     return pts.unionByName(ends.selectExpr("scope", "point", "double(null) AS threshold", "tp", "fp", "tpr", "tpr AS fpr"))
 
 
 @query("roc_auc", "SELECT scope, n_pos, n_total, round(auc, 4) AS auc FROM x_areas")
 def roc_auc(spark, sf):
-    a = CL.areas(CL.threshold_curve(scoped_scores(spark, sf), ["scope"]), ["scope"])
+    a = CL.areas(scoped_curve(spark, sf), ["scope"])
     return a.select("scope", "n_pos", "n_total", r4("auc").alias("auc"))
 
 
 @query("pr_curve", "SELECT scope, threshold, round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1 FROM x_curve")
 def pr_curve(spark, sf):
-    c = CL.threshold_curve(scoped_scores(spark, sf), ["scope"])
+    c = scoped_curve(spark, sf)
     return c.select("scope", "threshold", *[r4(m).alias(m) for m in ("precision", "recall", "f1")])
 
 
 @query("average_precision", "SELECT scope, n_pos, n_total, round(ap, 9) AS ap FROM x_areas")
 def average_precision(spark, sf):
-    a = CL.areas(CL.threshold_curve(scoped_scores(spark, sf), ["scope"]), ["scope"])
+    a = CL.areas(scoped_curve(spark, sf), ["scope"])
     return a.select("scope", "n_pos", "n_total", F.round("ap", 9).alias("ap"))
 
 
@@ -110,7 +115,7 @@ def best_sql(source: str, by: str) -> str:
     round(precision, 4) AS precision_opt, round(n_pos::DOUBLE / (n_pos + n_neg), 4) AS baseline, CAST(n_pos AS BIGINT) AS n_pos, CAST(n_pos + n_neg AS BIGINT) AS n_total
   FROM ({best_sql('x_curve', 'scope')}) WHERE rn = 1""")
 def f1_optimal(spark, sf):
-    o = CL.f1_optimal(CL.threshold_curve(scoped_scores(spark, sf), ["scope"]), ["scope"])
+    o = CL.f1_optimal(scoped_curve(spark, sf), ["scope"])
     return o.select("scope", "threshold_opt", "n_pos", "n_total", *[r4(c).alias(c) for c in ("f1_opt", "fpr_opt", "recall_opt", "precision_opt", "baseline")])
 
 

@@ -9,6 +9,7 @@ from panelwatch.functions import columns as C
 from panelwatch.operators import normalise as N, panel as P, ranks
 from panelwatch.plans import inputs
 from panelwatch.plans.registry import cte, query
+from panelwatch.session import cut_lineage
 
 
 def r4(c):
@@ -302,16 +303,17 @@ DESCRIBED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std, min, quartiles, max and missing share per numeric column of a table of any size.
 
-    Moments are plain aggregates. Quartiles come from counts per distinct value and
-    running totals over value cells, so no column is collected into one task.
+    One scan counts the distinct values of each column; moments and quartiles come from these counts.
     """
     long = df.select(F.expr("stack({}, {}) as (column, value)".format(
         len(columns), ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns))))
-    moments = long.groupBy("column").agg(
-        F.count("value").alias("n"), F.count(F.lit(1)).alias("_rows"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    quartiles = ranks.exact_quantiles(long, ["column"], "value", [0.25, 0.5, 0.75])
-    return moments.join(quartiles, "column").withColumn(
+    counts = cut_lineage(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("c")))
+    n, total = "sum(CASE WHEN value IS NOT NULL THEN c END)", "sum(value * c)"
+    moments = counts.groupBy("column").agg(
+        F.expr(f"coalesce({n}, 0)").alias("n"), F.sum("c").alias("_rows"), F.expr(f"{total} / {n}").alias("mean"),
+        F.expr(f"sqrt(try_divide(greatest(sum(value * value * c) - {total} * {total} / {n}, 0D), {n} - 1))").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    quartiles = ranks.exact_quantiles(counts, ["column"], "value", [0.25, 0.5, 0.75], weight="c")
+    return moments.join(quartiles, "column", "left").withColumn(
         "missing_pct", (F.col("_rows") - F.col("n")) * F.lit(100.0) / F.col("_rows")).drop("_rows")
 
 

@@ -26,10 +26,10 @@ def test_curve_counts_match_brute_force_with_ties_and_crowding(spark, bounded):
 
 def test_quantiles_match_numpy(spark):
     rng = np.random.default_rng(2)
-    frames = {"n": rng.normal(size=501), "ties": rng.integers(0, 4, 200).astype(float), "crowd": np.append(rng.random(300) * 1e-9, 1e9), "one": np.array([3.5])}
+    frames = {"n": rng.normal(size=501), "ties": rng.integers(0, 4, 200).astype(float), "crowd": np.append(rng.random(300) * 1e-9, 1e9), "one": np.array([3.5]), "tail": np.append(rng.random(400), [1e15, -1e15, 1e300])}
     pdf = pd.concat([pd.DataFrame({"k": k, "v": v}) for k, v in frames.items()])
     probs = [0.0, 0.025, 0.25, 0.5, 0.75, 0.975, 1.0]
-    got = ranks.exact_quantiles(spark.createDataFrame(pdf), ["k"], "v", probs, cells=16).toPandas().set_index("k")
+    got = ranks.exact_quantiles(spark.createDataFrame(pdf), ["k"], "v", probs).toPandas().set_index("k")
     for k, v in frames.items():
         assert [got.loc[k, ranks.quantile_name(p)] for p in probs] == pytest.approx(list(np.percentile(v, [100 * p for p in probs])), rel=1e-12, abs=1e-15)
 
