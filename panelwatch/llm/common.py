@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Characters of a text that are looked at in one go; longer texts are worked through piece by piece.
 STEP = 1 << 20
+#: Bytes after which a batch of rows goes to Python, however few its rows are.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def workdir(spark: SparkSession) -> str:
@@ -31,6 +34,13 @@ def workdir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session cuts batches of texts by their size; a smaller setting of the user's stays."""
+    now = str(spark.conf.get(_BATCH)).rstrip("bB")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder, under the application's own folder."""
     return f"{workdir(spark)}/llm-{spark.sparkContext.applicationId}/{name}-{uuid4().hex}"
@@ -39,12 +49,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a frame of short rows: computed once, survives lost executors."""
     workdir(df.sparkSession)
+    bounded_batches(df.sparkSession)
     return df.checkpoint()
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """The frame as a compressed table in the shared folder: computed once, survives lost executors."""
     path = scratch(df.sparkSession, name)
+    bounded_batches(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

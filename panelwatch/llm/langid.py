@@ -137,7 +137,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").drop_duplicates("id").head(sample)
-        x = np.stack([vector(np.asarray(v, float), idf) for v in pdf["v"]])
+        x = np.empty((len(pdf), buckets), np.float32)
+        for i, v in enumerate(pdf["v"]):
+            x[i] = vector(np.asarray(v, float), idf)
         c, near = _cluster(x, clusters)
         best, size = near.max(axis=1), np.array([size_class(np.asarray(v)) for v in pdf["v"]])
         floors = [best.min()]

@@ -46,7 +46,7 @@ class Words:
     Each word of a group of texts is encoded once; the first ``bound`` words are kept for later groups.
     """
 
-    def __init__(self, path: str, bound: int = 1_000_000):
+    def __init__(self, path: str, bound: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from panelwatch.llm.common import by_row, chunks_of_words, sample_ids, staged
+from panelwatch.llm.common import bounded_batches, by_row, chunks_of_words, sample_ids, staged
 
 BUCKETS = 10_000
 
@@ -38,6 +38,7 @@ def log_ratios(docs: DataFrame, target_ids: list, buckets: int = BUCKETS, prior:
     Each task sends one count per bucket; ``target_ids`` is bounded by its caller.
     """
     share = docs.sparkSession.sparkContext.broadcast(frozenset(target_ids))
+    bounded_batches(docs.sparkSession)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)

@@ -19,6 +19,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from panelwatch.llm.common import bounded_batches
+
 WORD = re.compile(r"[^\W_]+")
 STEP = 1 << 22
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -142,6 +144,7 @@ def blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", min_m
 def hits_column(df: DataFrame, text: str, block: Block, threshold: float) -> Column:
     """The items of a block that a text covers enough, as an array."""
     share = df.sparkSession.sparkContext.broadcast(block)
+    bounded_batches(df.sparkSession)
 
     @F.pandas_udf(HITS)
     def hits(texts: pd.Series) -> pd.Series:
