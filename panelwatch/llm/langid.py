@@ -112,7 +112,10 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     hashed = rows.select("id", "lang", F.xxhash64("id", F.lit("sample")).alias("h"))
-    picked = hashed.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("r") <= sample)
+    # first within parts of a language, so that no task gets the candidates that all tasks have of one language
+    for part in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
+        hashed = hashed.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy("h", "id"))).where(F.col("r") <= sample)
+    picked = hashed
     ids = staged(picked.select("lang", "id").distinct(), "sample")
     chosen = docs.sparkSession.sparkContext.broadcast({(r[0], r[1]) for r in ids.collect()})
 
