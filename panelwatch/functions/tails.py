@@ -10,7 +10,10 @@ from pyspark.sql import Column, functions as F
 
 
 def _reg_inc_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta by the continued fraction (modified Lentz)."""
+    """Regularised incomplete beta by the continued fraction (modified Lentz); not a number if it does not converge.
+
+    The fraction needs about the square root of the larger parameter in steps.
+    """
     if not (x == x and a > 0 and b > 0):
         return float("nan")
     if x <= 0.0:
@@ -26,7 +29,7 @@ def _reg_inc_beta(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     h = d
-    for m in range(1, 400):
+    for m in range(1, 400 + int(10 * math.sqrt(max(a, b)))):
         for num in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -37,8 +40,8 @@ def _reg_inc_beta(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             h *= d * c
         if abs(d * c - 1.0) < 1e-14:
-            break
-    return front * h
+            return front * h
+    return float("nan")
 
 
 def _t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:

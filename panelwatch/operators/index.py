@@ -103,7 +103,7 @@ def _centred(n, s, g, k):
 
 
 def _coordinate_path(xx, xy, n, alphas, tol=1e-10, sweeps=5000):
-    """Positive lasso coefficients along decreasing penalties, warm-started."""
+    """Positive lasso coefficients along decreasing penalties, warm-started; not numbers where the sweeps did not converge."""
     k = len(xy)
     beta, path = np.zeros(k), []
     for a in alphas:
@@ -117,6 +117,9 @@ def _coordinate_path(xx, xy, n, alphas, tol=1e-10, sweeps=5000):
                 step = max(step, abs(beta[j] - old))
             if step < tol:
                 break
+        else:
+            path.append(np.full(k, np.nan))
+            continue
         path.append(beta.copy())
     return np.array(path)
 
@@ -159,9 +162,11 @@ def lasso_from_gram(pdf: pd.DataFrame, k: int, standardise: bool = True, n_alpha
         quad = np.einsum("ai,ij,aj->a", path, pg[:k, :k], path)
         sse = pg[k, k] - 2 * icept * ps[k] - 2 * path @ pg[:k, k] + pn * icept**2 + 2 * icept * (path @ ps[:k]) + quad
         errors += sse / pn
-    best = alphas[int(np.argmin(errors))]
+    if np.isnan(errors).all():
+        return np.zeros(k), mean, dev, n
+    best = alphas[int(np.nanargmin(errors))]
     coef = _coordinate_path(xx, xy, n, alphas[alphas >= best])[-1]
-    return coef, mean, dev, n
+    return np.nan_to_num(coef), mean, dev, n
 
 
 def pca_from_gram(pdf: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:

@@ -114,7 +114,21 @@ def scoped_errors(spark, sf) -> DataFrame:
     """Error arrays per series, model and scope, spread over all cores for the replicate work."""
     rows = predictions(spark, sf).where("yhat IS NOT NULL").selectExpr("series_id", "model", "block", "month", "y - yhat AS e", "explode(array(block, 'global')) AS scope")
     by = ["series_id", "scope", "model"]
-    return I.ordered_arrays(rows, by, ["e"], ["block", "month"]).repartition(spark.sparkContext.defaultParallelism, *by)
+    return _spread(I.ordered_arrays(rows, by, ["e"], ["block", "month"]), by)
+
+
+def _spread(arrays: DataFrame, by: list[str]) -> DataFrame:
+    """One task per shuffle partition: the rows are few bytes, but each costs a thousand replicates."""
+    return arrays.repartition(int(arrays.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def error_table(spark, sf) -> DataFrame:
+    """Error intervals of all series, models and scopes, computed once and read by all that compare them."""
+    def build(s, d):
+        found = scoped_errors(s, d).select("series_id", "scope", "model", F.size("e").cast("bigint").alias("n_obs"), I.error_intervals(F.col("e")).alias("b"))
+        return found.select("series_id", "scope", "model", "n_obs", "b.*")
+
+    return staged(spark, sf, "error_intervals", build)
 
 
 @query("bootstrap_ci_error", """
@@ -122,8 +136,7 @@ def scoped_errors(spark, sf) -> DataFrame:
     round(p.mae, 3) AS mae, round(mae_lo, 3) AS mae_lo, round(mae_hi, 3) AS mae_hi, round(mae_hi - mae_lo, 3) AS mae_width
   FROM x_boot_err b JOIN (SELECT series_id, scope, model, count(*) AS n, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae FROM x_groups GROUP BY 1, 2, 3) p USING (series_id, scope, model)""")
 def bootstrap_ci_error(spark, sf):
-    d = scoped_errors(spark, sf).select("series_id", "scope", "model", F.size("e").cast("bigint").alias("n_obs"), I.error_intervals(F.col("e")).alias("b"))
-    d = d.select("series_id", "scope", "model", "n_obs", "b.*")
+    d = error_table(spark, sf)
     vals = ["rmse", "rmse_lo", "rmse_hi", "mae", "mae_lo", "mae_hi"]
     return d.select("series_id", "scope", "model", "n_obs", *[r3(v).alias(v) for v in vals], F.expr("round(rmse_hi - rmse_lo, 3)").alias("rmse_width"), F.expr("round(mae_hi - mae_lo, 3)").alias("mae_width"))
 
@@ -133,8 +146,8 @@ def bootstrap_ci_error(spark, sf):
   r AS (SELECT g.series_id, g.scope, g.model, w.rep, sqrt(sum(w.w * g.e * g.e) / sum(w.w)) AS rmse FROM x_groups g JOIN w ON w.pos = g.idx GROUP BY 1, 2, 3, 4)
   SELECT series_id, scope, model, round(quantile_cont(rmse, 0.025), 3) AS rmse_bayes_lo, round(quantile_cont(rmse, 0.975), 3) AS rmse_bayes_hi FROM r GROUP BY 1, 2, 3""")
 def bayes_bootstrap(spark, sf):
-    d = scoped_errors(spark, sf).select("series_id", "scope", "model", I.error_intervals(F.col("e")).alias("b"))
-    return d.select("series_id", "scope", "model", r3("b.rmse_bayes_lo").alias("rmse_bayes_lo"), r3("b.rmse_bayes_hi").alias("rmse_bayes_hi"))
+    d = error_table(spark, sf)
+    return d.select("series_id", "scope", "model", r3("rmse_bayes_lo").alias("rmse_bayes_lo"), r3("rmse_bayes_hi").alias("rmse_bayes_hi"))
 
 
 cte("x_cls", """
@@ -155,9 +168,14 @@ cte("x_cls_ci", f"""
 
 
 def class_table(spark, sf) -> DataFrame:
+    """Intervals of the classification metrics, computed once."""
+    return staged(spark, sf, "class_intervals", _class_table)
+
+
+def _class_table(spark, sf) -> DataFrame:
     rows = stress(spark, sf).where("part = 'test'").selectExpr("series_id", "signal", "block", "month", "y", "score", "explode(array(block, 'global')) AS scope")
     by = ["series_id", "scope", "signal"]
-    arrays = I.ordered_arrays(rows, by, ["y", "score"], ["block", "month"]).repartition(spark.sparkContext.defaultParallelism, *by)
+    arrays = _spread(I.ordered_arrays(rows, by, ["y", "score"], ["block", "month"]), by)
     return arrays.select(*by, F.size("y").cast("bigint").alias("n_obs"), I.class_intervals(F.col("y"), F.col("score")).alias("b")).select(*by, "n_obs", "b.*")
 
 
@@ -177,8 +195,7 @@ def bootstrap_ci_class(spark, sf):
     greatest(a.lo, b.lo) < least(a.hi, b.hi) AS overlap, NOT (greatest(a.lo, b.lo) < least(a.hi, b.hi)) AS significant_diff
   FROM r a JOIN r b ON a.series_id = b.series_id AND a.scope = b.scope AND a.metric = b.metric AND a.k < b.k""")
 def ci_overlap(spark, sf):
-    err = scoped_errors(spark, sf).select("series_id", "scope", "model", I.error_intervals(F.col("e")).alias("b")).select("series_id", "scope", "model", "b.*")
-    err = err.selectExpr("series_id", "scope", "model", "stack(2, 'RMSE', rmse_lo, rmse_hi, 'MAE', mae_lo, mae_hi) AS (metric, lo, hi)")
+    err = error_table(spark, sf).selectExpr("series_id", "scope", "model", "stack(2, 'RMSE', rmse_lo, rmse_hi, 'MAE', mae_lo, mae_hi) AS (metric, lo, hi)")
     parts = ", ".join(f"'{m}', {m}_lo, {m}_hi" for m in _CLS)
     cls = class_table(spark, sf).selectExpr("series_id", "scope", "signal AS model", f"stack(4, {parts}) AS (metric, lo, hi)")
     o = I.ci_overlap(err.unionByName(cls), ["series_id", "scope"], MODELS)
