@@ -108,14 +108,15 @@ def keyword_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def macro_months(spark: SparkSession, sf: str) -> DataFrame:
-    """Unit price per supplier region and month."""
+    """Unit price per supplier region and month; lines are summed per supplier and month before the join."""
     region = (
         table(spark, sf, "supplier")
         .join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(F.col("s_suppkey").alias("l_suppkey"), F.col("r_name").alias("region"))
     )
-    lines = table(spark, sf, "lineitem").select("l_suppkey", "l_quantity", "l_extendedprice", month_start("l_shipdate").alias("month"))
+    lines = table(spark, sf, "lineitem").groupBy("l_suppkey", month_start("l_shipdate").alias("month")).agg(
+        F.sum("l_quantity").alias("l_quantity"), F.sum("l_extendedprice").alias("l_extendedprice"))
     return (
         lines.join(region, "l_suppkey")
         .groupBy("region", "month")

@@ -112,8 +112,10 @@ def dedup_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
     The smallest order per key is an aggregate with map-side combine, so a group of
     copies of any size never sits in one task; the rows follow by a semi join on ``order``.
+    Only a digest of the keys and ``order`` are shuffled for it, not the keys, which may be whole texts.
     """
-    firsts = df.groupBy(*keys).agg(F.min(order).alias(order)).select(order)
+    digest = F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)
+    firsts = df.groupBy(digest.alias("_digest")).agg(F.min(order).alias(order)).select(order)
     return df.join(firsts, [order], "left_semi")
 
 
