@@ -227,6 +227,7 @@ def repeat_spans(rows: DataFrame, length: int = 200, gram: int = 32, group_bound
     """
     found = staged(anchor_rows(rows, length, gram), "anchors")
     often = found.groupBy("g").agg(F.count(F.lit(1)).alias("n"), (F.min("s") == F.max("s")).alias("pure")).where("n > 1").drop("n")
+    often = staged(often, "grams")  # read as a plain side of the join, which can then split a hot gram
     some = staged(found.join(often, "g"), "repeated")
     alike = some.where("pure").select("k", (F.col("p") - F.col("back")).alias("start"), (F.col("p") - F.col("fore") + length).alias("stop"))
 
