@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwatch.llm import langid, packing, secret_scan, simhash, tiling
+from panelwatch.llm import langid, overlap, packing, secret_scan, tiling
 from panelwatch.llm.common import staged
 from panelwatch.plans.inputs import table
 
@@ -18,8 +18,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints."""
-    return simhash.keep_one(docs).select(*COLUMNS)
+    """One document of each group of linked fingerprints, then of documents whose five-word shingles overlap to 0.8 or more."""
+    return overlap.keep_one(docs).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,16 +129,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return marked.join(roots.join(first, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def kept_rows(marked: DataFrame, text: str = "text", width: int = 4, distance: int = 4, segments: int = 3) -> DataFrame:
+    """``_row, _n``: the row hash that stays of each component, and how many rows have it."""
+    found = near_duplicates(marked, "_row", text, width, distance, segments)
+    return cut(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_row")).agg(F.count(F.lit(1)).alias("_n")))
+
+
+def take_rows(marked: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row of ``marked`` for each ``_row`` of ``kept``."""
+    alone = marked.join(kept.where("_n = 1"), "_row", "left_semi")
+    alike = marked.join(kept.where("_n > 1"), "_row", "left_semi").dropDuplicates(["_row"])
+    return alone.unionByName(alike)
+
+
 def keep_one(docs: DataFrame, text: str = "text", width: int = 4, distance: int = 4, segments: int = 3) -> DataFrame:
     """One row of each component, all columns of ``docs``.
 
     Rows are told apart by a hash of all columns, so null and repeated ids do no harm; of rows that are alike in all
     columns one stays. An empty table stays empty.
     """
-    names = docs.columns
-    marked = docs.withColumn("_row", F.xxhash64(*names))
-    found = near_duplicates(marked, "_row", text, width, distance, segments)
-    kept = cut(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_row")).agg(F.count(F.lit(1)).alias("_n")))
-    alone = marked.join(kept.where("_n = 1"), "_row", "left_semi")
-    alike = marked.join(kept.where("_n > 1"), "_row", "left_semi").dropDuplicates(["_row"])
-    return alone.unionByName(alike).select(*names)
+    marked = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    return take_rows(marked, kept_rows(marked, text, width, distance, segments)).select(*docs.columns)
