@@ -225,9 +225,9 @@ def cluster(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
             marked = marked_rows(state, bounds)
             changed = fetched_rows(marked, bounds)
             state = marked.where("settled").select("row", "code", "cluster").unionByName(changed.where("row IS NOT NULL").select("row", "code", "cluster"))
-        # k x (dims + 1) sums reach the driver
-        for c, d, s in changed.where("sums IS NOT NULL").select("cluster", F.posexplode("sums").alias("d", "s")).groupBy("cluster", "d").agg(F.sum("s").alias("s")).collect():
-            total[c, d] += s
+        # one row of dims + 1 sums for each centroid that changes
+        for r in changed.where("sums IS NOT NULL").groupBy("cluster").agg(*(F.sum(F.col("sums")[d]).alias(f"s{d}") for d in range(dims + 1))).collect():
+            total[r["cluster"]] += np.array(r[1:], np.int64)
         filled = total[:, dims] > 0
         centroids = centroids.copy()
         centroids[filled] = total[filled, :dims] // total[filled, dims:]
