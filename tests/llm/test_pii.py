@@ -66,3 +66,10 @@ def test_odd_rows(spark):
     assert pii.find(spark.createDataFrame([], schema)).count() == 0
     rows = [(1, "a@b.co"), (1, "a@b.co"), (None, None), (None, "1.2.3.4")]
     assert sorted((x.doc_id or 0, x.n_email, x.n_ip) for x in pii.find(spark.createDataFrame(rows, schema)).collect()) == [(0, 0, 0), (0, 0, 1), (1, 1, 0), (1, 1, 0)]
+
+
+def test_long_runs_of_zeros():
+    from panelwatch.llm import pii
+
+    text = "0" * 5000 + "1.1.1.1 " + "0" * 6000 + "." + "0" * 5000 + ".00.0 256.1.1.1 1." + "9" * 5000 + ".1.1"
+    assert [(text[a : a + 3], text[b - 3 : b]) for k, a, b in pii.base_spans(text) if k == 1] == [("000", "1.1"), ("000", "0.0")]
