@@ -70,6 +70,14 @@ def sample_ids(df: DataFrame, key: str, bound: int) -> list:
     return list(dict.fromkeys(r[0] for r in rows))
 
 
+def spare(columns: list[str], name: str) -> str:
+    """The name, with as many underscores more as make it different from all columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def in_ids(column: Column, ids: list) -> Column:
     return column.isin(ids) if ids else F.lit(False)
 

@@ -155,7 +155,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``_lang`` of ``lang_pred, score, rejected`` for every whole text.
+    """``docs`` with a column ``_lang`` (in place of one of that name) of ``lang_pred, score, rejected`` for every whole text.
 
     Null texts and texts without a letter are ``und`` with score 0 and rejected. Ties go to the first centroid,
     languages in order of name. Repeated rows and nulls in other columns make no difference.

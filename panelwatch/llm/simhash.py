@@ -17,7 +17,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from panelwatch.llm.common import by_row, chunks_of_words, cut
+from panelwatch.llm.common import by_row, chunks_of_words, cut, spare
 
 BITS = 64
 
@@ -129,16 +129,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return marked.join(roots.join(first, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def kept_rows(marked: DataFrame, text: str = "text", width: int = 4, distance: int = 4, segments: int = 3) -> DataFrame:
-    """``_row, _n``: the row hash that stays of each component, and how many rows have it."""
-    found = near_duplicates(marked, "_row", text, width, distance, segments)
-    return cut(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_row")).agg(F.count(F.lit(1)).alias("_n")))
+def kept_rows(marked: DataFrame, text: str = "text", width: int = 4, distance: int = 4, segments: int = 3, row: str = "_row") -> DataFrame:
+    """``row, _n``: the row hash that stays of each component, and how many rows have it."""
+    found = near_duplicates(marked, row, text, width, distance, segments)
+    return cut(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(row)).agg(F.count(F.lit(1)).alias("_n")))
 
 
-def take_rows(marked: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row of ``marked`` for each ``_row`` of ``kept``."""
-    alone = marked.join(kept.where("_n = 1"), "_row", "left_semi")
-    alike = marked.join(kept.where("_n > 1"), "_row", "left_semi").dropDuplicates(["_row"])
+def take_rows(marked: DataFrame, kept: DataFrame, row: str = "_row") -> DataFrame:
+    """One row of ``marked`` for each ``row`` of ``kept``."""
+    alone = marked.join(kept.where("_n = 1"), row, "left_semi")
+    alike = marked.join(kept.where("_n > 1"), row, "left_semi").dropDuplicates([row])
     return alone.unionByName(alike)
 
 
@@ -146,7 +146,8 @@ def keep_one(docs: DataFrame, text: str = "text", width: int = 4, distance: int
     """One row of each component, all columns of ``docs``.
 
     Rows are told apart by a hash of all columns, so null and repeated ids do no harm; of rows that are alike in all
-    columns one stays. An empty table stays empty.
+    columns one stays. Columns may have any names. An empty table stays empty.
     """
-    marked = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    return take_rows(marked, kept_rows(marked, text, width, distance, segments)).select(*docs.columns)
+    row = spare(docs.columns, "_row")
+    marked = docs.withColumn(row, F.xxhash64(*docs.columns))
+    return take_rows(marked, kept_rows(marked, text, width, distance, segments, row), row).select(*docs.columns)
