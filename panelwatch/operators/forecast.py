@@ -5,17 +5,20 @@ an outside signal), the autoregression ``w_t = a w_{t-1} + b w_{t-2} + c dx_t``
 rows before an origin needs only sums of products over those rows. The sums are running
 windows, so no model is refitted in a loop: each row holds the normal equations of its own
 origin and solves them by Cramer's rule as a plain expression.
+
+The full model adds moving-average terms of the season. Its innovations come from a long autoregression (with the terms of
+a year before), whose running normal equations are solved the same way; both larger systems are eliminated as
+arrays inside the JVM.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from panelwatch.config import ERROR_NOTES, MIN_TRAIN, MIN_TRAIN_FULL, EvalWindow
+from panelwatch.functions import linear
 from panelwatch.operators.panel import BEFORE, KEYS, TIME, fill_gaps, series
 
 SEASON = 12
@@ -97,17 +100,54 @@ def product_sums(terms: Sequence[str], tag: str) -> dict[str, str]:
     return {**sums, f"_{tag}__n": f"sum(CASE WHEN {known} THEN 1 ELSE 0 END)"}
 
 
-def walk_forward(df: DataFrame, y: str, exog: Mapping[str, str], keys: Sequence[str] = KEYS, time: str = TIME, season: int = SEASON) -> DataFrame:
+def normal_equations(terms: Sequence[str], tag: str) -> str:
+    """The sums of :func:`product_sums` as one matrix, right-hand side last."""
+    return linear.matrix([[pair_name(a, b, tag) for b in [*terms, "w"]] for a in terms])
+
+
+def long_terms(season: int) -> list[str]:
+    """Terms of the long autoregression: the last three values and those of a season before."""
+    return [f"w{k}" for k in (1, 2, 3, season, season + 1)]
+
+
+def ma_terms(season: int) -> list[str]:
+    """Two autoregressive terms, and innovations at the lags of (1 - B)(1 - B^season) averages."""
+    return ["w1", "w2", *(f"e{k}" for k in (1, season, season + 1))]
+
+
+def with_innovations(df: DataFrame, keys: Sequence[str], time: str, season: int) -> DataFrame:
+    """``e1, e{season}, e{season+1}``: lagged one-step errors of ``w``, each from the equations of its own origin.
+
+    The long autoregression is used where it can be solved, the two-term one before, 0 before that (as the
+    conditional likelihood takes innovations before the sample). Expects the sums of both.
+    """
+    terms = long_terms(season)
+    c1, c2 = _solve(["w1", "w2"], lambda a, c: pair_name(a, c, "s2"))
+    df = df.withColumn("_long", F.expr(normal_equations(terms, "long")))
+    df = df.withColumn("_long", F.expr(f"CASE WHEN _long__n > {len(terms)} THEN {linear.solve('_long', len(terms))} END"))
+    short = f"CASE WHEN _s2__n > 2 THEN w - ({c1} * w1 + {c2} * w2) END"
+    df = df.withColumn("_e", F.expr(f"coalesce(w - {linear.dot('_long', terms)}, {short}, 0D)")).drop("_long")
+    o = series(keys, time)
+    return df.withColumns({f"e{k}": F.expr(f"coalesce(lag(_e, {k}) OVER {o}, 0D)") for k in (1, season, season + 1)})
+
+
+def walk_forward(df: DataFrame, y: str, exog: Mapping[str, str], keys: Sequence[str] = KEYS, time: str = TIME, season: int = SEASON, full: Mapping[str, str | None] | None = None) -> DataFrame:
     """Add ``pred_naive``, ``pred_seasonal`` and ``pred_{model}`` per signal for every row as origin.
 
     Rules per origin with n known values before it: n < 24 the last value; n < 36 one
     autoregressive term; else two. A signal joins when it has a value before the origin.
     A singular system falls back to the simple one, then to the last value; so does a
     forecast further than five ranges from the mean.
+
+    ``full`` names models with moving-average terms and the signal each has (none: the series alone). With n >= 36 they
+    use the full equations, in turn the simple ones if those can't be solved; all other rules are the same.
     """
-    signals = list(dict.fromkeys(exog.values()))
+    full = full or {}
+    signals = list(dict.fromkeys([*exog.values(), *(c for c in full.values() if c)]))
     df = differenced(df, y, signals, keys, time, season)
-    b = series(keys, time, BEFORE)
+    b, o = series(keys, time, BEFORE), series(keys, time)
+    if full:
+        df = df.withColumns({f"w{k}": F.expr(f"lag(w, {k}) OVER {o}") for k in (3, season, season + 1)})
     specs: dict[str, list[str]] = {"s1": ["w1"], "s2": ["w1", "w2"]}
     for c in signals:
         specs[f"s1_{c}"] = ["w1", f"dx_{c}"]
@@ -117,7 +157,7 @@ def walk_forward(df: DataFrame, y: str, exog: Mapping[str, str], keys: Sequence[
         "range_train": f"max({y}) OVER {b} - min({y}) OVER {b}",
     }
     stats.update({f"_n_{c}": f"count({c}) OVER {b}" for c in signals})
-    for tag, terms in specs.items():
+    for tag, terms in ({**specs, "long": long_terms(season)} if full else specs).items():
         stats.update({k: f"{v} OVER {b}" for k, v in product_sums(terms, tag).items()})
     keep = [*df.columns]
     df = df.selectExpr(*keep, *[f"{e} AS {k}" for k, e in stats.items()])
@@ -128,6 +168,14 @@ def walk_forward(df: DataFrame, y: str, exog: Mapping[str, str], keys: Sequence[
         # no more rows than unknowns: the system is singular but for rounding
         raw[f"_p_{tag}"] = f"CASE WHEN _{tag}__n > {len(terms)} THEN {fit} END"
     df = df.selectExpr(*df.columns, *[f"{e} AS {k}" for k, e in raw.items()])
+    if full:
+        df = with_innovations(df, keys, time, season)
+        larger = {f"f{'' if c is None else '_' + c}": [*ma_terms(season), *([f"dx_{c}"] if c else [])] for c in dict.fromkeys([None, *full.values()])}
+        sums = {k: v for tag, terms in larger.items() for k, v in product_sums(terms, tag).items()}
+        df = df.selectExpr(*df.columns, *[f"{v} OVER {b} AS {k}" for k, v in sums.items()])
+        df = df.selectExpr(*df.columns, *[f"{normal_equations(terms, tag)} AS _m_{tag}" for tag, terms in larger.items()])
+        df = df.selectExpr(*df.columns, *[f"CASE WHEN _{tag}__n > {len(terms)} THEN {linear.solve(f'_m_{tag}', len(terms))} END AS _b_{tag}" for tag, terms in larger.items()])
+        df = df.selectExpr(*df.columns, *[f"y1 + ys - ys1 + {linear.dot(f'_b_{tag}', terms)} AS _p_{tag}" for tag, terms in larger.items()])
 
     def guarded(simple: str, full: str) -> str:
         pick = f"CASE WHEN n_train < {MIN_TRAIN_FULL} THEN {simple} ELSE coalesce({full}, {simple}) END"
@@ -137,6 +185,9 @@ def walk_forward(df: DataFrame, y: str, exog: Mapping[str, str], keys: Sequence[
     preds = {"pred_naive": "last_train", "pred_seasonal": guarded("_p_s1", "_p_s2")}
     for model, c in exog.items():
         preds[f"pred_{model}"] = f"CASE WHEN _n_{c} > 0 THEN {guarded(f'_p_s1_{c}', f'_p_s2_{c}')} ELSE {guarded('_p_s1', '_p_s2')} END"
+    for model, c in full.items():
+        alone = guarded("_p_s1", "_p_f")
+        preds[f"pred_{model}"] = f"CASE WHEN _n_{c} > 0 THEN {guarded(f'_p_s1_{c}', f'_p_f_{c}')} ELSE {alone} END" if c else alone
     return df.selectExpr(*keep, "n_train", "last_train", *[f"{e} AS {k}" for k, e in preds.items()])
 
 
@@ -146,20 +197,21 @@ def long_predictions(df: DataFrame, y: str, models: Sequence[str], keep: Sequenc
     return df.selectExpr(*keep, f"{y} AS y", f"stack({len(models)}, {pairs}) AS (model, yhat)")
 
 
-def backtest(gold: DataFrame, windows: Sequence[EvalWindow], exog: Mapping[str, str], y: str = "ipc_level", keys: Sequence[str] = KEYS, time: str = TIME, least_train: int = MIN_TRAIN, least_test: int = 6) -> DataFrame:
+def backtest(gold: DataFrame, windows: Sequence[EvalWindow], exog: Mapping[str, str], y: str = "ipc_level", keys: Sequence[str] = KEYS, time: str = TIME, least_train: int = MIN_TRAIN, least_test: int = 6, full: Mapping[str, str | None] | None = None) -> DataFrame:
     """Long predictions ``(keys, block, time, model, y, yhat)`` of the test months of each block.
 
     Blocks with fewer than ``least_train`` known values before the test or fewer than
     ``least_test`` known test values are skipped for that series.
     """
-    signals = list(dict.fromkeys(exog.values()))
+    full = full or {}
+    signals = list(dict.fromkeys([*exog.values(), *(c for c in full.values() if c)]))
     blocks = eval_blocks(gold.select(*keys, time, y, *signals), windows, time)
     bk = [*keys, "block"]
-    fc = walk_forward(blocks, y, exog, bk, time).where(f"part = 'test' AND {y} IS NOT NULL")
+    fc = walk_forward(blocks, y, exog, bk, time, full=full).where(f"part = 'test' AND {y} IS NOT NULL")
     whole = f"(PARTITION BY {', '.join(bk)})"
     fc = fc.withColumns({"_tr": F.expr(f"min(n_train) OVER {whole}"), "_te": F.expr(f"count({y}) OVER {whole}")})
     fc = fc.where(f"_tr >= {least_train} AND _te >= {least_test}")
-    return long_predictions(fc, y, ["naive", "seasonal", *exog], [*bk, time])
+    return long_predictions(fc, y, ["naive", "seasonal", *exog, *full], [*bk, time])
 
 
 def forecast_metrics(preds: DataFrame, by: Sequence[str], order: str = TIME, naive: str = "naive") -> DataFrame:
@@ -182,53 +234,6 @@ def error_verdict_sql() -> str:
     return f"CASE WHEN {joined} = '' THEN '{notes['none']}' ELSE {joined} END"
 
 
-# ---- moving-average terms: running normal equations, batch solve ----
-
-MA_TERMS = ["w1", "w2", "e1", f"e{SEASON}", f"e{SEASON + 1}"]
-
-
-def with_ma_forecast(df: DataFrame, y: str, keys: Sequence[str] = KEYS, time: str = TIME) -> DataFrame:
-    """``pred_ma``: two autoregressive and the (1, 12, 13) moving-average terms, in two stages.
-
-    Stage one: innovations are the one-step errors of the running two-term
-    autoregression. Stage two: running normal equations on lagged values and innovations.
-    The five-by-five systems are solved by the batch in numpy, rows staying where they are.
-    """
-    b, o = series(keys, time, BEFORE), series(keys, time)
-    d = differenced(df, y, (), keys, time)
-    keep = list(df.columns)
-    d = d.selectExpr(*d.columns, *[f"{v} OVER {b} AS {k}" for k, v in product_sums(["w1", "w2"], "s2").items()])
-    c1, c2 = _solve(["w1", "w2"], lambda a, c: pair_name(a, c, "s2"))
-    d = d.withColumn("_e", F.expr(f"CASE WHEN _s2__n > 2 THEN w - ({c1} * w1 + {c2} * w2) END"))
-    d = d.withColumns({f"e{k}": F.expr(f"lag(_e, {k}) OVER {o}") for k in (1, SEASON, SEASON + 1)})
-    k = len(MA_TERMS)
-    prods = product_sums(MA_TERMS, "ma")
-    d = d.selectExpr(*keep, "y1", "ys", "ys1", *MA_TERMS, f"count({y}) OVER {b} AS n_train", f"last({y}, true) OVER {b} AS last_train",
-                     f"avg({y}) OVER {b} AS mean_train", f"max({y}) OVER {b} - min({y}) OVER {b} AS range_train",
-                     *[f"{v} OVER {b} AS {n}" for n, v in prods.items()])
-    gram = F.array(*[F.col(pair_name(a, c, "ma")) for a in MA_TERMS for c in MA_TERMS])
-    rhs = F.array(*[F.col(pair_name(a, "w", "ma")) for a in MA_TERMS])
-    row = F.array(*MA_TERMS)
-
-    def batch(g: pd.Series, r: pd.Series, x: pd.Series) -> pd.Series:
-        out = np.full(len(g), np.nan)
-        if len(g):
-            a = np.array([np.asarray(v, float) for v in g]).reshape(len(g), k, k)
-            v = np.array([np.asarray(u, float) for u in r])
-            z = np.array([np.asarray(u, float) for u in x])
-            ok = np.isfinite(a).all((1, 2)) & np.isfinite(v).all(1) & np.isfinite(z).all(1)
-            if ok.any():
-                scale = np.trace(a[ok], axis1=1, axis2=2)[:, None, None] * 1e-9
-                beta = np.linalg.solve(a[ok] + scale * np.eye(k), v[ok][:, :, None])[:, :, 0]
-                out[ok] = (beta * z[ok]).sum(1)
-        return pd.Series(out)
-
-    d = d.withColumn("_w_hat", F.nanvl(F.pandas_udf(batch, "double")(gram, rhs, row), F.lit(None)))
-    pick = "CASE WHEN _ma__n >= 12 THEN y1 + ys - ys1 + _w_hat END"
-    pred = (f"CASE WHEN n_train >= {MIN_TRAIN_FULL} AND abs({pick} - mean_train) <= {RANGE_FACTOR} * (range_train + 1e-6D) THEN {pick} ELSE last_train END")
-    return d.selectExpr(*keep, "n_train", f"{pred} AS pred_ma")
-
-
 # ---- fit statistics from one aggregate pass ----
 
 

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from panelwatch.functions import linear
 from panelwatch.operators.panel import KEYS, TIME, UPTO, series
 
 # Published 5 % critical values (constant, no trend).
@@ -73,26 +72,20 @@ def _acf_wide(df: DataFrame, value: str, lags: int, keys: Sequence[str], time: s
     return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_obs"), F.expr(f"array({terms})").alias("acf"))
 
 
-def _durbin_levinson(col: pd.Series) -> pd.Series:
-    out = []
-    for r in col:
-        r = np.asarray(r, float)
-        phi, result = np.zeros(0), [1.0]
-        for k in range(1, len(r)):
-            num = r[k] - phi @ r[k - 1:0:-1]
-            den = 1.0 - phi @ r[1:k]
-            last = num / den if den != 0 else np.nan
-            phi = np.append(phi - last * phi[::-1], last)
-            result.append(float(last))
-        out.append(result)
-    return pd.Series(out)
-
-
 def pacf(df: DataFrame, value: str, lags: int = 24, keys: Sequence[str] = KEYS, time: str = TIME) -> DataFrame:
-    """Partial autocorrelations by the Durbin-Levinson recursion on each series' autocorrelations."""
+    """Partial autocorrelations by the Durbin-Levinson recursion on each series' autocorrelations, folded lag by lag in the JVM.
+
+    A lag whose denominator is 0, and all after it, are null.
+    """
     arr = _acf_wide(df, value, lags, keys, time).where("n_obs > 1 AND acf[1] IS NOT NULL")
-    out = arr.withColumn("pacf", F.pandas_udf(_durbin_levinson, "array<double>")("acf"))
-    return out.selectExpr(*keys, "n_obs", "posexplode(pacf) AS (lag, pacf)")
+    # phi holds the coefficients of the order before; the last one of each order is the partial autocorrelation
+    above = "acf[k] - aggregate(zip_with(s.phi, reverse(slice(acf, 2, k - 1)), (x, y) -> x * y), 0D, (t, x) -> t + x)"
+    below = "1D - aggregate(zip_with(s.phi, slice(acf, 2, k - 1), (x, y) -> x * y), 0D, (t, x) -> t + x)"
+    grown = "named_struct('phi', concat(zip_with(s.phi, reverse(s.phi), (x, y) -> x - last * y), array(last)), 'out', concat(s.out, array(last)))"
+    step = f"transform(array(try_divide({above}, {below})), last -> {grown})[0]"
+    start = "named_struct('phi', CAST(array() AS array<double>), 'out', array(1D))"
+    folded = f"aggregate(sequence(1, {lags}), {start}, (s, k) -> {step}).out"
+    return arr.selectExpr(*keys, "n_obs", f"posexplode({folded}) AS (lag, pacf)")
 
 
 def kpss_stat(df: DataFrame, value: str, lags: int = 4, keys: Sequence[str] = KEYS, time: str = TIME) -> DataFrame:
@@ -121,39 +114,24 @@ def adf_stat(df: DataFrame, value: str, keys: Sequence[str] = KEYS, time: str =
 def granger_f(df: DataFrame, target: str, signal: str, max_lag: int = 4, keys: Sequence[str] = KEYS, time: str = TIME) -> DataFrame:
     """F of the signal's lags in an autoregression of the target, per lag order 1..max_lag.
 
-    One aggregate gives the sums of products of every order; the small solves see one
-    row per series and order.
+    One aggregate gives the sums of products of every order. One elimination leaves, in turn, what the target's own lags and what both sets of lags
+    do not explain. The statistic is null with no degrees of freedom left and where lags determine one another.
     """
     whole = f"(PARTITION BY {', '.join(keys)})"
     d = df.where(f"{target} IS NOT NULL AND {signal} IS NOT NULL").selectExpr(
         *keys, time, f"{target} - avg({target}) OVER {whole} AS y0", f"{signal} - avg({signal}) OVER {whole} AS x0")
     o = series(keys, time)
     d = d.selectExpr(*keys, "y0", "1D AS c", *[f"lag({v}0, {k}) OVER {o} AS {v}{k}" for v in "yx" for k in range(1, max_lag + 1)])
-    rows = []
-    for p in range(1, max_lag + 1):
+    orders = range(1, max_lag + 1)
+    sums = []
+    for p in orders:
         names = ["c", *[f"y{k}" for k in range(1, p + 1)], *[f"x{k}" for k in range(1, p + 1)], "y0"]
         known = f"y{p} IS NOT NULL"
-        gram = ", ".join(f"sum(CASE WHEN {known} THEN {a} * {b} END)" for a in names for b in names)
-        rows.append(f"named_struct('lag', {p}, 'n_obs', sum(CASE WHEN {known} THEN 1 ELSE 0 END), 'g', array({gram}))")
-    g = d.groupBy(*keys).agg(F.expr(f"array({', '.join(rows)})").alias("_r")).selectExpr(*keys, "explode(_r) AS _p").selectExpr(*keys, "_p.lag", "_p.n_obs", "_p.g")
-
-    def solve(lags: pd.Series, counts: pd.Series, grams: pd.Series) -> pd.Series:
-        out = []
-        for p, n, flat in zip(lags, counts, grams):
-            m = 2 * p + 2
-            dof = n - 2 * p - 1
-            a = np.array([np.nan if v is None else v for v in flat], float).reshape(m, m)
-            if dof <= 0 or not np.isfinite(a).all():
-                out.append(np.nan)
-                continue
-
-            def rss(cols):
-                beta = np.linalg.lstsq(a[np.ix_(cols, cols)], a[cols, m - 1], rcond=None)[0]
-                return a[m - 1, m - 1] - beta @ a[cols, m - 1]
-
-            small, full = rss(list(range(p + 1))), rss(list(range(2 * p + 1)))
-            out.append((small - full) / p / (full / dof) if full > 0 else np.nan)
-        return pd.Series(out, dtype=float)
-
-    f: Column = F.nanvl(F.pandas_udf(solve, "double")("lag", "n_obs", "g"), F.lit(None))
-    return g.withColumn("f_stat", f).selectExpr(*keys, "lag", "n_obs", "f_stat", "double(lag) AS dof_1", "double(n_obs - 2 * lag - 1) AS dof_2")
+        sums.append(F.expr(linear.matrix([[f"sum(CASE WHEN {known} THEN {a} * {b} END)" for b in names] for a in names])).alias(f"_m{p}"))
+        sums.append(F.expr(f"count_if({known})").alias(f"_n{p}"))
+    g = d.groupBy(*keys).agg(*sums)
+    g = g.selectExpr(*g.columns, *[f"{linear.residual(f'_m{p}', 2 * p + 1, n)} AS _{tag}{p}" for p in orders for tag, n in (("own", p + 1), ("all", 2 * p + 1))])
+    rows = ", ".join(f"{p}, _n{p}, _own{p}, _all{p}" for p in orders)
+    g = g.selectExpr(*keys, f"stack({max_lag}, {rows}) AS (lag, n_obs, _own, _all)").selectExpr(*keys, "lag", "n_obs", "_own", "_all", "double(lag) AS dof_1", "double(n_obs - 2 * lag - 1) AS dof_2")
+    f = "CASE WHEN dof_2 > 0 AND _all > 0 THEN (_own - _all) / dof_1 / (_all / dof_2) END"
+    return g.selectExpr(*keys, "lag", "n_obs", f"{f} AS f_stat", "dof_1", "dof_2")

@@ -10,7 +10,7 @@ from panelwatch import config as K
 from panelwatch.functions import columns as C
 from panelwatch.operators import classify as CL, forecast as FC, index as X, normalise as N, panel as P, press
 from panelwatch.plans import inputs
-from panelwatch.plans.q_forecast import BLOCK, EXOG, MODELS, _sql_fill, gold, sql_guard, sql_sums, sql_three, sql_two
+from panelwatch.plans.q_forecast import BLOCK, EXOG, FULL, MODELS, SQL_MODELS, _sql_fill, gold, sql_guard, sql_sums, sql_three, sql_two
 from panelwatch.plans.q_text import NEG, POS, STRONG, sql_any, sql_hits
 from panelwatch.plans.registry import cte, query
 from panelwatch.plans.stages import staged
@@ -295,7 +295,7 @@ PERIODS = {"Bloc A": "split_label LIKE '%test_A%'", "Bloc B": "split_label LIKE
 cte("x_period_rows", f"""
   WITH t AS (SELECT series_id, quantile_cont(inflation_yoy, 0.75) AS thr FROM x_gold WHERE month < DATE '{BREAK}' GROUP BY 1),
   p AS (SELECT w.*, g.inflation_yoy, g.split_label, t.thr, lag(w.y, 12) OVER (PARTITION BY w.series_id ORDER BY w.month) AS y12 FROM x_wf_p w JOIN x_gold g USING (series_id, month) JOIN t USING (series_id)),
-  l AS (SELECT series_id, month, split_label, inflation_yoy, thr, y, y12, m.model, m.yhat FROM p, LATERAL (VALUES ('naive', pred_naive), ('seasonal', pred_seasonal), ('behavioural', pred_behavioural), ('hybrid', pred_hybrid)) m(model, yhat)),
+  l AS (SELECT series_id, month, split_label, inflation_yoy, thr, y, y12, m.model, m.yhat FROM p, LATERAL (VALUES {SQL_MODELS}) m(model, yhat)),
   s AS (SELECT *, CASE WHEN y IS NOT NULL THEN (yhat / nullif(y12, 0) - 1) * 100 END AS score, CASE WHEN inflation_yoy >= thr THEN 1 WHEN inflation_yoy < thr THEN 0 END AS stress FROM l)
   {' UNION ALL '.join(f"SELECT '{n}' AS period, * FROM s WHERE {c}" for n, c in PERIODS.items())}""")
 cte("x_period_curve", curve_sql("(SELECT series_id, period, model, stress AS y, score FROM x_period_rows)", "series_id, period, model"))
@@ -315,7 +315,7 @@ def period_table(g: DataFrame) -> DataFrame:
     """Regression and warning metrics of all models over overlapping periods."""
     thr = f"percentile(CASE WHEN month < DATE '{BREAK}' THEN inflation_yoy END, {K.STRESS_QUANTILE}D) OVER (PARTITION BY series_id) AS thr"
     g = g.selectExpr("series_id", "month", "ipc_level", "inflation_yoy", "split_label", *EXOG.values(), thr)
-    fc = FC.forecast_yoy(FC.walk_forward(g, "ipc_level", EXOG), "ipc_level", MODELS)
+    fc = FC.forecast_yoy(FC.walk_forward(g, "ipc_level", EXOG, full=FULL), "ipc_level", MODELS)
     tags = ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in PERIODS.items())
     pairs = ", ".join(f"'{m}', pred_{m}, yoy_{m}" for m in MODELS)
     long = fc.selectExpr("series_id", "ipc_level AS y", "inflation_yoy", "thr", f"array_compact(array({tags})) AS _periods", f"stack({len(MODELS)}, {pairs}) AS (model, yhat, yoy_hat)")
@@ -333,9 +333,14 @@ def period_table(g: DataFrame) -> DataFrame:
     return base.join(conf, by, "left").join(areas, by, "left")
 
 
+def periods(spark, sf) -> DataFrame:
+    """The period table, computed once and read by both of its queries."""
+    return staged(spark, sf, "periods", lambda s, d: period_table(gold(s, d)))
+
+
 @query("metrics_by_period", f"SELECT series_id, period, model, list_position([{', '.join(repr(p) for p in PERIODS)}], period) - 1 AS period_rank, list_position({MODELS}, model) - 1 AS model_rank, n_obs, {', '.join(f'round({c}, 3) AS {c}' for c in PERIOD_VALUES)} FROM x_periods")
 def metrics_by_period(spark, sf):
-    t = period_table(gold(spark, sf))
+    t = periods(spark, sf)
     return t.select("series_id", "period", "model", C.declared_rank("period", list(PERIODS)).alias("period_rank"), C.declared_rank("model", MODELS).alias("model_rank"), "n_obs", *[r3(c).alias(c) for c in PERIOD_VALUES])
 
 
@@ -344,9 +349,9 @@ def metrics_by_period(spark, sf):
       arg_min(model, struct_pack(r := rmse, m := model)) FILTER (period = 'Bloc A' AND rmse IS NOT NULL) AS best_model_a, min(rmse) FILTER (period = 'Bloc A') AS best_rmse_a,
       avg(auc) FILTER (period = 'Global') AS auc_global, avg(auc) FILTER (period = 'Bloc B') AS auc_b FROM x_periods GROUP BY 1)
   SELECT series_id, round(delta_rmse_b, 3) AS delta_rmse_b, CASE WHEN delta_rmse_b > 0 THEN 'signal model better on block B' WHEN delta_rmse_b IS NOT NULL THEN 'seasonal model keeps a slight lead on block B' END AS note_b,
-    best_model_a, round(best_rmse_a, 3) AS best_rmse_a, round(auc_global, 3) AS auc_global, round(auc_b, 3) AS auc_b FROM p""")
+    best_model_a, round(best_rmse_a, 3) AS best_rmse_a, round(auc_global, 9) AS auc_global, round(auc_b, 9) AS auc_b FROM p""")
 def period_notes(spark, sf):
-    t = period_table(gold(spark, sf))
+    t = periods(spark, sf)
     rmse_b = lambda m: f"max(CASE WHEN period = 'Bloc B' AND model = '{m}' THEN rmse END)"
     p = t.groupBy("series_id").agg(
         F.expr(f"{rmse_b('seasonal')} - {rmse_b('behavioural')}").alias("delta_rmse_b"),
@@ -354,7 +359,7 @@ def period_notes(spark, sf):
         F.expr("avg(CASE WHEN period = 'Global' THEN auc END)").alias("auc_global"), F.expr("avg(CASE WHEN period = 'Bloc B' THEN auc END)").alias("auc_b"))
     note = "CASE WHEN delta_rmse_b > 0 THEN 'signal model better on block B' WHEN delta_rmse_b IS NOT NULL THEN 'seasonal model keeps a slight lead on block B' END"
     return p.select("series_id", r3("delta_rmse_b").alias("delta_rmse_b"), F.expr(note).alias("note_b"), F.col("_best.model").alias("best_model_a"),
-                    r3("_best.rmse").alias("best_rmse_a"), r3("auc_global").alias("auc_global"), r3("auc_b").alias("auc_b"))
+                    r3("_best.rmse").alias("best_rmse_a"), F.round("auc_global", 9).alias("auc_global"), F.round("auc_b", 9).alias("auc_b"))  # small rationals, often exact ties at three digits
 
 
 # ---- blends with the text signal ----

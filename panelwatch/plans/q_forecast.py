@@ -9,11 +9,12 @@ from panelwatch.functions import columns as C
 from panelwatch.operators import forecast as FC, panel as P
 from panelwatch.plans import gold as G, inputs
 from panelwatch.plans.q_gold import GOLD_COLS, NOT_DOUBLE
-from panelwatch.plans.registry import cte, query
+from panelwatch.plans.registry import cte, query, sql_dot, sql_solve
 from panelwatch.plans.stages import staged
 
 EXOG = {"behavioural": "behavioural_index_lag1", "hybrid": "hybrid_index_lag1"}
-MODELS = ["naive", "seasonal", *EXOG]
+FULL = {"sarima": None, "sarimax": "behavioural_index_lag1"}  # with moving-average terms, alone and with a signal
+MODELS = ["naive", "seasonal", *EXOG, *FULL]
 BLOCK = ["series_id", "block"]
 
 
@@ -31,7 +32,7 @@ def gold(spark: SparkSession, sf: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Walk-forward predictions of all models and blocks, computed once and read by all evaluation steps."""
-    return staged(spark, sf, "predictions", lambda s, d: FC.backtest(gold(s, d), PANEL_WINDOWS, EXOG))
+    return staged(spark, sf, "predictions", lambda s, d: FC.backtest(gold(s, d), PANEL_WINDOWS, EXOG, full=FULL))
 
 
 # ---- oracle blocks ----
@@ -82,6 +83,12 @@ def sql_guard(s, f):
     return f"CASE WHEN n_train < 24 THEN last_y WHEN abs({pick} - mean_y) <= 5 * (rng + 1e-6) THEN {pick} ELSE last_y END"
 
 
+_LONG = ["w1", "w2", "w3", "w12", "w13"]
+_MA = ["w1", "w2", "e1", "e12", "e13"]
+#: Model and forecast pairs of all models, for a LATERAL (VALUES ...) list.
+SQL_MODELS = ", ".join(f"('{m}', pred_{m})" for m in MODELS)
+
+
 def _forecast_ctes(prefix: str, source: str) -> None:
     """Blocks {prefix}_w (differences), {prefix}_s (sums), {prefix}_p (forecasts) over (series_id, block, month)."""
     cte(f"{prefix}_w", f"""
@@ -91,28 +98,37 @@ def _forecast_ctes(prefix: str, source: str) -> None:
           fb - lag(fb, 1) OVER o - lag(fb, 12) OVER o + lag(fb, 13) OVER o AS db, fh - lag(fh, 1) OVER o - lag(fh, 12) OVER o + lag(fh, 13) OVER o AS dh
         FROM f WINDOW o AS {O}),
       w AS (SELECT *, y - y1 - y12 + y13 AS w FROM d)
-      SELECT *, lag(w, 1) OVER o AS w1, lag(w, 2) OVER o AS w2, lag(w, 3) OVER o AS w3 FROM w WINDOW o AS {O}""")
-    sums = sql_sums({"a": ["w1"], "c": ["w1", "w2"], "ab": ["w1", "db"], "cb": ["w1", "w2", "db"], "ah": ["w1", "dh"], "ch": ["w1", "w2", "dh"]})
+      SELECT *, {', '.join(f'lag(w, {k}) OVER o AS w{k}' for k in (1, 2, 3, 12, 13))} FROM w WINDOW o AS {O}""")
+    sums = sql_sums({"a": ["w1"], "c": ["w1", "w2"], "ab": ["w1", "db"], "cb": ["w1", "w2", "db"], "ah": ["w1", "dh"], "ch": ["w1", "w2", "dh"], "lo": _LONG})
     cte(f"{prefix}_s", f"""
       SELECT *, count(y) OVER b AS n_train, last_value(y IGNORE NULLS) OVER b AS last_y, avg(y) OVER b AS mean_y, max(y) OVER b - min(y) OVER b AS rng,
         count(xb) OVER b AS nb, count(xh) OVER b AS nh, {', '.join(sums)}
       FROM {prefix}_w WINDOW b AS {B}""")
 
+    cte(f"{prefix}_e", f"""
+      WITH e AS (SELECT *, coalesce(CASE WHEN lo_n > {len(_LONG)} THEN w - {sql_dot('lo', _LONG)} END, w - ({sql_two('c', 'w2')}), 0) AS e FROM {sql_solve(prefix + '_s', {'lo': _LONG})})
+      SELECT * EXCLUDE (e), {', '.join(f'coalesce(lag(e, {k}) OVER o, 0) AS e{k}' for k in (1, 12, 13))} FROM e WINDOW o AS {O}""")
+    cte(f"{prefix}_m", f"SELECT *, {', '.join(sql_sums({'m': _MA, 'mb': [*_MA, 'db']}))} FROM {prefix}_e WINDOW b AS {B}")
+    cte(f"{prefix}_f", f"""
+      SELECT *, CASE WHEN m_n > {len(_MA)} THEN y1 + y12 - y13 + {sql_dot('m', _MA)} END AS rm, CASE WHEN mb_n > {len(_MA) + 1} THEN y1 + y12 - y13 + {sql_dot('mb', [*_MA, 'db'])} END AS rmb
+      FROM {sql_solve(prefix + '_m', {'m': _MA, 'mb': [*_MA, 'db']})}""")
+
     cte(f"{prefix}_p", f"""
       WITH r AS (SELECT *, CASE WHEN a_n > 1 THEN y1 + y12 - y13 + a_w1_w / nullif(a_w1_w1, 0) * w1 END AS ra, y1 + y12 - y13 + {sql_two('c', 'w2')} AS rc,
          y1 + y12 - y13 + {sql_two('ab', 'db')} AS rab, y1 + y12 - y13 + {sql_three('cb', 'db')} AS rcb,
-         y1 + y12 - y13 + {sql_two('ah', 'dh')} AS rah, y1 + y12 - y13 + {sql_three('ch', 'dh')} AS rch FROM {prefix}_s)
+         y1 + y12 - y13 + {sql_two('ah', 'dh')} AS rah, y1 + y12 - y13 + {sql_three('ch', 'dh')} AS rch FROM {prefix}_f)
       SELECT series_id, block, month, part, y, n_train, last_y AS pred_naive, {sql_guard('ra', 'rc')} AS pred_seasonal, {sql_guard('ra', 'ra')} AS pred_simple,
         CASE WHEN nb > 0 THEN {sql_guard('rab', 'rcb')} ELSE {sql_guard('ra', 'rc')} END AS pred_behavioural,
-        CASE WHEN nh > 0 THEN {sql_guard('rah', 'rch')} ELSE {sql_guard('ra', 'rc')} END AS pred_hybrid FROM r""")
+        CASE WHEN nh > 0 THEN {sql_guard('rah', 'rch')} ELSE {sql_guard('ra', 'rc')} END AS pred_hybrid,
+        {sql_guard('ra', 'rm')} AS pred_sarima, CASE WHEN nb > 0 THEN {sql_guard('rab', 'rmb')} ELSE {sql_guard('ra', 'rm')} END AS pred_sarimax FROM r""")
 
 
 cte("x_all_rows", "SELECT *, 'all' AS block, 'test' AS part FROM x_gold")
 _forecast_ctes("x_bt", "x_blocks")
 _forecast_ctes("x_wf", "x_all_rows")
-cte("x_preds", """
+cte("x_preds", f"""
   WITH t AS (SELECT *, min(n_train) OVER (PARTITION BY series_id, block) AS tr, count(y) OVER (PARTITION BY series_id, block) AS te FROM x_bt_p WHERE part = 'test' AND y IS NOT NULL)
-  SELECT series_id, block, month, y, m.model, m.yhat FROM t, LATERAL (VALUES ('naive', pred_naive), ('seasonal', pred_seasonal), ('behavioural', pred_behavioural), ('hybrid', pred_hybrid)) m(model, yhat)
+  SELECT series_id, block, month, y, m.model, m.yhat FROM t, LATERAL (VALUES {SQL_MODELS}) m(model, yhat)
   WHERE tr >= 24 AND te >= 6""")
 
 
@@ -141,7 +157,7 @@ def derive_windows(spark, sf):
 
 def _panel_forecast(spark, sf) -> DataFrame:
     g = gold(spark, sf).select("series_id", "month", "ipc_level", *EXOG.values())
-    return FC.walk_forward(g, "ipc_level", EXOG)
+    return FC.walk_forward(g, "ipc_level", EXOG, full=FULL)
 
 
 @query("forecast_naive", "SELECT series_id, month, n_train, round(pred_naive, 4) AS pred_naive FROM x_wf_p")
@@ -164,13 +180,14 @@ def forecast_arx(spark, sf):
     return p.select("series_id", "month", "n_train", r3("pred_behavioural").alias("pred_behavioural"), r3("pred_hybrid").alias("pred_hybrid"))
 
 
-@query("forecast_hr_ma")
+@query("forecast_hr_ma", "SELECT series_id, month, n_train, round(pred_sarima, 3) AS pred_sarima, round(pred_sarimax, 3) AS pred_sarimax FROM x_wf_p")
 def forecast_hr_ma(spark, sf):
-    return FC.with_ma_forecast(inputs.price_panel(spark, sf), "ipc_level").select("series_id", "month", "n_train", r3("pred_ma").alias("pred_ma"))
+    """The full seasonal model, alone and with the signal."""
+    return _panel_forecast(spark, sf).select("series_id", "month", "n_train", r3("pred_sarima").alias("pred_sarima"), r3("pred_sarimax").alias("pred_sarimax"))
 
 
-@query("walk_forward_all", """
-  SELECT series_id, month, m.model, round(y, 4) AS y, round(m.yhat, 3) AS yhat FROM x_wf_p, LATERAL (VALUES ('naive', pred_naive), ('seasonal', pred_seasonal), ('behavioural', pred_behavioural), ('hybrid', pred_hybrid)) m(model, yhat) WHERE y IS NOT NULL""")
+@query("walk_forward_all", f"""
+  SELECT series_id, month, m.model, round(y, 4) AS y, round(m.yhat, 3) AS yhat FROM x_wf_p, LATERAL (VALUES {SQL_MODELS}) m(model, yhat) WHERE y IS NOT NULL""")
 def walk_forward_all(spark, sf):
     p = FC.long_predictions(_panel_forecast(spark, sf), "ipc_level", MODELS, ["series_id", "month"])
     return p.where("y IS NOT NULL").select("series_id", "month", "model", r4("y").alias("y"), r3("yhat").alias("yhat"))

@@ -14,7 +14,7 @@ from panelwatch.plans import gold as G, inputs
 from panelwatch.plans.q_classify import BREAK, stress
 from panelwatch.plans.q_forecast import MODELS, gold, predictions
 from panelwatch.plans.q_gold import GOLD_COLS, NOT_DOUBLE
-from panelwatch.plans.registry import cte, query
+from panelwatch.plans.registry import cte, query, sql_dot, sql_f_tail, sql_solve, sql_t_tail
 from panelwatch.plans.stages import folder, staged
 from panelwatch.session import cut_lineage
 from panelwatch.sources import landed
@@ -39,9 +39,8 @@ def sql_phi(x: str) -> str:
     return SQL_PHI.format(x=x, e=f"(1 - ({poly}) * exp(-({x}) * ({x}) / 2))")
 
 
-cte("x_err", """
-  SELECT series_id, block, month, max(y - yhat) FILTER (model = 'naive') AS e_naive, max(y - yhat) FILTER (model = 'seasonal') AS e_seasonal,
-    max(y - yhat) FILTER (model = 'behavioural') AS e_behavioural, max(y - yhat) FILTER (model = 'hybrid') AS e_hybrid FROM x_preds GROUP BY 1, 2, 3""")
+cte("x_err", f"""
+  SELECT series_id, block, month, {', '.join(f"max(y - yhat) FILTER (model = '{m}') AS e_{m}" for m in MODELS)} FROM x_preds GROUP BY 1, 2, 3""")
 _PAIRS = [(a, b) for i, a in enumerate(MODELS) for b in MODELS[i + 1:]]
 cte("x_loss", f"""
   WITH p AS (SELECT series_id, block, month, v.* FROM x_err, LATERAL (VALUES {', '.join(f"('{a}', '{b}', e_{a}, e_{b})" for a, b in _PAIRS)}) v(model_1, model_2, e1, e2))
@@ -190,7 +189,7 @@ def bootstrap_ci_class(spark, sf):
 @query("ci_overlap", f"""
   WITH l AS (SELECT series_id, scope, model, 'RMSE' AS metric, rmse_lo AS lo, rmse_hi AS hi FROM x_boot_err UNION ALL SELECT series_id, scope, model, 'MAE', mae_lo, mae_hi FROM x_boot_err
     {' '.join(f"UNION ALL SELECT series_id, scope, signal, '{m}', {m}_lo, {m}_hi FROM x_cls_ci" for m in _CLS)}),
-  r AS (SELECT l.*, CASE model WHEN 'naive' THEN 0 WHEN 'seasonal' THEN 1 WHEN 'behavioural' THEN 2 ELSE 3 END AS k FROM l)
+  r AS (SELECT l.*, list_position({MODELS}, model) AS k FROM l)
   SELECT a.series_id, a.scope, a.metric, a.model AS model_a, b.model AS model_b, round(a.lo, 3) AS a_lo, round(a.hi, 3) AS a_hi, round(b.lo, 3) AS b_lo, round(b.hi, 3) AS b_hi,
     greatest(a.lo, b.lo) < least(a.hi, b.hi) AS overlap, NOT (greatest(a.lo, b.lo) < least(a.hi, b.hi)) AS significant_diff
   FROM r a JOIN r b ON a.series_id = b.series_id AND a.scope = b.scope AND a.metric = b.metric AND a.k < b.k""")
@@ -241,20 +240,59 @@ def chow(spark, sf):
     return c.select("series_id", "n_obs", r3("rss_all").alias("rss_all"), r3("rss_split").alias("rss_split"), r4("f_stat").alias("f_stat"))
 
 
-@query("break_pvalues")
+cte("x_break_welch", f"""
+  WITH a AS (SELECT series_id, count(inflation_yoy) {_PRE} AS n1, count(inflation_yoy) {_POST} AS n2, avg(inflation_yoy) {_PRE} AS m1, avg(inflation_yoy) {_POST} AS m2,
+    var_samp(inflation_yoy) {_PRE} AS v1, var_samp(inflation_yoy) {_POST} AS v2 FROM x_cpi GROUP BY 1)
+  SELECT series_id, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t, power(v1 / n1 + v2 / n2, 2) / (v1 * v1 / (n1 * n1 * (n1 - 1)) + v2 * v2 / (n2 * n2 * (n2 - 1))) AS dof FROM a""")
+cte("x_break_levene", f"""
+  WITH d AS (SELECT series_id, month < DATE '{BREAK}' AS side, inflation_yoy AS v FROM x_cpi WHERE inflation_yoy IS NOT NULL),
+  z AS (SELECT series_id, side, abs(v - quantile_cont(v, 0.5) OVER (PARTITION BY series_id, side)) AS z FROM d),
+  g AS (SELECT series_id, side, count(*) AS n, avg(z) AS zm, var_pop(z) * count(*) AS within FROM z GROUP BY 1, 2), t AS (SELECT series_id, count(*) AS n, avg(z) AS gm FROM z GROUP BY 1)
+  SELECT series_id, any_value(t.n) - 2 AS dof, (any_value(t.n) - 2) * sum(g.n * power(g.zm - t.gm, 2)) / sum(within) AS w FROM g JOIN t USING (series_id) GROUP BY 1""")
+cte("x_break_chow", f"""
+  WITH d AS (SELECT series_id, month, inflation_yoy AS v, ((year(month) - 1970) * 12 + month(month))::DOUBLE AS x FROM x_cpi WHERE inflation_yoy IS NOT NULL),
+  a AS (SELECT series_id, count(*) AS n, {_rss_sql('')} AS rc, {_rss_sql(_PRE)} AS r1, {_rss_sql(_POST)} AS r2 FROM d GROUP BY 1)
+  SELECT series_id, n - 4 AS dof, ((rc - r1 - r2) / 2) / ((r1 + r2) / (n - 4)) AS f FROM a""")
+
+
+@query("break_pvalues", f"""
+  SELECT series_id, round(t, 4) AS t_stat, round({sql_t_tail('t', 'x_break_welch.dof')}, 6) AS p_welch, round(w, 4) AS w_stat, round({sql_f_tail('w', '1', 'x_break_levene.dof')}, 6) AS p_levene,
+    round(f, 4) AS f_stat, round({sql_f_tail('f', '2', 'x_break_chow.dof')}, 6) AS p_chow FROM x_break_welch JOIN x_break_levene USING (series_id) JOIN x_break_chow USING (series_id)""")
 def break_pvalues(spark, sf):
     """Tail probabilities of the three break tests, on their result rows."""
     cpi = inputs.cpi(spark, sf)
     w = ST.break_welch(cpi, "inflation_yoy", BREAK).select("series_id", "t_stat", t_pvalue("t_stat", "dof").alias("p_welch"))
-    lv = ST.levene(cpi, "inflation_yoy", BREAK).select("series_id", "w_stat", f_pvalue("w_stat", F.col("dof_1").cast("double"), F.col("dof_2").cast("double")).alias("p_levene"))
-    ch = ST.chow(cpi, "inflation_yoy", BREAK).select("series_id", "f_stat", f_pvalue("f_stat", F.col("dof_1").cast("double"), F.col("dof_2").cast("double")).alias("p_chow"))
-    return w.join(lv, "series_id", "full_outer").join(ch, "series_id", "full_outer")
-
-
-@query("granger_f")
+    lv = ST.levene(cpi, "inflation_yoy", BREAK).select("series_id", "w_stat", f_pvalue("w_stat", "dof_1", "dof_2").alias("p_levene"))
+    ch = ST.chow(cpi, "inflation_yoy", BREAK).select("series_id", "f_stat", f_pvalue("f_stat", "dof_1", "dof_2").alias("p_chow"))
+    both = w.join(lv, "series_id", "full_outer").join(ch, "series_id", "full_outer")
+    return both.withColumns({c: F.round(c, 6 if c[0] == "p" else 4) for c in both.columns[1:]})
+
+
+def _granger_sql(max_lag: int = 4) -> str:
+    """Both regressions of every order written out, solved on sums of products."""
+    whole = "OVER (PARTITION BY series_id)"
+    lags = ", ".join(f"lag({v}0, {k}) OVER w AS {v}{k}" for v in "yx" for k in range(1, max_lag + 1))
+    out = []
+    for p in range(1, max_lag + 1):
+        own = ["c", *(f"y{k}" for k in range(1, p + 1))]
+        every = [*own, *(f"x{k}" for k in range(1, p + 1))]
+        pairs = lambda tag, terms: [f"sum({a} * {b}) AS {tag}_{a}_{b}" for i, a in enumerate(terms) for b in [*terms[i:], "y0"]]
+        sums = f"(SELECT series_id, count(*) AS n, sum(y0 * y0) AS yy, {', '.join(pairs('o', own) + pairs('e', every))} FROM x_granger WHERE y{p} IS NOT NULL GROUP BY 1)"
+        left = lambda tag, terms: "yy - " + sql_dot(tag, [f"{tag}_{a}_y0" for a in terms])
+        out.append(f"SELECT series_id, {p} AS lag, n, n - {2 * p + 1} AS dof, {left('o', own)} AS ro, {left('e', every)} AS re FROM {sql_solve(sums, {'o': own, 'e': every}, 'y0')}")
+    cte("x_granger", f"""
+  SELECT *, 1.0::DOUBLE AS c, {lags} FROM (SELECT series_id, month, inflation_yoy - avg(inflation_yoy) {whole} AS y0, behavioural_index - avg(behavioural_index) {whole} AS x0
+    FROM x_gold WHERE inflation_yoy IS NOT NULL AND behavioural_index IS NOT NULL) WINDOW w AS (PARTITION BY series_id ORDER BY month)""")
+    return " UNION ALL ".join(out)
+
+
+@query("granger_f", f"""
+  WITH r AS ({_granger_sql()}), f AS (SELECT *, CASE WHEN dof > 0 AND re > 0 THEN (ro - re) / lag / (re / dof) END AS f FROM r),
+  p AS (SELECT *, {sql_f_tail('f', 'lag', 'dof')} AS p FROM f)
+  SELECT series_id, lag, n AS n_obs, round(f, 4) AS f_stat, round(p, 6) AS p_value, p < 0.05 AS significant FROM p""")
 def granger_f(spark, sf):
-    g = ST.granger_f(gold(spark, sf), "inflation_yoy", "behavioural_index")
-    return g.withColumn("p_value", f_pvalue("f_stat", "dof_1", "dof_2")).withColumn("significant", F.col("p_value") < 0.05).drop("dof_1", "dof_2")
+    g = ST.granger_f(gold(spark, sf), "inflation_yoy", "behavioural_index").withColumn("p", f_pvalue("f_stat", "dof_1", "dof_2"))
+    return g.select("series_id", "lag", "n_obs", r4("f_stat").alias("f_stat"), F.round("p", 6).alias("p_value"), (F.col("p") < 0.05).alias("significant"))
 
 
 @query("granger_lag1", """
@@ -292,7 +330,25 @@ def acf(spark, sf):
     return ST.acf(level_and_diff(spark, sf), "v", 24, ["series_id", "kind"]).withColumn("acf", r4("acf"))
 
 
-@query("pacf")
+def _pacf_sql(lags: int = 24) -> str:
+    """The recursion over orders on unrounded autocorrelations, as lists."""
+    def wide(value: str, label: str, source: str) -> str:
+        sums = ", ".join(f"sum(e * e{k}) / sum(e * e) AS r{k}" for k in range(1, lags + 1))
+        return f"""SELECT series_id, '{label}' AS kind, count(*) AS n, {sums} FROM (SELECT *, {', '.join(f'lag(e, {k}) OVER w AS e{k}' for k in range(1, lags + 1))} FROM
+      (SELECT series_id, month, {value} - avg({value}) OVER (PARTITION BY series_id) AS e FROM {source} WHERE {value} IS NOT NULL) WINDOW w AS (PARTITION BY series_id ORDER BY month)) GROUP BY 1"""
+
+    every = f"SELECT series_id, kind, n, [{', '.join(f'r{k}' for k in range(1, lags + 1))}] AS r FROM ({wide('ipc_level', 'level', 'x_panel')} UNION ALL {wide('d1', 'diff', 'x_diff')})"
+    total = lambda term: f"coalesce(list_sum([{term} for j in range(1, k + 1)]), 0)"
+    return f"""
+  SELECT series_id, kind, n AS n_obs, generate_subscripts(parts, 1) - 1 AS lag, round(unnest(parts), 4) AS pacf FROM (
+    WITH RECURSIVE d AS (
+      SELECT series_id, kind, n, r, 0 AS k, []::DOUBLE[] AS phi, [1.0]::DOUBLE[] AS parts FROM ({every})
+      UNION ALL SELECT series_id, kind, n, r, k + 1, list_append([phi[j] - last * phi[k + 1 - j] for j in range(1, k + 1)], last), list_append(parts, last)
+      FROM (SELECT *, (r[k + 1] - {total('phi[j] * r[k + 1 - j]')}) / nullif(1 - {total('phi[j] * r[j]')}, 0) AS last FROM d WHERE k < {lags}))
+    SELECT * FROM d WHERE k = {lags})"""
+
+
+@query("pacf", _pacf_sql())
 def pacf(spark, sf):
     return ST.pacf(level_and_diff(spark, sf), "v", 24, ["series_id", "kind"]).withColumn("pacf", r4("pacf"))
 
@@ -443,10 +499,12 @@ def xcorr_best(spark, sf):
     return S.best_lag(period_correlations(spark, sf), ["series_id", "period"]).withColumn("best_r", r4("best_r"))
 
 
-@query("xcorr_pvalues")
+@query("xcorr_pvalues", f"""
+  WITH t AS (SELECT *, CASE WHEN abs(r) < 1 THEN r * sqrt((n - 2) / (1 - r * r)) END AS t FROM x_xc), p AS (SELECT *, {sql_t_tail('t', '(n - 2)')} AS p FROM t)
+  SELECT series_id, period, lag, n, round(r, 4) AS r, round(t, 4) AS t, round(p, 6) AS p_value, p < 0.05 AS significant FROM p""")
 def xcorr_pvalues(spark, sf):
-    c = period_correlations(spark, sf)
-    return c.withColumn("p_value", t_pvalue("t", F.col("n") - 2)).withColumn("significant", F.col("p_value") < 0.05)
+    c = period_correlations(spark, sf).withColumn("p", t_pvalue("t", F.col("n") - 2))
+    return c.select("series_id", "period", "lag", "n", r4("r").alias("r"), r4("t").alias("t"), F.round("p", 6).alias("p_value"), (F.col("p") < 0.05).alias("significant"))
 
 
 _CORR = [c for c in GOLD_COLS if c not in NOT_DOUBLE]

@@ -15,7 +15,7 @@ from panelwatch.functions import columns as C, text as T
 from panelwatch.functions.tails import t_pvalue
 from panelwatch.operators import normalise as N, panel as P, press, select
 from panelwatch.plans import inputs
-from panelwatch.plans.registry import cte, query
+from panelwatch.plans.registry import cte, query, sql_t_tail
 from panelwatch.plans.stages import folder
 from panelwatch.sources import landed
 
@@ -349,11 +349,15 @@ def press_validation(spark, sf):
     return _press_xy(spark, sf).select("series_id", "lag", "n", r4("r").alias("r"), r4("t").alias("t"))
 
 
-@query("press_validation_p")
+@query("press_validation_p", f"""
+  WITH led AS (SELECT month, x, y, l.lag AS lag, lead(y, CAST(l.lag AS INTEGER)) OVER (PARTITION BY l.lag ORDER BY month) AS yl FROM x_press_xy, (VALUES (0), (1), (2)) l(lag)),
+  r AS (SELECT lag, count(*) FILTER (x IS NOT NULL AND yl IS NOT NULL) AS n, corr(x, yl) AS r FROM led GROUP BY 1),
+  t AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM r WHERE n >= 6), p AS (SELECT *, {sql_t_tail('t', '(n - 2)')} AS p FROM t)
+  SELECT 'all' AS series_id, CAST(lag AS INTEGER) AS lag, n, round(r, 4) AS r, round(t, 4) AS t, round(p, 6) AS p_value, p < 0.05 AS significant FROM p""")
 def press_validation_p(spark, sf):
     """The same with p-values of the t statistic."""
-    p = t_pvalue("t", F.col("n") - 2)
-    return _press_xy(spark, sf).withColumn("p_value", p).withColumn("significant", F.col("p_value") < 0.05)
+    c = _press_xy(spark, sf).withColumn("p", t_pvalue("t", F.col("n") - 2))
+    return c.select("series_id", "lag", "n", r4("r").alias("r"), r4("t").alias("t"), F.round("p", 6).alias("p_value"), (F.col("p") < 0.05).alias("significant"))
 
 
 def _press_xy(spark, sf) -> DataFrame:

@@ -99,3 +99,50 @@ def test_order_grid_prefers_the_true_order(spark):
     g = {r["ar_order"]: r for r in FC.order_grid(df, "y").collect()}
     assert sum(r["best"] for r in g.values()) == 1
     assert g[1]["aic"] < g[3]["aic"] + 4  # extra terms do not pay more than their penalty
+
+
+def full_model(y, x, t):
+    """The full seasonal forecast of row ``t``, by refitting every equation at its origin; null rules as documented."""
+    n = len(y)
+    w = [y[i] - y[i - 1] - y[i - 12] + y[i - 13] if i >= 13 else None for i in range(n)]
+    d = [x[i] - x[i - 1] - x[i - 12] + x[i - 13] if i >= 13 else None for i in range(n)]
+    lag = lambda v, i, k: v[i - k] if i >= k else None
+
+    def fit(row_of, upto):
+        rows = [(row_of(i), w[i]) for i in range(upto)]
+        rows = [(r, v) for r, v in rows if v is not None and None not in r]
+        k = len(row_of(0))
+        if len(rows) <= k:
+            return None
+        a, b = np.array([r for r, _ in rows], float), np.array([v for _, v in rows])
+        return np.linalg.solve(a.T @ a, a.T @ b) if np.linalg.matrix_rank(a) == k else None
+
+    long, two = (lambda i: [lag(w, i, k) for k in (1, 2, 3, 12, 13)]), (lambda i: [lag(w, i, k) for k in (1, 2)])
+    e = []
+    for i in range(t + 1):
+        found = 0.0
+        for terms in (long, two):
+            if w[i] is not None and None not in terms(i) and (b := fit(terms, i)) is not None:
+                found = w[i] - float(np.dot(b, terms(i)))
+                break
+        e.append(found)
+    past = lambda i, k: e[i - k] if i >= k else 0.0
+    every = lambda i: [*two(i), *(past(i, k) for k in (1, 12, 13)), *([d[i]] if x is not None else [])]
+    b = fit(every, t)
+    return None if b is None else y[t - 1] + y[t - 12] - y[t - 13] + float(np.dot(b, every(t)))
+
+
+def test_full_model_equals_refitting_at_every_origin(spark):
+    r = np.random.default_rng(9)
+    n = 75
+    x = np.cumsum(r.normal(size=n))
+    y = (100 + 0.4 * np.arange(n) + 5 * np.sin(np.arange(n) * np.pi / 6) + 0.5 * x + np.cumsum(r.normal(size=n)) * 0.3).tolist()
+    rows = [("s", f"{2000 + i // 12}-{i % 12 + 1:02d}-01", y[i], float(x[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "series_id string, m string, y double, x double").selectExpr("series_id", "date(m) AS month", "y", "x")
+    got = FC.walk_forward(df, "y", {}, full={"alone": None, "both": "x"}).orderBy("month").collect()
+    assert {"pred_alone", "pred_both"} <= set(got[0].asDict()) and got[10].pred_both == y[9] == got[10].pred_alone
+    for t in (40, 50, 61, 74):
+        assert got[t].pred_both == pytest.approx(full_model(y, x.tolist(), t), rel=1e-6)
+    simple = FC.walk_forward(df, "y", {}).orderBy("month").collect()
+    assert all(a.pred_seasonal == b.pred_seasonal for a, b in zip(got, simple) if a.pred_seasonal is not None)
+    assert all(got[t].pred_alone == pytest.approx(simple[t].pred_seasonal) for t in range(24, 30))  # one autoregressive term below 36 months
