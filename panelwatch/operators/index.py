@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwatch.config import TREND_THEMES
+from panelwatch.functions import linear
 from panelwatch.functions.columns import add_all, row_mean
 from panelwatch.operators.normalise import minmax
 from panelwatch.operators.panel import KEYS, TIME, densify, fill_gaps, forward_fill, over
@@ -88,100 +87,81 @@ def gram_by_fold(df: DataFrame, features: Sequence[str], target: str, keys: Sequ
     return complete.withColumn("fold", fold.cast("int")).groupBy(*keys, "fold").agg(F.count(F.lit(1)).alias("n"), *sums, *prods)
 
 
-def _unpack(row, k: int):
-    s = np.array([row[f"s_{i}"] for i in range(k + 1)], float)
-    g = np.empty((k + 1, k + 1))
-    for i in range(k + 1):
-        for j in range(i, k + 1):
-            g[i, j] = g[j, i] = row[f"g_{i}_{j}"]
-    return float(row["n"]), s, g
-
-
-def _centred(n, s, g, k):
-    c = g - np.outer(s, s) / n
-    return c[:k, :k], c[:k, k]
-
-
-def _coordinate_path(xx, xy, n, alphas, tol=1e-10, sweeps=5000):
-    """Positive lasso coefficients along decreasing penalties, warm-started; not numbers where the sweeps did not converge."""
-    k = len(xy)
-    beta, path = np.zeros(k), []
-    for a in alphas:
-        for _ in range(sweeps):
-            step = 0.0
-            for j in range(k):
-                if xx[j, j] <= 0:
-                    continue
-                old = beta[j]
-                beta[j] = max(0.0, (xy[j] - xx[j] @ beta + xx[j, j] * old - n * a) / xx[j, j])
-                step = max(step, abs(beta[j] - old))
-            if step < tol:
-                break
-        else:
-            path.append(np.full(k, np.nan))
-            continue
-        path.append(beta.copy())
-    return np.array(path)
-
-
-def _standardise(n, s, g, mean, dev, k):
-    """Sums of the standardised features from raw sums (the target is kept raw)."""
-    t = np.append(mean, 0.0)
-    d = np.append(dev, 1.0)
-    s2 = (s - n * t) / d
-    g2 = (g - np.outer(t, s) - np.outer(s, t) + n * np.outer(t, t)) / np.outer(d, d)
-    return n, s2, g2
-
-
-def lasso_from_gram(pdf: pd.DataFrame, k: int, standardise: bool = True, n_alphas: int = 100, eps: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Cross-validated positive lasso from per-fold sums: coefficients, means, deviations, rows."""
-    parts = [_unpack(r, k) for _, r in pdf.sort_values("fold").iterrows()]
-    n, s, g = sum(p[0] for p in parts), sum(p[1] for p in parts), sum(p[2] for p in parts)
-    mean, dev = np.zeros(k), np.ones(k)
-    if standardise:
-        mean = s[:k] / n
-        dev = np.sqrt(np.maximum(np.diag(g)[:k] / n - mean**2, 0.0))
-        dev[dev < 1e-12] = 1.0
-        parts = [_standardise(*p, mean, dev, k) for p in parts]
-        n, s, g = sum(p[0] for p in parts), sum(p[1] for p in parts), sum(p[2] for p in parts)
-    if n < MIN_ROWS:
-        return np.zeros(k), mean, dev, n
-    xx, xy = _centred(n, s, g, k)
-    top = np.max(np.abs(xy)) / n
-    if top <= 0:
-        return np.zeros(k), mean, dev, n
-    alphas = np.logspace(np.log10(top), np.log10(top * eps), n_alphas)
-    errors = np.zeros(n_alphas)
-    for pn, ps, pg in parts:
-        if pn == 0 or pn == n:
-            continue
-        tn, ts, tg = n - pn, s - ps, g - pg
-        fxx, fxy = _centred(tn, ts, tg, k)
-        path = _coordinate_path(fxx, fxy, tn, alphas)
-        icept = ts[k] / tn - path @ (ts[:k] / tn)
-        quad = np.einsum("ai,ij,aj->a", path, pg[:k, :k], path)
-        sse = pg[k, k] - 2 * icept * ps[k] - 2 * path @ pg[:k, k] + pn * icept**2 + 2 * icept * (path @ ps[:k]) + quad
-        errors += sse / pn
-    if np.isnan(errors).all():
-        return np.zeros(k), mean, dev, n
-    best = alphas[int(np.nanargmin(errors))]
-    coef = _coordinate_path(xx, xy, n, alphas[alphas >= best])[-1]
-    return np.nan_to_num(coef), mean, dev, n
-
-
-def pca_from_gram(pdf: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """First principal axis of the standardised features, its largest loading positive."""
-    parts = [_unpack(r, k) for _, r in pdf.iterrows()]
-    n, s, g = sum(p[0] for p in parts), sum(p[1] for p in parts), sum(p[2] for p in parts)
-    mean = s[:k] / n
-    dev = np.sqrt(np.maximum(np.diag(g)[:k] / n - mean**2, 0.0))
-    dev[dev < 1e-12] = 1.0
-    if n < MIN_ROWS:
-        return np.zeros(k), mean, dev, n
-    _, s2, g2 = _standardise(n, s, g, mean, dev, k)
-    vals, vecs = np.linalg.eigh(_centred(n, s2, g2, k)[0])
-    axis = vecs[:, -1]
-    return axis * np.sign(axis[np.argmax(np.abs(axis))]), mean, dev, n
+def _totals(gram: DataFrame, k: int, keys: Sequence[str]) -> DataFrame:
+    """One row per series: sums over all folds (``n, s, g``; g as full rows), the folds as ``parts``, and means and deviations of the features."""
+    at = lambda i, j: f"g_{min(i, j)}_{max(i, j)}"
+    s = f"array({', '.join(f's_{i}' for i in range(k + 1))})"
+    g = linear.matrix([[at(i, j) for j in range(k + 1)] for i in range(k + 1)])
+    one = gram.selectExpr(*keys, f"named_struct('n', double(n), 's', {s}, 'g', {g}) AS p")
+    total = lambda of: f"double(sum({of}))"
+    sums = f"array({', '.join(total(f'p.s[{i}]') for i in range(k + 1))})"
+    prods = linear.matrix([[total(f"p.g[{i}][{j}]") for j in range(k + 1)] for i in range(k + 1)])
+    return one.groupBy(*keys).agg(F.expr(total("p.n")).alias("n"), F.expr(sums).alias("s"), F.expr(prods).alias("g"), F.collect_list("p").alias("parts"))
+
+
+def _scale(k: int, standardise: bool) -> list[str]:
+    """Means and deviations of the features over all rows (a constant feature has deviation 1)."""
+    if not standardise:
+        return [f"array_repeat(0D, {k}) AS mean", f"array_repeat(1D, {k}) AS dev"]
+    dev = "transform(sequence(0, {k}), i -> CASE WHEN sqrt(greatest(g[i][i] / n - s[i] / n * s[i] / n, 0D)) < 1e-12D THEN 1D ELSE sqrt(greatest(g[i][i] / n - s[i] / n * s[i] / n, 0D)) END)".replace("{k}", str(k - 1))
+    return [f"transform(slice(s, 1, {k}), x -> x / n) AS mean", f"{dev} AS dev"]
+
+
+def _centred(k: int, n: str, s: str, g: str) -> str:
+    """Products of the deviations from the means, features scaled by ``dev``, the target last."""
+    unit = [f"dev[{i}]" for i in range(k)] + ["1D"]
+    return linear.matrix([[f"({g}[{i}][{j}] - {s}[{i}] * {s}[{j}] / {n}) / ({unit[i]} * {unit[j]})" for j in range(k + 1)] for i in range(k + 1)])
+
+
+def lasso_weights(gram: DataFrame, k: int, keys: Sequence[str], standardise: bool = True, n_alphas: int = 100, eps: float = 1e-3) -> DataFrame:
+    """Cross-validated positive lasso, exact: ``keys, n, mean, dev, coef`` (null where nothing can be fitted).
+
+    For every set of active features the coefficients are linear in the penalty, so its optimality conditions (active
+    ones positive, the others' gradients below the penalty) hold on one interval. All 2^k sets of a fold are solved once and
+    each penalty of the grid reads its coefficients off the set that holds it; nothing iterates.
+    """
+    t = _totals(gram, k, keys).selectExpr("*", *_scale(k, standardise))
+    t = t.selectExpr("*", f"{_centred(k, 'n', 's', 'g')} AS c")
+    t = t.selectExpr("*", f"array_max(transform(slice(c[{k}], 1, {k}), x -> abs(x))) / n AS top").where(f"n >= {MIN_ROWS} AND top > 0")
+    # the rows left after a fold is taken out, and all rows (no held-out fold)
+    folds = t.selectExpr(*keys, "n", "s", "g", "mean", "dev", "top", "explode(concat(parts, array(CAST(null AS struct<n: double, s: array<double>, g: array<array<double>>>)))) AS h")
+    less = "zip_with({0}, coalesce(h.{0}, transform({0}, x -> 0D)), (x, y) -> x - y)"
+    rest = "transform(g, (r, i) -> zip_with(r, coalesce(h.g[i], transform(r, x -> 0D)), (x, y) -> x - y))"
+    folds = folds.selectExpr(*keys, "n", "mean", "dev", "top", "h", "n - coalesce(h.n, 0D) AS tn", f"{less.format('s')} AS ts", f"{rest} AS tg").where("tn > 0")
+    m = [f"ts[{i}] / tn" for i in range(k + 1)]
+    unit = [f"dev[{i}]" for i in range(k)] + ["1D"]
+    held = linear.matrix([[f"(h.g[{i}][{j}] - {m[i]} * h.s[{j}] - {m[j]} * h.s[{i}] + h.n * {m[i]} * {m[j]}) / ({unit[i]} * {unit[j]})" for j in range(k + 1)] for i in range(k + 1)])
+    folds = folds.selectExpr(*keys, "n", "mean", "dev", "top", "h.n AS hn", "tn", f"{_centred(k, 'tn', 'ts', 'tg')} AS c", f"CASE WHEN h IS NOT NULL THEN {held} END AS e")
+    sets = folds.selectExpr("*", f"explode(sequence(0, {2**k - 1})) AS mask")
+    on = [f"(mask & {1 << i}) <> 0" for i in range(k)]
+    rows = [[*(f"CASE WHEN {on[i]} AND {on[j]} THEN c[{i}][{j}] ELSE {'1D' if i == j else '0D'} END" for j in range(k)),
+             f"CASE WHEN {on[i]} THEN c[{i}][{k}] ELSE 0D END", f"CASE WHEN {on[i]} THEN 1D ELSE 0D END"] for i in range(k)]
+    sets = sets.selectExpr("*", f"{linear.matrix(rows)} AS m").selectExpr("*", f"{linear.solve('m', k, 2)} AS b").where("b IS NOT NULL AND NOT exists(b[0], x -> x IS NULL)")
+    # conditions p - l q >= 0 on the penalty l: of active features the coefficients, of others the slack of the gradients
+    slack = lambda i, side: f"({'c[' + str(i) + '][' + str(k) + ']' if side == 0 else '1D'} - ({' + '.join(f'c[{i}][{j}] * b[{side}][{j}]' for j in range(k))}))"
+    cond = ", ".join(f"CASE WHEN {on[i]} THEN named_struct('p', b[0][{i}], 'q', b[1][{i}]) ELSE named_struct('p', -{slack(i, 0)}, 'q', -{slack(i, 1)}) END" for i in range(k))
+    sets = sets.selectExpr(*keys, "n", "mean", "dev", "top", "hn", "tn", "e", "mask", "b", f"array({cond}) AS cond")
+    sets = sets.selectExpr(*keys, "n", "mean", "dev", "top", "hn", "tn", "e", "mask", "b",
+                           "coalesce(array_max(transform(filter(cond, x -> x.q < 0), x -> x.p / x.q)), 0D) AS low", "array_min(transform(filter(cond, x -> x.q > 0), x -> x.p / x.q)) AS high",
+                           "exists(cond, x -> x.q = 0 AND x.p < 0) AS never")
+    near = 1e-9
+    grid = sets.where("NOT never").selectExpr("*", f"explode(sequence(0, {n_alphas - 1})) AS a").selectExpr("*", f"tn * top * power({eps}D, a / {n_alphas - 1}D) AS l")
+    grid = grid.where(f"l >= low * (1D - {near}D) AND (high IS NULL OR l <= high * (1D + {near}D))")
+    grid = grid.selectExpr(*keys, "n", "mean", "dev", "hn", "e", "mask", "a", "zip_with(b[0], b[1], (u, v) -> greatest(u - l * v, 0D)) AS coef")
+    cross = " + ".join(f"coef[{i}] * coef[{j}] * e[{i}][{j}]" for i in range(k) for j in range(k))
+    sse = f"e[{k}][{k}] - 2D * ({' + '.join(f'coef[{j}] * e[{j}][{k}]' for j in range(k))}) + {cross}"
+    picked = grid.groupBy(*keys, "a", "hn", "e").agg(F.expr("min_by(struct(n, mean, dev, coef), mask)").alias("x"))
+    scored = picked.selectExpr(*keys, "a", "hn", "x.*", "e").selectExpr(*keys, "a", "n", "mean", "dev", "coef", f"CASE WHEN hn IS NOT NULL THEN ({sse}) / hn END AS err", "hn IS NULL AS whole")
+    by_alpha = scored.groupBy(*keys, "a").agg(F.sum("err").alias("err"), F.expr("max(CASE WHEN whole THEN struct(coef, n, mean, dev) END)").alias("x"))
+    best = by_alpha.where("err IS NOT NULL AND x IS NOT NULL").groupBy(*keys).agg(F.expr("min(struct(err, a, x))").alias("m"))
+    return best.selectExpr(*keys, "m.x.n", "m.x.mean", "m.x.dev", "m.x.coef")
+
+
+def pca_weights(gram: DataFrame, k: int, keys: Sequence[str]) -> DataFrame:
+    """First principal axis of the standardised features, its largest loading positive: ``keys, n, mean, dev, coef``."""
+    t = _totals(gram, k, keys).where(f"n >= {MIN_ROWS}").selectExpr("*", *_scale(k, True))
+    t = t.selectExpr(*keys, "n", "mean", "dev", f"transform(slice({_centred(k, 'n', 's', 'g')}, 1, {k}), r -> slice(r, 1, {k})) AS c")
+    return t.selectExpr(*keys, "n", "mean", "dev", f"{linear.principal_axis('c', k)} AS coef")
 
 
 def fit_weights(gram: DataFrame, features: Sequence[str], method: str, keys: Sequence[str] = KEYS, standardise: bool = True) -> DataFrame:
@@ -190,22 +170,15 @@ def fit_weights(gram: DataFrame, features: Sequence[str], method: str, keys: Seq
     The input is the Gram table (five short rows per series), never the observations.
     Too few rows or all-zero coefficients give equal weights (``method`` = equal).
     """
-    k, names = len(features), list(keys)
-    schema = ", ".join(f"{c} {t}" for c, t in gram.select(*keys).dtypes) + (
-        ", method string, n_train double, coef array<double>, mean array<double>, dev array<double>, weight array<double>")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        fit = lasso_from_gram(pdf, k, standardise) if method == "lasso" else pca_from_gram(pdf, k)
-        coef, mean, dev, n = fit
-        used, total = method, float(np.abs(coef).sum())
-        if total == 0:
-            used, coef, total = "equal", np.ones(k), float(k)
-        weight = coef if used == "pca" else np.abs(coef) / total
-        head = {c: [pdf[c].iloc[0]] for c in names}
-        return pd.DataFrame({**head, "method": [used], "n_train": [n], "coef": [coef.tolist()], "mean": [mean.tolist()],
-                             "dev": [dev.tolist()], "weight": [weight.tolist()]})
-
-    return gram.groupBy(*keys).applyInPandas(solve, schema)
+    k = len(features)
+    fits = lasso_weights(gram, k, keys, standardise) if method == "lasso" else pca_weights(gram, k, keys)
+    every = gram.groupBy(*keys).agg(F.sum("n").cast("double").alias("n_train"))
+    d = every.join(fits, list(keys), "left").withColumn("_total", F.expr("aggregate(coef, 0D, (t, x) -> t + abs(x))"))
+    found = "_total > 0"
+    weight = "coef" if method == "pca" else "transform(coef, x -> abs(x) / _total)"
+    return d.selectExpr(
+        *keys, f"CASE WHEN {found} THEN '{method}' ELSE 'equal' END AS method", "n_train", f"CASE WHEN {found} THEN coef ELSE array_repeat(1D, {k}) END AS coef",
+        f"coalesce(mean, array_repeat(0D, {k})) AS mean", f"coalesce(dev, array_repeat(1D, {k})) AS dev", f"CASE WHEN {found} THEN {weight} ELSE array_repeat(1D / {k}, {k}) END AS weight")
 
 
 def weighted_index(df: DataFrame, fits: DataFrame, features: Sequence[str], out: str, keys: Sequence[str] = KEYS, time: str = TIME) -> DataFrame:

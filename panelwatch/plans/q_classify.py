@@ -10,6 +10,7 @@ from panelwatch import config as K
 from panelwatch.functions import columns as C
 from panelwatch.operators import classify as CL, forecast as FC, index as X, normalise as N, panel as P, press
 from panelwatch.plans import inputs
+from panelwatch.plans.oracle_weights import lasso_blocks
 from panelwatch.plans.q_forecast import BLOCK, EXOG, FULL, MODELS, SQL_MODELS, _sql_fill, gold, sql_guard, sql_sums, sql_three, sql_two
 from panelwatch.plans.q_text import NEG, POS, STRONG, sql_any, sql_hits
 from panelwatch.plans.registry import cte, query
@@ -409,9 +410,16 @@ def lasso_blend(spark, sf) -> DataFrame:
     return b.join(w, "series_id").withColumn("blend_lasso", F.expr("alpha * behavioural_index + beta * text_norm"))
 
 
-@query("blend_lasso")
+cte("x_blend_train", f"SELECT series_id, month, coalesce(behavioural_index, 0) AS behavioural_index, text_norm, lead_yoy AS y FROM (SELECT b.*, g.target_inflation_yoy_t1 AS lead_yoy FROM x_blends b JOIN x_gold g USING (series_id, month)) WHERE month <= DATE '{K.PANEL_TRAIN_END}' AND lead_yoy IS NOT NULL")
+lasso_blocks("x_bl", "x_blend_train", ["behavioural_index", "text_norm"], standardise=False)
+cte("x_blend_lasso", """
+  SELECT b.*, CASE WHEN method = 'equal' THEN 1 ELSE g0 END AS alpha, CASE WHEN method = 'equal' THEN 0 ELSE g1 END AS beta, CASE WHEN method = 'equal' THEN behavioural_index ELSE g0 * behavioural_index + g1 * text_norm END AS blend_lasso
+  FROM x_blends b JOIN x_bl_fit f ON f.series_id = b.series_id""")
+
+
+@query("blend_lasso", "SELECT series_id, month, round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(blend_lasso, 4) AS blend_lasso FROM x_blend_lasso")
 def blend_lasso(spark, sf):
-    return lasso_blend(spark, sf).select("series_id", "month", "alpha", "beta", "blend_lasso")
+    return lasso_blend(spark, sf).select("series_id", "month", F.round("alpha", 6).alias("alpha"), F.round("beta", 6).alias("beta"), r4("blend_lasso").alias("blend_lasso"))
 
 
 VARIANTS = {"behavioural": "behavioural_index_lag1", "blend": "blend_fixed_lag1", "text": "text_norm_lag1"}
@@ -440,11 +448,14 @@ def comparison(b: DataFrame, variants: dict[str, str] = VARIANTS) -> DataFrame:
     return out.withColumn("aic_delta", F.expr("aic - max(CASE WHEN variant = 'behavioural' THEN aic END) OVER (PARTITION BY series_id)"))
 
 
-def _variant_sql() -> None:
-    cte("x_var_w", """
-      WITH l AS (SELECT *, lag(behavioural_index) OVER o AS v1, lag(blend_fixed) OVER o AS v2, lag(text_norm) OVER o AS v3 FROM x_blends WINDOW o AS (PARTITION BY series_id ORDER BY month)),
+def _variant_sql(x: str, source: str, variants: dict[str, str]) -> None:
+    """Blocks ``{x}_...`` and ``{x}``: the comparison of signals ``variant: column`` of ``source``."""
+    lags = ", ".join(f"lag({c}) OVER o AS v{i}" for i, c in enumerate(variants.values()))
+    values = ", ".join(f"('{v}', v{i})" for i, v in enumerate(variants))
+    cte(f"{x}_w", f"""
+      WITH l AS (SELECT *, {lags} FROM {source} WINDOW o AS (PARTITION BY series_id ORDER BY month)),
       b AS (SELECT *, 'B' AS block, CASE WHEN month <= DATE '1999-12-01' THEN 'train' ELSE 'test' END AS part FROM l WHERE month BETWEEN DATE '1995-01-01' AND DATE '2001-11-01'),
-      u AS (SELECT b.series_id, b.month, b.part, b.ipc_level AS y, b.target_high_inflation_regime_t1 AS cls, v.variant, v.x FROM b, LATERAL (VALUES ('behavioural', v1), ('blend', v2), ('text', v3)) v(variant, x)),
+      u AS (SELECT b.series_id, b.month, b.part, b.ipc_level AS y, b.target_high_inflation_regime_t1 AS cls, v.variant, v.x FROM b, LATERAL (VALUES {values}) v(variant, x)),
       f AS (SELECT *, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY series_id, variant ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
          first_value(x IGNORE NULLS) OVER (PARTITION BY series_id, variant ORDER BY month ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS fx FROM u),
       d AS (SELECT *, lag(y, 1) OVER o AS y1, lag(y, 12) OVER o AS y12, lag(y, 13) OVER o AS y13, fx - lag(fx, 1) OVER o - lag(fx, 12) OVER o + lag(fx, 13) OVER o AS dx,
@@ -455,34 +466,35 @@ def _variant_sql() -> None:
     full = "FILTER (w IS NOT NULL AND w1 IS NOT NULL AND w2 IS NOT NULL AND dz IS NOT NULL)"
     det = "nullif(a*(e*i-f*f) - b*(b*i-f*c) + c*(b*f-e*c), 0)"
     d1, d2, d3 = "(p*(e*i-f*f) - b*(q*i-f*r) + c*(q*f-e*r))", "(a*(q*i-f*r) - p*(b*i-f*c) + c*(b*r-q*c))", "(a*(e*r-q*f) - b*(b*r-q*c) + p*(b*f-e*c))"
-    cte("x_var_ic", f"""
-      WITH g AS (SELECT series_id, variant, count(*) {full} AS n, {', '.join(f'sum({v}) {full} AS {k}' for k, v in three.items())} FROM x_var_w WHERE part = 'train' GROUP BY 1, 2)
+    cte(f"{x}_ic", f"""
+      WITH g AS (SELECT series_id, variant, count(*) {full} AS n, {', '.join(f'sum({v}) {full} AS {k}' for k, v in three.items())} FROM {x}_w WHERE part = 'train' GROUP BY 1, 2)
       SELECT series_id, variant, n * ln((yy - {d1}/{det}*p - {d2}/{det}*q - {d3}/{det}*r) / n) + 6 AS aic FROM g WHERE n > 5""")
     specs = {"a": ["w1"], "c": ["w1", "w2"], "ax": ["w1", "dx"], "cx": ["w1", "w2", "dx"]}
-    cte("x_var_rmse", f"""
+    cte(f"{x}_rmse", f"""
       WITH s AS (SELECT *, count(y) OVER b AS n_train, last_value(y IGNORE NULLS) OVER b AS last_y, avg(y) OVER b AS mean_y, max(y) OVER b - min(y) OVER b AS rng, count(x) OVER b AS nx,
-          {', '.join(sql_sums(specs))} FROM x_var_w WINDOW b AS (PARTITION BY series_id, variant ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+          {', '.join(sql_sums(specs))} FROM {x}_w WINDOW b AS (PARTITION BY series_id, variant ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
       r AS (SELECT *, CASE WHEN a_n > 1 THEN y1 + y12 - y13 + a_w1_w / nullif(a_w1_w1, 0) * w1 END AS ra, y1 + y12 - y13 + {sql_two('c', 'w2')} AS rc,
           y1 + y12 - y13 + {sql_two('ax', 'dx')} AS rax, y1 + y12 - y13 + {sql_three('cx', 'dx')} AS rcx FROM s WHERE part = 'test' AND y IS NOT NULL)
       SELECT series_id, variant, sqrt(avg(power(y - CASE WHEN nx > 0 THEN {sql_guard('rax', 'rcx')} ELSE {sql_guard('ra', 'rc')} END, 2))) AS rmse FROM r GROUP BY 1, 2""")
-    rows = "(SELECT series_id, variant, part, CAST(cls AS INTEGER) AS y, coalesce(x, 0) AS score FROM x_var_w WHERE cls IS NOT NULL)"
-    cte("x_var_rows", f"SELECT * FROM {rows}")
-    cte("x_var_train", curve_sql("(SELECT * FROM x_var_rows WHERE part = 'train')", "series_id, variant"))
-    cte("x_var_cal", """
+    rows = f"(SELECT series_id, variant, part, CAST(cls AS INTEGER) AS y, coalesce(x, 0) AS score FROM {x}_w WHERE cls IS NOT NULL)"
+    cte(f"{x}_rows", f"SELECT * FROM {rows}")
+    cte(f"{x}_train", curve_sql(f"(SELECT * FROM {x}_rows WHERE part = 'train')", "series_id, variant"))
+    cte(f"{x}_cal", f"""
       SELECT series_id, variant, CASE WHEN n_pos < 3 OR f1 <= 0 THEN 0.5 ELSE threshold END AS threshold
-      FROM (SELECT *, row_number() OVER (PARTITION BY series_id, variant ORDER BY f1 DESC, threshold) AS rn FROM x_var_train) WHERE rn = 1""")
-    cte("x_var_test", curve_sql("(SELECT * FROM x_var_rows WHERE part = 'test')", "series_id, variant"))
-    cte("x_var_ap", area_sql("x_var_test", "series_id, variant"))
-    cte("x_var_conf", """
+      FROM (SELECT *, row_number() OVER (PARTITION BY series_id, variant ORDER BY f1 DESC, threshold) AS rn FROM {x}_train) WHERE rn = 1""")
+    cte(f"{x}_test", curve_sql(f"(SELECT * FROM {x}_rows WHERE part = 'test')", "series_id, variant"))
+    cte(f"{x}_ap", area_sql(f"{x}_test", "series_id, variant"))
+    cte(f"{x}_conf", f"""
       SELECT series_id, variant, threshold, count(*) FILTER (score >= threshold AND y = 1) AS tp, count(*) FILTER (score >= threshold AND y = 0) AS fp, count(*) FILTER (score < threshold AND y = 1) AS fn
-      FROM (SELECT * FROM x_var_rows WHERE part = 'test') JOIN x_var_cal USING (series_id, variant) GROUP BY 1, 2, 3""")
-    cte("x_var", """
+      FROM (SELECT * FROM {x}_rows WHERE part = 'test') JOIN {x}_cal USING (series_id, variant) GROUP BY 1, 2, 3""")
+    cte(x, f"""
       SELECT r.series_id, r.variant, i.aic, r.rmse, c.threshold, c.tp, c.fp, c.fn, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS recall, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS precision,
         coalesce((2 * tp)::DOUBLE / nullif(2 * tp + fp + fn, 0), 0) AS f1, a.ap, i.aic - max(CASE WHEN r.variant = 'behavioural' THEN i.aic END) OVER (PARTITION BY r.series_id) AS aic_delta
-      FROM x_var_rmse r LEFT JOIN x_var_ic i USING (series_id, variant) JOIN x_var_conf c USING (series_id, variant) JOIN x_var_ap a USING (series_id, variant)""")
+      FROM {x}_rmse r LEFT JOIN {x}_ic i USING (series_id, variant) JOIN {x}_conf c USING (series_id, variant) JOIN {x}_ap a USING (series_id, variant)""")
 
 
-_variant_sql()
+_variant_sql("x_var", "x_blends", {"behavioural": "behavioural_index", "blend": "blend_fixed", "text": "text_norm"})
+_variant_sql("x_vl", "x_blend_lasso", {"behavioural": "behavioural_index", "blend": "blend_fixed", "text": "text_norm", "lasso": "blend_lasso"})
 VARIANT_VALUES = ["aic", "rmse", "recall", "precision", "f1", "ap", "threshold", "aic_delta"]
 
 
@@ -505,10 +517,14 @@ def verdict(table: DataFrame, base: str = "behavioural", challenger: str = "blen
     return p.selectExpr("series_id", "beta", "CASE WHEN beta = 0 THEN 'C' WHEN a2 < a1 AND r2 >= r1 THEN 'A' ELSE 'B' END AS verdict")
 
 
-@query("signal_comparison_lasso")
+@query("signal_comparison_lasso", f"""
+  WITH p AS (SELECT series_id, max(aic) FILTER (variant = 'behavioural') AS a1, max(aic) FILTER (variant = 'lasso') AS a2, max(recall) FILTER (variant = 'behavioural') AS r1, max(recall) FILTER (variant = 'lasso') AS r2 FROM x_vl GROUP BY 1),
+  b AS (SELECT series_id, max(beta) AS beta FROM x_blend_lasso GROUP BY 1)
+  SELECT series_id, variant, {', '.join(f'round({c}, 3) AS {c}' for c in VARIANT_VALUES)}, tp, fp, fn, round(beta, 6) AS beta,
+    CASE WHEN beta = 0 THEN 'C' WHEN a2 < a1 AND r2 >= r1 THEN 'A' ELSE 'B' END AS verdict FROM x_vl JOIN p USING (series_id) JOIN b USING (series_id)""")
 def signal_comparison_lasso(spark, sf):
     """All four variants, the lasso blend included, with the verdict from its own weight."""
     b = staged(spark, sf, "blend_lasso", lasso_blend)
     table = comparison(b, {**VARIANTS, "lasso": "blend_lasso_lag1"}).join(b.groupBy("series_id").agg(F.max("beta").alias("beta")), "series_id")
-    return table.select("series_id", "variant", *[r3(c).alias(c) for c in VARIANT_VALUES], "tp", "fp", "fn", "beta").join(
+    return table.select("series_id", "variant", *[r3(c).alias(c) for c in VARIANT_VALUES], "tp", "fp", "fn", F.round("beta", 6).alias("beta")).join(
         verdict(table, challenger="lasso").select("series_id", "verdict"), "series_id")

@@ -8,6 +8,7 @@ from panelwatch.config import PANEL_TRAIN_END
 from panelwatch.functions import columns as C
 from panelwatch.operators import audit, index as X, normalise as N, panel as P
 from panelwatch.plans import gold as G, inputs
+from panelwatch.plans.oracle_weights import index_sql, lasso_blocks, pca_block
 from panelwatch.plans.q_panel import SPLIT_CASE
 from panelwatch.plans.registry import cte, query
 
@@ -205,15 +206,24 @@ def _indexed(spark, sf, method: str) -> DataFrame:
     return X.weighted_index(rows, _fits(spark, sf, method), TREND, "behavioural_index").select("series_id", "month", "method", "behavioural_index")
 
 
-@query("index_lasso")
+lasso_blocks("x_la", "x_train_xy", TREND)
+pca_block("x_pc_fit", "x_train_xy", TREND)
+cte("x_index_rows", f"SELECT c.series_id, c.month, {', '.join(f'b.f_{t} AS {t}' for t in TREND)} FROM x_cpi c JOIN x_behav b ON b.month = c.month")
+
+
+def _index_sql(fits: str, rows: str, names: list[str], out: str) -> str:
+    return f"WITH w AS ({index_sql(fits, rows, names, sql_mean(names))}) SELECT series_id, month, method, round({sql_minmax('raw', 'PARTITION BY series_id')}, 4) AS {out} FROM w"
+
+
+@query("index_lasso", _index_sql("x_la_fit", "x_index_rows", TREND, "behavioural_index"))
 def index_lasso(spark, sf):
     """Per-series positive-lasso index; the solve sees five Gram rows per series."""
-    return _indexed(spark, sf, "lasso")
+    return _indexed(spark, sf, "lasso").withColumn("behavioural_index", r4("behavioural_index"))
 
 
-@query("index_pca")
+@query("index_pca", _index_sql("x_pc_fit", "x_index_rows", TREND, "behavioural_index"))
 def index_pca(spark, sf):
-    return _indexed(spark, sf, "pca")
+    return _indexed(spark, sf, "pca").withColumn("behavioural_index", r4("behavioural_index"))
 
 
 @query("index_weights", f"""
@@ -227,12 +237,24 @@ def index_weights(spark, sf):
     return X.weights_report(fits, TREND, PANEL_TRAIN_END)
 
 
-@query("index_weights_lasso")
+@query("index_weights_lasso", f"""
+  SELECT series_id, v.feature, round(v.weight, 6) AS weight, method, '1998-12-01' AS train_end FROM x_la_fit, LATERAL (VALUES {', '.join(f"('{t}', g{i})" for i, t in enumerate(TREND))}) v(feature, weight)""")
 def index_weights_lasso(spark, sf):
-    return X.weights_report(_fits(spark, sf, "lasso"), TREND, PANEL_TRAIN_END)
+    return X.weights_report(_fits(spark, sf, "lasso"), TREND, PANEL_TRAIN_END).withColumn("weight", F.round("weight", 6))
+
+
+_HYBRID = ["h_b", *(f"h_{y}" for y in YOY)]
+cte("x_hybrid_rows", f"""
+  WITH j AS (SELECT b.month, b.behavioural_index, {', '.join('m.' + y for y in YOY)} FROM x_behav b LEFT JOIN x_macro m ON m.month = b.month WHERE b.behavioural_index IS NOT NULL),
+  f AS (SELECT *, {', '.join(f'last_value({y} IGNORE NULLS) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ff_{y}' for y in YOY)} FROM j),
+  n AS (SELECT *, {', '.join(f'{sql_minmax("ff_" + y)} AS nn_{y}' for y in YOY)} FROM f),
+  g AS (SELECT month, {sql_fill('behavioural_index')} AS h_b, {', '.join(f'{sql_fill("nn_" + y)} AS h_{y}' for y in YOY)} FROM n)
+  SELECT c.series_id, c.month, c.inflation_yoy AS y, {', '.join('g.' + h for h in _HYBRID)} FROM x_cpi c JOIN g ON g.month = c.month""")
+cte("x_hybrid_train", "SELECT * FROM x_hybrid_rows WHERE month <= DATE '1998-12-01'")
+lasso_blocks("x_hy", "x_hybrid_train", _HYBRID)
 
 
-@query("hybrid_index_lasso")
+@query("hybrid_index_lasso", _index_sql("x_hy_fit", "x_hybrid_rows", _HYBRID, "hybrid_index"))
 def hybrid_index_lasso(spark, sf):
     """Per-series lasso weights over the behavioural index and the scaled macro changes."""
     yoy = list(inputs.MACRO_YOY.values())
@@ -241,4 +263,4 @@ def hybrid_index_lasso(spark, sf):
     feats = X.hybrid_features(sig, "behavioural_index", yoy).select("month", *names)
     rows = inputs.cpi(spark, sf).select("series_id", "month", F.col("inflation_yoy").alias("y")).join(F.broadcast(feats), "month")
     fits = X.fit_weights(X.gram_by_fold(rows.where(N.train_rows(PANEL_TRAIN_END)), names, "y"), names, "lasso")
-    return X.weighted_index(rows, fits, names, "hybrid_index").select("series_id", "month", "method", "hybrid_index")
+    return X.weighted_index(rows, fits, names, "hybrid_index").select("series_id", "month", "method", r4("hybrid_index").alias("hybrid_index"))

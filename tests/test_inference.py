@@ -134,14 +134,61 @@ def test_gram_folds_sum_to_the_total_and_lasso_is_optimal(spark):
     assert few["method"] == "equal" and few["weight"] == pytest.approx([1 / 3] * 3)
 
 
-def test_lasso_path_meets_the_optimality_conditions():
+def coordinate_lasso(x, y, alpha):
+    """Positive lasso by plain coordinate descent on centred data."""
+    n, beta = len(y), np.zeros(x.shape[1])
+    for _ in range(20_000):
+        old = beta.copy()
+        for j in range(len(beta)):
+            q = x[:, j] @ x[:, j]
+            if q > 0:
+                beta[j] = max(0.0, (x[:, j] @ (y - x @ beta) + q * beta[j] - n * alpha) / q)
+        if np.abs(beta - old).max() < 1e-13:
+            break
+    return beta
+
+
+@pytest.mark.parametrize("standardise", [True, False])
+def test_lasso_equals_coordinate_descent(spark, standardise):
     rng = np.random.default_rng(10)
-    x, y = rng.normal(size=(40, 3)), rng.normal(size=40)
-    x, y = x - x.mean(0), y - y.mean()
-    alpha = 0.05
-    beta = X._coordinate_path(x.T @ x, x.T @ y, 40, [alpha])[0]
-    grad = x.T @ (y - x @ beta) / 40 - alpha
-    assert all((abs(g) < 1e-8) if b > 0 else (g <= 1e-8) for g, b in zip(grad, beta))
+    rows, want = [], {}
+    for name, n in (("p", 40), ("q", 61), ("r", 12)):
+        x = rng.normal(size=(n, 4)) * [1, 5, 0.2, 1] + [0, 3, 1, 0]
+        x[:, 3] = 0.7 * x[:, 0] + 0.3 * x[:, 3]
+        if name == "q":
+            x[:, 2] = 2.0  # a constant feature
+        y = x @ [1.0, 0.3, -2.0, 0.5] + rng.normal(size=n)
+        rows += [(name, i, *map(float, v), float(t)) for i, (v, t) in enumerate(zip(x, y))]
+        dev = x.std(axis=0) if standardise else np.ones(4)
+        z = (x - (x.mean(axis=0) if standardise else 0)) / np.where(dev < 1e-12, 1, dev)
+        top = np.abs((z - z.mean(0)).T @ (y - y.mean())).max() / n
+        alphas, sizes = top * 1e-3 ** (np.arange(0, 100, 1) / 99), [n // 5 + (i < n % 5) for i in range(5)]
+        errors, edges = np.zeros(100), np.cumsum([0, *sizes])
+        for a, b in zip(edges[:-1], edges[1:]):
+            t = np.r_[0:a, b:n]
+            for i, alpha in enumerate(alphas):
+                beta = coordinate_lasso(z[t] - z[t].mean(0), y[t] - y[t].mean(), alpha)
+                errors[i] += ((y[a:b] - y[t].mean() - (z[a:b] - z[t].mean(0)) @ beta) ** 2).mean()
+        want[name] = coordinate_lasso(z - z.mean(0), y - y.mean(), alphas[errors.argmin()])
+    df = spark.createDataFrame(rows, "series_id string, month int, a double, b double, c double, d double, y double")
+    names = ["a", "b", "c", "d"]
+    got = {r.series_id: r for r in X.fit_weights(X.gram_by_fold(df, names, "y"), names, "lasso", standardise=standardise).collect()}
+    for name, coef in want.items():
+        assert got[name].method == ("lasso" if coef.any() else "equal") and got[name].coef == pytest.approx(coef.tolist(), abs=1e-6)
+
+
+def test_axis_equals_the_eigenvector(spark):
+    rng = np.random.default_rng(12)
+    n, rows = 50, []
+    for name in "pqr":
+        x = rng.normal(size=(n, 5)) @ rng.normal(size=(5, 5))
+        rows += [(name, i, *map(float, v), 1.0) for i, v in enumerate(x)]
+    names = list("abcde")
+    df = spark.createDataFrame(rows, f"series_id string, month int, {', '.join(f'{c} double' for c in names)}, y double")
+    got = {r.series_id: r.coef for r in X.fit_weights(X.gram_by_fold(df, names, "y"), names, "pca").collect()}
+    for name in "pqr":
+        axis = np.linalg.eigh(np.corrcoef(np.array([r[2:7] for r in rows if r[0] == name]).T))[1][:, -1]
+        assert got[name] == pytest.approx((axis * np.sign(axis[np.abs(axis).argmax()])).tolist(), abs=1e-9)
 
 
 def test_pca_axis_sign_and_scores(spark):
