@@ -5,10 +5,13 @@ minima: ``BANDS`` keys a document, each of ``ROWS`` minima of the shingle hashes
 with probability (1 - 0.8^5)^40, about 10^-7, more similar pairs with less. Candidates are joined and verified on their
 whole shingle sets.
 
-The members of a key are first compared with one of them, the pivot. Members like the pivot are linked through it. The
-distance 1 - similarity is a metric, so what is unlike the pivot needs comparing only with members whose distances to
-the pivot are as close as the threshold allows, and only if they are not linked already: a large group of near copies is
-a star, not all its pairs. Members that are all just below the threshold are still compared with one another.
+The members of a key are first compared with one of them, the pivot: one pair a member. Members like the pivot are
+linked through it, so a large group of near copies is a star. What is unlike the pivot can still be like other members that are
+not linked to it; the distance 1 - similarity is a metric, so only like those whose distances to the pivot are as close as the
+threshold allows. These comparisons never become rows: the members of a key are dealt to blocks, each pair of
+blocks is one group of bounded size, its pairs are verified on the whole sets inside the task, in the first key that a pair shares,
+and what leaves is a forest of the links. So a group whose members are all just below the threshold still costs a
+comparison for each such pair, spread over as many tasks as it has pairs of blocks, but rows only in proportion to its members.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from panelwatch.llm import simhash
-from panelwatch.llm.common import by_row, chunks_of_words, cut
+from panelwatch.llm.common import by_row, chunks_of_words, cut, spare
 
 BANDS, ROWS = 40, 5
 _draw = np.random.default_rng(42)
@@ -79,21 +82,70 @@ def _mapped(rows: DataFrame, fn, name: str) -> DataFrame:
     return rows.select("d", "text").mapInPandas(run, f"d long, {name} array<bigint>")
 
 
-def similar(rows: DataFrame, ids: DataFrame | None = None, width: int = 5, threshold: float = 0.8) -> DataFrame:
+def block_links(pdf: pd.DataFrame, threshold: float) -> list[tuple[int, int, float]]:
+    """Links ``a, b, similarity`` of the members of one key in one pair of blocks: as many as join what is linked and was not before.
+
+    Columns: ``k, p, q`` the group, ``part`` a member's block, ``d``, ``j`` its similarity to the pivot, ``root`` what it is linked
+    to already, ``keys``, ``s`` its sorted shingles.
+    """
+    d, j, root = (pdf[c].to_numpy() for c in ("d", "j", "root"))
+    wanted = root[:, None] != root
+    wanted &= np.abs(j[:, None] - j) <= 1 - threshold + 1e-9
+    wanted &= (j[:, None] < threshold) | (j < threshold)
+    part, p, q = pdf["part"].to_numpy(), pdf["p"].iloc[0], pdf["q"].iloc[0]
+    wanted &= d[:, None] < d if p == q else (part[:, None] == p) & (part == q)
+    if not wanted.any():
+        return []
+    keys_of = np.stack(pdf["keys"])
+    for band in range(int(np.flatnonzero(keys_of[0] == pdf["k"].iloc[0])[0])):
+        wanted &= keys_of[:, band][:, None] != keys_of[:, band]  # decided in that key
+    sizes = np.array([len(x) for x in pdf["s"]])
+    rows, others = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
+    if not len(rows):
+        return []
+    flat = np.concatenate([pdf["s"].iloc[y] for y in others])
+    owner = np.repeat(others, sizes[others])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in above:
+            x = above[x]
+        return x
+
+    out = []
+    for x in rows:
+        own = np.asarray(pdf["s"].iloc[x])
+        first, last = np.searchsorted(flat, own), np.searchsorted(flat, own, side="right")
+        n = last - first
+        at = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        common = np.bincount(owner[at], minlength=len(d))
+        like = common / np.maximum(1, sizes[x] + sizes - common)
+        for y in np.flatnonzero(wanted[x] & (like >= threshold)):
+            u, v = top(root[x]), top(root[y])
+            if u != v:
+                above[max(u, v)] = min(u, v)
+                out.append((int(d[x]), int(d[y]), float(like[y])))
+    return out
+
+
+def similar(rows: DataFrame, ids: DataFrame | None = None, width: int = 5, threshold: float = 0.8, block: int = 512) -> DataFrame:
     """Pairs ``a, b, j`` that link all documents of ``rows`` (``d, text``; among those of ``ids``) with a similarity of ``threshold`` or more.
 
-    The pairs have the same connected components as all such pairs; two documents that are linked through pivots
-    have no row of their own. Rows of the same ``d`` must be alike.
+    The pairs have the same connected components as all such pairs; two documents that are linked through others
+    may have no row of their own. Rows of the same ``d`` must be alike.
     """
     banded = _mapped(rows, lambda t: keys(shingles(t, width)), "keys")
     if ids is not None:
         banded = banded.join(ids, "d", "left_semi")
-    single = cut(banded.dropDuplicates(["d"])).select("d", F.explode("keys").alias("k"))
+    banded = cut(banded.dropDuplicates(["d"]))
+    single = banded.select("d", F.explode("keys").alias("k"))
     shared = single.groupBy("k").agg(F.min("d").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut(single.join(shared, "k"))
 
     wanted = members.select("d").distinct()
-    sets = cut(_mapped(rows.join(wanted, "d", "left_semi"), lambda t: shingles(t, width).view(np.int64), "s").dropDuplicates(["d"]))
+    sets = cut(_mapped(rows.join(wanted, "d", "left_semi"), lambda t: np.sort(shingles(t, width).view(np.int64)), "s").dropDuplicates(["d"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         of = lambda side: sets.select(F.col("d").alias(side), F.col("s").alias(f"s{side}"))
@@ -103,28 +155,37 @@ def similar(rows: DataFrame, ids: DataFrame | None = None, width: int = 5, thres
 
     first = verified(members.where("d <> pivot").select(F.col("pivot").alias("a"), F.col("d").alias("b")).distinct())
 
-    # what is unlike the pivot, and the members it may still be like and is not yet linked to
+    # keys with a member that is unlike the pivot and not linked to all others yet
     near = members.where("n > 2 AND d <> pivot").join(first.select(F.col("a").alias("pivot"), F.col("b").alias("d"), "j"), ["pivot", "d"])
     linked = cut(simhash.components(first.where(F.col("j") >= threshold)).withColumnRenamed("node", "d"))
-    near = near.join(linked, "d", "left").withColumn("root", F.coalesce("root", "d"))
-    odd = near.where(F.col("j") < threshold).select("k", F.col("d").alias("x"), F.col("j").alias("jx"), F.col("root").alias("rx"))
-    rest = near.select("k", F.col("d").alias("y"), F.col("j").alias("jy"), F.col("root").alias("ry"))
-    close = (F.col("rx") != F.col("ry")) & (F.abs(F.col("jx") - F.col("jy")) <= 1 - threshold + 1e-9) & ((F.col("jy") >= threshold) | (F.col("x") < F.col("y")))
-    pairs = odd.join(rest, "k").where(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    second = verified(pairs.join(first, ["a", "b"], "left_anti"))
-    return first.unionByName(second).where(F.col("j") >= threshold)
+    near = near.join(linked, "d", "left").select("k", "d", "j", F.coalesce("root", "d").alias("root"))
+    near = cut(near.join(sets.select("d", F.size("s").alias("size")), "d"))
+    undecided = near.groupBy("k").agg(F.min("j").alias("least"), F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("all"))
+    undecided = undecided.where((F.col("least") < threshold) & (F.col("low") < F.col("high")))
+    parts = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("all") / (block << 12))).cast("long").alias("parts")
+    dealt = near.join(undecided.select("k", parts), "k").withColumn("part", F.pmod(F.xxhash64("d", F.lit(1)), "parts"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.select("k", "d", "j", "root", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    whole = dealt.join(banded, "d").join(sets, "d").select("k", "p", "q", "part", "d", "j", "root", "keys", "s")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(block_links(pdf, threshold), columns=["a", "b", "j"])
+
+    rest = cut(whole.groupBy("k", "p", "q").applyInPandas(compare, "a long, b long, j double"))
+    return first.where(F.col("j") >= threshold).unionByName(rest)
 
 
 def keep_one(docs: DataFrame, text: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row of each group of near copies, all columns of ``docs``.
 
     First one of each component of linked fingerprints, as operator 6 has them; of those, one of each group that is linked
-    by a similarity of ``threshold`` or more. So no two rows that stay are that similar. Null and repeated ids do no harm;
-    an empty table stays empty.
+    by a similarity of ``threshold`` or more. So no two rows that stay are that similar. Null and repeated ids do no harm, columns may
+    have any names; an empty table stays empty.
     """
-    marked = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    kept = simhash.kept_rows(marked, text)
-    rows = marked.select(F.col("_row").alias("d"), F.col(text).cast("string").alias("text"))
-    found = simhash.components(similar(rows, kept.select(F.col("_row").alias("d")), width, threshold).select("a", "b"))
-    others = found.where("node <> root").select(F.col("node").alias("_row"))
-    return simhash.take_rows(marked, cut(kept.join(others, "_row", "left_anti"))).select(*docs.columns)
+    row = spare(docs.columns, "_row")
+    marked = docs.withColumn(row, F.xxhash64(*docs.columns))
+    kept = simhash.kept_rows(marked, text, row=row)
+    rows = marked.select(F.col(row).alias("d"), F.col(text).cast("string").alias("text"))
+    found = simhash.components(similar(rows, kept.select(F.col(row).alias("d")), width, threshold).select("a", "b"))
+    others = found.where("node <> root").select(F.col("node").alias(row))
+    return simhash.take_rows(marked, cut(kept.join(others, row, "left_anti")), row).select(*docs.columns)

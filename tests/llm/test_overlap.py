@@ -55,6 +55,27 @@ def test_links_equal_brute_force(spark):
     assert any(0.8 <= j < 0.85 for j in want.values()) and len(want) > 60
 
 
+def test_group_just_below_the_threshold_in_blocks(spark):
+    """One text edited more and more: many members are unlike the pivot, some like others; blocks of a few members."""
+    r = random.Random(21)
+    words = [f"w{r.randrange(5000)}" for _ in range(150)]
+    group = [" ".join(edited(r, words, n)) for n in range(12) for _ in range(6)]
+    group += [" ".join(edited(r, group[-1].split(), 1)) for _ in range(5)]
+    rows = spark.createDataFrame(list(enumerate(group)), "d long, text string").repartition(3)
+    want = [(a, b) for a, b in combinations(range(len(group)), 2) if jaccard(group[a], group[b]) >= 0.8]
+    unlike = [i for i, t in enumerate(group) if jaccard(t, group[0]) < 0.8]
+    for block in (4, 512):
+        got = [(x.a, x.b) for x in overlap.similar(rows, block=block).collect()]
+        assert {tuple(sorted(p)) for p in got} <= set(want) and components(len(group), got) == components(len(group), want)
+    assert len(unlike) > 20 and len(got) < 3 * len(group)
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 5, "x"), (2, "a b c d e f", 5, "x"), (3, "other words here", 6, None)], "doc_id long, text string, _row int, _Row_ string")
+    for kept in (overlap.keep_one(docs), simhash.keep_one(docs)):
+        assert kept.columns == docs.columns and sorted((x[0] in (1, 2), x._row) for x in kept.collect()) == [(False, 6), (True, 5)]
+
+
 def test_shingles_in_steps(monkeypatch):
     from panelwatch.llm import common
 
