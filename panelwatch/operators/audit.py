@@ -25,11 +25,12 @@ def leakage_violations(gold: DataFrame, keys: Sequence[str] = KEYS, time: str =
         + [(c, "missing_lag1", "warning") for c in NEED_LAG if c in cols and f"{c}_lag1" not in cols]
     )
     checked = [t for t, s in targets.items() if t in cols and s in cols]
-    last = gold.groupBy(*keys).agg(*[F.max_by(t, time).alias(t) for t in checked])
-    frames = [
-        last.where(F.col(t).isNotNull()).select(*keys, F.lit("unshifted_target").alias("check"), F.lit(t).alias("column"), F.lit("error").alias("severity"))
-        for t in checked
-    ]
+    frames = []
+    if checked:
+        last = gold.groupBy(*keys).agg(*[F.max_by(t, time).alias(t) for t in checked])
+        pairs = ", ".join(f"'{t}', {t} IS NOT NULL" for t in checked)
+        shifted = last.selectExpr(*keys, f"stack({len(checked)}, {pairs}) AS (column, _bad)").where("_bad")
+        frames.append(shifted.select(*keys, F.lit("unshifted_target").alias("check"), "column", F.lit("error").alias("severity")))
     if schema_rows:
         found = gold.sparkSession.createDataFrame(schema_rows, "column string, check string, severity string")
         nulls = [F.lit(None).cast(t).alias(c) for c, t in gold.select(*keys).dtypes]

@@ -15,6 +15,7 @@ from panelwatch.config import STRESS_QUANTILE, EvalWindow
 from panelwatch.operators.forecast import eval_blocks
 from panelwatch.operators.panel import BEFORE, KEYS, TIME, UPTO, series
 from panelwatch.operators.ranks import running_totals
+from panelwatch.session import cut_lineage
 
 DEFAULT_THRESHOLD = 0.5
 MIN_POSITIVES = 3
@@ -168,6 +169,7 @@ def early_warning(rows: DataFrame, keys: Sequence[str] = KEYS, time: str = TIME,
     judged = test.join(calibrated, bk).withColumn("pred", F.expr("score >= threshold"))
     # every row counts in its block and in the pooled scope
     scoped = judged.selectExpr(*keys, "signal", time, "y", "score", "pred", "block", "threshold", "stress_threshold", "explode(array(block, 'global')) AS scope")
+    scoped = cut_lineage(scoped)  # the short judged rows, read by all that follows
     sk = [*keys, "signal", "scope"]
     once = scoped.groupBy(*sk, "block").agg(F.max("threshold").alias("_t"), F.max("stress_threshold").alias("_s"))
     medians = once.groupBy(*sk).agg(F.expr("percentile(_t, 0.5D)").alias("threshold"), F.expr("percentile(_s, 0.5D)").alias("stress_threshold"))

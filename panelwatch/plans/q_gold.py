@@ -11,12 +11,18 @@ from panelwatch.plans import gold as G, inputs
 from panelwatch.plans.oracle_weights import index_sql, lasso_blocks, pca_block
 from panelwatch.plans.q_panel import SPLIT_CASE
 from panelwatch.plans.registry import cte, query
+from panelwatch.plans.stages import staged
 
 
 def r4(c):
     return F.round(C.as_col(c), 4)
 
 
+def gold(spark: SparkSession, sf: str) -> DataFrame:
+    """The handed-over gold table."""
+    return staged(spark, sf, "gold", G.gold)
+
+
 def sql_minmax(c: str, part: str = "") -> str:
     w = f"({part})"
     return f"CASE WHEN min({c}) OVER {w} = max({c}) OVER {w} THEN 0.0::DOUBLE ELSE ({c} - min({c}) OVER {w}) / (max({c}) OVER {w} - min({c}) OVER {w}) END"
@@ -95,7 +101,7 @@ def gold_assemble(spark: SparkSession, sf: str) -> DataFrame:
   UNION ALL SELECT NULL, 'missing_lag1', 'inflation_yoy', 'warning'""")
 def leakage_audit(spark, sf):
     """The checks on a gold table with three planted faults: a forbidden column, an unshifted target, a missing lag."""
-    g = G.gold(spark, sf).withColumns({
+    g = gold(spark, sf).withColumns({
         "ipc_change": F.col("inflation_mom"), "target_ipc_level_t1": F.coalesce("target_ipc_level_t1", "ipc_level")}).drop("inflation_yoy_lag1")
     return audit.leakage_violations(g)
 
@@ -104,7 +110,7 @@ def leakage_audit(spark, sf):
   SELECT '{c}' AS "column", count({c}) AS n_nonnull, round(count({c}) * 100.0::DOUBLE / count(*), 4) AS pct,
     CASE WHEN count({c}) * 100.0::DOUBLE / count(*) > 80 THEN '' WHEN count({c}) * 100.0::DOUBLE / count(*) > 30 THEN '[!!]' ELSE '[X]' END AS flag FROM x_gold""" for c in GOLD_COLS))
 def completeness_report(spark, sf):
-    return audit.completeness(G.gold(spark, sf), GOLD_COLS).withColumn("pct", r4("pct"))
+    return audit.completeness(gold(spark, sf), GOLD_COLS).withColumn("pct", r4("pct"))
 
 
 @query("available_features", f"""

@@ -535,6 +535,19 @@ def scan_csv_sep(spark, sf):
     return landed.scan_delimited(spark, path)
 
 
+@query("scan_csv_mixed", """
+  SELECT series_id, CAST(month AS VARCHAR) AS month, CAST(n_lines AS VARCHAR) AS n_lines, CASE WHEN abs(hash_of) % 3 = 2 THEN CAST(year(month) AS VARCHAR) END AS year
+  FROM (SELECT *, year(month) % 3 AS hash_of FROM x_price_raw)""")
+def scan_csv_mixed(spark, sf):
+    """One folder of files with three separators and two sets of columns, read back whole."""
+    path = scratch(spark, "mixed")
+    d = inputs.price_months(spark, sf).select("series_id", "month", "n_lines", F.year("month").alias("year"))
+    for i, sep in enumerate(landed.SEPARATORS):
+        part = d.where(F.col("year") % 3 == i)
+        (part if i == 2 else part.drop("year")).write.mode("append").option("header", True).option("sep", sep).csv(path)
+    return landed.scan_delimited(spark, path).select("series_id", "month", "n_lines", "year")
+
+
 @query("medallion_roundtrip", "SELECT series_id, month, round(ipc_level, 4) AS ipc_level, round(inflation_yoy, 4) AS inflation_yoy, split_label FROM x_gold")
 def medallion_roundtrip(spark, sf):
     """Bronze to silver to gold through partitioned tables, read back."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -14,16 +15,33 @@ SEPARATORS = (",", ";", "\t")
 META_COLUMNS = ("pulled_at", "ingested_at", "source_file", "is_official", "isPartial")
 
 
+def separator_of(line: str) -> str:
+    """The first of comma, semicolon, tab that splits the line."""
+    return next((s for s in SEPARATORS if len(line.split(s)) >= 2), SEPARATORS[-1])
+
+
+def first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line``: the first line of every file, found by the executors; empty files have none."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), "value")
+    # lines of a split are read in order, so the smallest number of the first split is the file's first line
+    numbered = lines.where("_block = 0").withColumn("_i", F.monotonically_increasing_id())
+    return numbered.groupBy("file").agg(F.min_by("value", "_i").alias("line"))
+
+
 def scan_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """CSV whose separator is the first of comma, semicolon, tab that splits the header.
+    """All delimited files below a path, each with the separator and the columns of its own header, as text columns.
 
-    Only one header line comes to the driver; the data are read by the executors.
+    Files of one header are scanned together; a column that a file does not have is null in its rows. Names are stripped;
+    columns come in the order in which headers, sorted, name them. A folder without lines gives no columns and no rows.
     """
-    header = spark.read.text(path).limit(1).first()
-    line = header[0] if header else ""
-    sep = next((s for s in SEPARATORS if len(line.split(s)) >= 2), SEPARATORS[-1])
-    df = spark.read.csv(path, header=True, sep=sep)
-    return df.select(*[F.col(f"`{c}`").alias(c.strip()) for c in df.columns])
+    heads = first_lines(spark, path).groupBy("line").agg(F.collect_list("file").alias("files")).orderBy("line").collect()
+    parts = []
+    for r in heads:  # one scan for each different header, not for each file
+        df = spark.read.csv(r["files"], header=True, sep=separator_of(r["line"]))
+        parts.append(df.select(*[F.col(f"`{c}`").alias(c.strip()) for c in df.columns]))
+    if not parts:
+        return spark.createDataFrame([], "struct<>")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def resolve_exact(columns: Sequence[str], aliases: Sequence[str]) -> str | None:
