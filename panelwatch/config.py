@@ -45,6 +45,7 @@ BOOTSTRAP_REPS = 1000
 BOOTSTRAP_BLOCK = 6
 
 # Lags kept in the gold table (lag 0 is the column itself).
+# Delays of the features.
 FEATURE_LAGS = {
     "behavioural_index": [1, 2],
     "hybrid_index": [1, 2],
@@ -171,3 +172,11 @@ def case_text(rules, default: str) -> str:
     """CASE expression of ordered (condition, text) rules; plain SQL for any engine."""
     whens = " ".join(f"WHEN {c} THEN '{t}'" for c, t in rules)
     return f"CASE {whens} ELSE '{default}' END"
+
+# Rules of the two hypotheses, with their texts.
+HYPOTHESIS_RULES = {
+    "h1_auc": "CASE WHEN auc_b > 0.65 THEN 'VALIDÉE' ELSE 'REJETÉE' END",
+    "h1_recall": "CASE WHEN recall_b >= 0.8 THEN 'PARTIELLEMENT VALIDEE' ELSE 'NON VALIDEE' END",
+    "h2_auc": "CASE WHEN auc_h IS NULL THEN 'NON TESTABLE' WHEN auc_h - auc_b > 0.05 THEN 'VALIDÉE' ELSE 'REJETÉE' END",
+    "h2_recall": "CASE WHEN rec_b IS NULL OR rec_h IS NULL THEN 'NON TESTABLE' WHEN rec_b > rec_h THEN 'REJETEE' ELSE 'VALIDEE' END",
+}

@@ -118,8 +118,10 @@ def lasso_weights(gram: DataFrame, k: int, keys: Sequence[str], standardise: boo
 
     For every set of active features the coefficients are linear in the penalty, so its optimality conditions (active
     ones positive, the others' gradients below the penalty) hold on one interval. All 2^k sets of a fold are solved once and
-    each penalty of the grid reads its coefficients off the set that holds it; nothing iterates.
+    each penalty of the grid reads its coefficients off the set that holds it; nothing iterates. At most twelve features.
     """
+    if k > 12:
+        raise ValueError("2^k sets of features are solved: at most 12 features")
     t = _totals(gram, k, keys).selectExpr("*", *_scale(k, standardise))
     t = t.selectExpr("*", f"{_centred(k, 'n', 's', 'g')} AS c")
     t = t.selectExpr("*", f"array_max(transform(slice(c[{k}], 1, {k}), x -> abs(x))) / n AS top").where(f"n >= {MIN_ROWS} AND top > 0")

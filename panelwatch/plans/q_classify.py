@@ -253,12 +253,7 @@ def roc_pr_comparison(spark, sf):
                     F.expr(BIAS).alias("roc_bias"), F.expr(AP_TEXT).alias("ap_verdict"))
 
 
-HYP_SQL = {
-    "h1_auc": "CASE WHEN auc_b > 0.65 THEN 'VALIDÉE' ELSE 'REJETÉE' END",
-    "h1_recall": "CASE WHEN recall_b >= 0.8 THEN 'PARTIELLEMENT VALIDEE' ELSE 'NON VALIDEE' END",
-    "h2_auc": "CASE WHEN auc_h IS NULL THEN 'NON TESTABLE' WHEN auc_h - auc_b > 0.05 THEN 'VALIDÉE' ELSE 'REJETÉE' END",
-    "h2_recall": "CASE WHEN rec_b IS NULL OR rec_h IS NULL THEN 'NON TESTABLE' WHEN rec_b > rec_h THEN 'REJETEE' ELSE 'VALIDEE' END",
-}
+HYP_SQL = K.HYPOTHESIS_RULES
 HYP_INPUTS = {
     "auc_b": ("behavioural", "global", "auc"), "auc_h": ("hybrid", "global", "auc"), "recall_b": ("behavioural", "global", "recall"),
     "rec_b": ("behavioural", "B", "recall"), "rec_h": ("hybrid", "B", "recall"),

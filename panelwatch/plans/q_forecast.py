@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwatch.config import PANEL_WINDOWS
+from panelwatch.config import ERROR_NOTES, PANEL_WINDOWS
 from panelwatch.functions import columns as C
 from panelwatch.operators import forecast as FC, panel as P
 from panelwatch.plans import gold as G, inputs
@@ -215,8 +215,8 @@ def forecast_metrics(spark, sf):
     return m.select("series_id", "model", *[r3(c).alias(c) for c in METRICS], "n_test")
 
 
-VERDICT_SQL = """CASE WHEN concat_ws(' | ', CASE WHEN mape < 5 THEN 'Erreur faible' END, CASE WHEN mase < 1 THEN 'Meilleur que la naive' END, CASE WHEN theils_u < 1 THEN 'Mieux que la prediction naive' END) = ''
-    THEN 'Performance a nuancer' ELSE concat_ws(' | ', CASE WHEN mape < 5 THEN 'Erreur faible' END, CASE WHEN mase < 1 THEN 'Meilleur que la naive' END, CASE WHEN theils_u < 1 THEN 'Mieux que la prediction naive' END) END"""
+_NOTES = ", ".join(f"CASE WHEN {c} < {limit} THEN '{ERROR_NOTES[c]}' END" for c, limit in (("mape", 5), ("mase", 1), ("theils_u", 1)))
+VERDICT_SQL = f"CASE WHEN concat_ws(' | ', {_NOTES}) = '' THEN '{ERROR_NOTES['none']}' ELSE concat_ws(' | ', {_NOTES}) END"
 
 
 @query("error_verdict", f"SELECT series_id, block, model, {VERDICT_SQL} AS verdict FROM x_metrics")
