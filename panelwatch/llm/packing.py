@@ -14,13 +14,16 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from panelwatch.llm.common import groups, staged
+from panelwatch.llm.common import groups, spare, staged
 
 END = 1  # id that ends each document
 PIECE = "doc_id string, piece int, start long, length long, ids_crc32 long"
@@ -43,10 +46,10 @@ class Words:
 
     The pre-tokeniser never joins characters across white space, so the ids of a text are those of its words
     one after the other, and those of letters before closing punctuation are the letters' and the punctuation's.
-    Each word of a group of texts is encoded once; the first ``bound`` words are kept for later groups.
+    Each word of a group of texts is encoded once; at most ``bound`` words are kept for later groups, preferably those that repeat.
     """
 
-    def __init__(self, path: str, bound: int = 300_000):
+    def __init__(self, path: str, bound: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
@@ -69,38 +72,61 @@ class Words:
             x = x.encode().decode("latin-1").translate(_BYTES)
         return array("I", [t.id for t in self.merge(x)]).tobytes()
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        known, new, others = self.known, {}, []
-        room = self.bound - len(known)
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        known, plain, new, others = self.known, {}, {}, []
         for w in words:
             core = w.rstrip(_MARKS)
             found = None
             if core.isalpha():
-                found = known.get(core) or new.get(core) or self._letters(core)
+                # a known word of ASCII letters was encoded by its letters alone; others may not have been, so ids never depend on what came before
+                found = plain.get(core) or (known.get(core) if core.isascii() else None) or self._letters(core)
                 if found is not None:
-                    new[core] = found
+                    plain[core] = found
                     if len(core) < len(w):
                         tail = w[len(core) :]
                         if tail not in self.marks:
                             self.marks |= self._each([tail])
-                        new[w] = found + self.marks[tail]
+                        found += self.marks[tail]
+                    new[w] = found
             if found is None:
                 others.append(w)
-        new |= self._each(others)
-        if room > 0:
-            known.update(new if len(new) <= room else dict(islice(new.items(), room)))
-        return new
+        return new | self._each(others)
+
+    def keep(self, words: Iterator[tuple[str, bytes]]) -> None:
+        self.known.update(islice(words, max(0, self.bound - len(self.known))))
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each of a group of texts; a group should be some megabytes."""
-        known = self.known
-        lists = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        found = [list(map(known.get, words)) for words in lists]
-        new = self.learn({w for words, got in zip(lists, found) if None in got for w, x in zip(words, got) if x is None})
-        for words, got in zip(lists, found):
-            if None in got:
-                got = [new[w] if x is None else x for w, x in zip(words, got)]
-            yield b"".join(got)
+        """The ids of each of a group of texts; a group should be some megabytes.
+
+        Words are numbered by Arrow, so only the different ones of the group become Python strings.
+        """
+        lines = pa.array([(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts], pa.large_string())
+        lists = pc.split_pattern(lines, " ")
+        coded = lists.flatten().dictionary_encode()
+        place, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False)
+        found = list(map(self.known.get, words))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            new = self.learn([words[i] for i in missing])
+            for i in missing:
+                found[i] = new[words[i]]
+            # half of the room is for words that repeat
+            single = np.bincount(place, minlength=len(words)) < 2
+            self.keep((words[i], found[i]) for i in missing if not single[i] or 2 * len(self.known) < self.bound)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, n = np.frombuffer(b"".join(found), np.uint32), sizes[place]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        every = flat[np.repeat((np.cumsum(sizes) - sizes)[place] - ends[:-1], n) + np.arange(ends[-1])]
+        bounds = ends[lists.offsets.to_numpy()]
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            yield every[a:b].tobytes()
+        pa.default_memory_pool().release_unused()
+
+
+@lru_cache(maxsize=1)
+def words_of(path: str) -> Words:
+    """The words of a tokenizer, one for each Python worker: later tasks find what earlier ones have encoded."""
+    return Words(path)
 
 
 def pieces(docs: DataFrame, capacity: int = 4096, key: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
@@ -111,7 +137,7 @@ def pieces(docs: DataFrame, capacity: int = 4096, key: str = "doc_id", text: str
     path = tokenizer or tokenizer_path()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, end, wide = Words(path), END.to_bytes(4, "little"), 4 * capacity
+        words, end, wide = words_of(path), END.to_bytes(4, "little"), 4 * capacity
         for ids, texts in groups(batches):
             out = []
             for doc_id, found in zip(ids, words.ids(texts)):
@@ -182,11 +208,14 @@ def pack(items: DataFrame, capacity: int = 4096, size: str = "length", order: tu
 
     ``size`` is a whole number from 1 to ``capacity``. Rows of one size are ranked within ``shards`` parts of
     themselves, so a size that a third of all rows have is not one task; ``size x shards`` counts, at most
-    ``capacity x shards`` numbers, are all that is gathered. Repeated rows are packed like any others.
+    ``capacity x shards`` numbers, are all that is gathered. Repeated rows are packed like any others. Columns that
+    have the names of the new ones are replaced.
     """
     spark = items.sparkSession
-    keyed = items.withColumn("_shard", F.pmod(F.xxhash64(*order), F.lit(shards)).cast("int"))
-    counts = keyed.groupBy(F.col(size).alias("s"), "_shard").count().toPandas().sort_values(["s", "_shard"])
+    items = items.drop("sequence_id", "offset")
+    shard, ranked = spare(items.columns, "_shard"), spare(items.columns, "_rank")
+    keyed = items.withColumn(shard, F.pmod(F.xxhash64(*order), F.lit(shards)).cast("int"))
+    counts = keyed.groupBy(F.col(size).alias("s"), F.col(shard).alias("_shard")).count().toPandas().sort_values(["s", "_shard"])
     per_size = {int(s): int(n) for s, n in counts.groupby("s")["count"].sum().items()}
     if not per_size:
         return items.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
@@ -198,7 +227,7 @@ def pack(items: DataFrame, capacity: int = 4096, size: str = "length", order: tu
     base[counts["s"].to_numpy(np.int64), counts["_shard"].to_numpy(np.int64)] = before.to_numpy(np.int64)
     share = spark.sparkContext.broadcast((base, (placed[:, 0] << RANK_BITS) | placed[:, 1], placed[:, 3] - placed[:, 1], placed[:, 4]))
     names = items.columns
-    rank = F.row_number().over(Window.partitionBy(size, "_shard").orderBy(*order)) - 1
+    rank = F.row_number().over(Window.partitionBy(size, shard).orderBy(*order)) - 1
     fields = [f for f in items.schema.fields]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["sequence_id long", "offset long"])
 
@@ -206,11 +235,11 @@ def pack(items: DataFrame, capacity: int = 4096, size: str = "length", order: tu
         base, keys, shift, offsets = share.value
         for pdf in batches:
             s = pdf[size].to_numpy(np.int64)
-            r = pdf["_rank"].to_numpy(np.int64) + base[s, pdf["_shard"].to_numpy(np.int64)]
+            r = pdf[ranked].to_numpy(np.int64) + base[s, pdf[shard].to_numpy(np.int64)]
             i = np.searchsorted(keys, (s << RANK_BITS) | r, side="right") - 1
             yield pdf[names].assign(sequence_id=shift[i] + r, offset=offsets[i])
 
-    return keyed.withColumn("_rank", rank).mapInPandas(run, schema)
+    return keyed.withColumn(ranked, rank).mapInPandas(run, schema)
 
 
 def pack_documents(docs: DataFrame, capacity: int = 4096, key: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:

@@ -33,6 +33,20 @@ def test_ids_equal_the_tokenizer():
                 assert list(struct.unpack(f"<{len(found) // 4}I", found)) == whole.encode(t, add_special_tokens=False).ids, t
 
 
+def test_ids_do_not_depend_on_earlier_words():
+    r = random.Random(11)
+    whole, warm = tokenizer(), packing.Words(packing.tokenizer_path())
+    bits = ["İ", "I", "ß", "ﬁ", "e\u0301", "\u0301", "é", "a", "the", "'s", "!", "...", "(", "ǅ", "Σ", "ς", "9"]
+    texts = ["İ é ß e\u0301 ﬁ", "İ! é! ß! e\u0301! ﬁ!"] + ["".join(r.choices(bits, k=r.randint(1, 4))) + r.choice(["", "!", ".", " "]) for _ in range(3000)]
+    for t in texts:  # one after the other, so that later ones meet a full cache
+        cold = packing.Words(packing.tokenizer_path()) if t in texts[:2] else None
+        want = whole.encode(t, add_special_tokens=False).ids
+        for words in (warm, cold):
+            if words:
+                found = next(words.ids([t]))
+                assert list(struct.unpack(f"<{len(found) // 4}I", found)) == want, t
+
+
 @pytest.mark.parametrize("capacity", [8, 64])
 def test_documents_come_back_from_their_sequences(spark, capacity):
     r = random.Random(capacity)
