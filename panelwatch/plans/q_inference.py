@@ -470,7 +470,7 @@ def validated_keywords(spark, sf):
     scores = cut_lineage(S.score_keywords(panel, ["keyword"], "value", "target", "resid", "target_resid").where("keep"))
     n = scores.count()
     if n == 0:
-        return scores.withColumn("cluster", F.lit(None).cast("int"))
+        return scores.select(F.lit(None).cast("int").alias("cluster"), "*")
     vectors = cut_lineage(S.keyword_vectors(panel.join(scores.select("keyword"), "keyword", "left_semi"), ["keyword"], "value"))
     return S.representatives(S.cluster(vectors, n).join(scores, "keyword"), "best_r", ["keyword"])
 

@@ -211,3 +211,34 @@ def test_break_tests_by_hand(panel):
     between = sum(len(g) * (g.mean() - gm) ** 2 for g in z)
     within = sum(((g - g.mean()) ** 2).sum() for g in z)
     assert ST.levene(df, "v", "2020-06-01").first()["w_stat"] == pytest.approx(7 * between / within)
+
+
+def test_clusters_of_fewer_different_vectors_than_clusters(spark):
+    from pyspark.ml.functions import array_to_vector
+    from panelwatch.operators import select as S
+
+    rows = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [1.0, 2.0]), ("c", [1.0, 2.0])], "keyword string, v array<double>").select("keyword", array_to_vector("v").alias("features"))
+    one = rows.where("keyword = 'b'")
+    assert [(r["keyword"], r["cluster"]) for r in S.cluster(one, one.count()).collect()] == [("b", 0)]
+    of = {r["keyword"]: r["cluster"] for r in S.cluster(rows, rows.count()).collect()}
+    assert of["b"] == of["c"] != of["a"]
+
+
+@pytest.mark.parametrize("follows, kept", [(True, ["BUILDING:1-URGENT"]), (False, [])])
+def test_validated_keywords_of_one_and_of_no_kept_keyword(spark, tmp_path, follows, kept):
+    """Orders of one keyword that are the yearly price change, or have nothing to do with it."""
+    from panelwatch.plans.q_inference import validated_keywords
+
+    rng = np.random.default_rng(0)
+    n, other = rng.integers(1, 20, 60).tolist(), rng.integers(1, 20, 60).tolist()
+    level = [100.0] * 12
+    for i in range(12, 60):
+        level.append(level[i - 12] * (1 + (n if follows else other)[i] / 100))
+    orders = [m for m, c in zip(months(1995, 60), n) for _ in range(c)]
+    spark.createDataFrame([(1, "BUILDING")], "c_custkey long, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(f"{m}-03",) for m in orders], "d string").selectExpr(
+        "1L AS o_custkey", "'1-URGENT' AS o_orderpriority", "to_timestamp_ntz(d) AS o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(f"{m}-03", v) for m, v in zip(months(1995, 60), level)], "d string, v double").selectExpr(
+        "1D AS l_quantity", "v AS l_extendedprice", "to_timestamp_ntz(d) AS l_shipdate").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = validated_keywords(spark, str(tmp_path))
+    assert got.columns[:2] == ["cluster", "keyword"] and [r["keyword"] for r in got.collect()] == kept
