@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -24,19 +26,37 @@ def _unescaped(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
-def unescape_entities(c) -> Column:
-    """All named, decimal and hexadecimal entities to characters, in batches; texts without an ampersand pass by."""
+# An entity with its semicolon: a number or a name.
+CLOSED_ENTITY = re.compile("&(?:#[0-9]+|#[xX][0-9a-fA-F]+|([A-Za-z][A-Za-z0-9]*));")
+
+
+def _closed_entity(m: re.Match) -> str:
+    return html5.get(f"{m[1]};", m[0]) if m[1] else html.unescape(m[0])
+
+
+@F.pandas_udf(StringType())
+def _unescaped_closed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: CLOSED_ENTITY.sub(_closed_entity, t), na_action="ignore")
+
+
+def unescape_entities(c, closed: bool = False) -> Column:
+    """All named, decimal and hexadecimal entities to characters, in batches; texts without an ampersand pass by.
+
+    As in HTML, some count without their semicolon too; ``closed`` leaves those as they are, so that a text
+    cut off inside an entity keeps its last characters.
+    """
     t = as_col(c)
-    return F.when(t.contains("&"), _unescaped(F.when(t.contains("&"), t))).otherwise(t)
+    decode = _unescaped_closed if closed else _unescaped
+    return F.when(t.contains("&"), decode(F.when(t.contains("&"), t))).otherwise(t)
 
 
 def strip_tags(c) -> Column:
     return F.regexp_replace(as_col(c), "<[^>]+>", " ")
 
 
-def clean_html(c) -> Column:
-    """Entities, then tags to a blank, then one blank between words, trimmed."""
-    spaced = F.regexp_replace(strip_tags(unescape_entities(c)), r"(?U)\s+", " ")
+def clean_html(c, closed: bool = False) -> Column:
+    """Entities (``closed``: only those with a semicolon), then tags to a blank, then one blank between words, trimmed."""
+    spaced = F.regexp_replace(strip_tags(unescape_entities(c, closed)), r"(?U)\s+", " ")
     return F.trim(spaced)
 
 

@@ -151,14 +151,17 @@ def quality_report(df: DataFrame, value: str, start: str, end: str, keys: Sequen
     return rep.withColumn("gap_warning", F.col("n_missing") > 6)
 
 
-def parse_articles(df: DataFrame, article_id: str, url: str, published: str, title_html: str, body_html: str, terms: Sequence[str] = tuple(ECONOMIC_TERMS)) -> DataFrame:
-    """Landed posts to article rows: cleaned title and text, month; unreadable dates dropped, economic texts kept."""
+def parse_articles(df: DataFrame, article_id: str, url: str, published: str, title_html: str, body_html: str, terms: Sequence[str] = tuple(ECONOMIC_TERMS), closed: bool = False) -> DataFrame:
+    """Landed posts to article rows: cleaned title and text, month; unreadable dates dropped, economic texts kept.
+
+    ``closed`` decodes only entities that have their semicolon.
+    """
     parsed = df.select(
         F.col(article_id).cast("string").alias("article_id"),
         F.col(url).alias("url"),
         F.col(published).cast("timestamp").alias("published_at"),
-        clean_html(title_html).alias("title"),
-        clean_html(body_html).alias("excerpt"),
+        clean_html(title_html, closed).alias("title"),
+        clean_html(body_html, closed).alias("excerpt"),
     )
     text = F.trim(F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("excerpt", F.lit(""))))
     parsed = parsed.withColumn("text", text).withColumn("month", month_start("published_at"))

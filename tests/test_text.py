@@ -1,3 +1,4 @@
+import hashlib
 import html
 import re
 
@@ -165,3 +166,25 @@ def test_missing_keywords_and_default_trend_map(spark):
     r = X.theme_subindices(d).orderBy("month").collect()
     assert [x["trends_prix_alim"] for x in r] == [0.0, 1.0] and r[0]["trends_inflation"] is None
     assert [x["trends_composite"] for x in r] == [0.0, 1.0] and r[0]["n_keywords_used"] == 1
+
+
+CUT_PAGES = [
+    (1, "<title>Prix eaux &lt;b&gt;&amp</title><p>a&amp;amp; b&copy</p>", "Prix eaux &amp", "Prix eaux &amp a&amp; b&copy"),
+    (2, "<title>eaux &quo</title>x &#233;t&#xE9; &#233 &ampx; &unknown; &eacute;", "eaux &quo", "eaux &quo x été &#233 &ampx; &unknown; é"),
+    (3, "<title>gaz &middot; eaux</title>fin &am", "gaz · eaux", "gaz · eaux fin &am"),
+]
+
+
+@pytest.fixture(scope="module")
+def cut_pages(spark, tmp_path_factory):
+    """Pages cut off inside entities, as the given ones are at the end of a title."""
+    folder = tmp_path_factory.mktemp("cut")
+    spark.createDataFrame([(i, f"u{i}", h) for i, h, _, _ in CUT_PAGES], "page_id long, url string, html string").write.parquet(str(folder / "pages.parquet"))
+    return str(folder)
+
+
+def test_articles_of_pages_cut_off_inside_an_entity(spark, cut_pages):
+    from panelwatch.plans.q_text import pages_to_articles
+
+    got = {(r["article_id"], r["title"], r["text_hash"]) for r in pages_to_articles(spark, cut_pages).collect()}
+    assert got == {(str(i), t, hashlib.md5(f"{t}. {b}".encode()).hexdigest()) for i, _, t, b in CUT_PAGES}
