@@ -88,11 +88,16 @@ def keyword_vectors(panel: DataFrame, keys: Sequence[str], value: str, time: str
 def cluster(vectors: DataFrame, n_valid: int, k: int = 7, seed: int = 42, features: str = "features") -> DataFrame:
     """K-Means cluster per row; with fewer rows than ``k``, max(2, rows) clusters, never more than there are different vectors.
 
-    Rows are assigned one by one: the solver by blocks fails on fewer different vectors than clusters, so on a single row.
+    Rows are assigned one by one: the solver by blocks fails on fewer starting centres than clusters, so on a single row.
+    The few draws of the start can miss near copies; then it is drawn once more with a draw for each cluster.
     """
     from pyspark.ml.clustering import KMeans
 
-    model = KMeans(k=k if n_valid >= k else max(2, n_valid), seed=seed, featuresCol=features, predictionCol="cluster", solver="row").fit(vectors)
+    n = k if n_valid >= k else max(2, n_valid)
+    means = KMeans(k=n, seed=seed, featuresCol=features, predictionCol="cluster", solver="row")
+    model = means.fit(vectors)
+    if len(model.clusterCenters()) < n:
+        model = means.setInitSteps(n).fit(vectors)
     return model.transform(vectors)
 
 

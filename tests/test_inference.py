@@ -224,6 +224,17 @@ def test_clusters_of_fewer_different_vectors_than_clusters(spark):
     assert of["b"] == of["c"] != of["a"]
 
 
+def test_near_copies_of_any_scale_get_their_clusters(spark):
+    from pyspark.ml.functions import array_to_vector
+    from panelwatch.operators import select as S
+
+    xs = [0.0, 0.001, 0.1, 10.0, 1000.0]
+    for first in (1, 3):  # the start draws by place: other orders happened to find all
+        rows = spark.createDataFrame([(x, [x, 0.0]) for x in xs[first:] + xs[:first]], "x double, v array<double>").coalesce(1)
+        vectors = rows.select("x", array_to_vector("v").alias("features"))
+        assert len({r["cluster"] for r in S.cluster(vectors, 5).collect()}) == 5
+
+
 @pytest.mark.parametrize("follows, kept", [(True, ["BUILDING:1-URGENT"]), (False, [])])
 def test_validated_keywords_of_one_and_of_no_kept_keyword(spark, tmp_path, follows, kept):
     """Orders of one keyword that are the yearly price change, or have nothing to do with it."""
